@@ -46,6 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of ids is broadcast up to so many rows; beyond, the join is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """docs with (or, left_anti, without) the ids; these are broadcast when few, whatever the table's size, and shuffled otherwise."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names, so that further columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -22,6 +22,36 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.decontamination import decontaminate
+
+    return decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality_classifier import quality_classifier
+
+    return quality_classifier(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near_dedup import near_dedup
+
+    return near_dedup(C.table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(C.table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.language_id import language_id
+
+    return language_id(C.table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import bpe
 
@@ -34,8 +64,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(C.table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.sharding import shard
+
+    return shard(C.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op7_bpe, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_near_dedup, op5_suffix_dedup, op6_language_id, op7_bpe, op9_token_counts, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,6 +58,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(C.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import toxicity
+
+    return toxicity(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.token_counts import token_counts
 
@@ -71,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_near_dedup, op5_suffix_dedup, op6_language_id, op7_bpe, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_near_dedup, op5_suffix_dedup, op6_language_id, op7_bpe, op8_toxicity, op9_token_counts, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -310,3 +311,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
     return d.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+
+
+def without_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """docs, all columns, with the spans cut out of the texts, narrowed to whole characters, and their characters recounted. Other rows stay as they are."""
+    columns = docs.columns
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(7), text)})
+    s = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
+    d = d.join(F.broadcast(s) if s.count() <= BROADCAST_SPANS else s, ["_t1", "_t2"], "left")
+
+    @F.pandas_udf("string")
+    def cut(texts, spans):
+        out = []
+        for t, s in zip(texts, spans):
+            raw, at, parts = t.encode(), 0, []
+            for lo, hi in zip(s[::2], s[1::2]):
+                lo, hi = inside_characters(raw, lo, hi)
+                parts.append(raw[at:lo])
+                at = hi
+            out.append(b"".join([*parts, raw[at:]]).decode())
+        return pd.Series(out, dtype=object)
+
+    same = d.where("_spans is null").select(columns)
+    changed = d.where("_spans is not null").withColumn(text_col, cut(F.col(text_col), F.col("_spans")))
+    return same.unionByName(changed.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)).select(columns))

@@ -28,9 +28,9 @@ from millrace.llm import common as C
 LENGTH, ANCHOR, STEP = 200, 40, 20
 CORE = LENGTH - STEP
 #: Contexts of an anchor that one task sorts at most.
-MOST = 4096
+MOST = 1024
 #: Bytes of contexts that are suffix-sorted together, more only for one anchor.
-SORT_BYTES = 400_000
+SORT_BYTES = 200_000
 CHUNK = 1_500_000
 #: Texts with spans that are broadcast at most.
 BROADCAST_SPANS = 300_000

@@ -4,8 +4,9 @@ Many universal hash minima are banded; documents that share a band's bucket are
 the full shingle sets, and components of the links are found by alternating large-star and small-star.
 
 Documents with equal shingle sets form a class and are handled as one. Within a bucket candidates are not paired all with all: each class is held
-against one pivot; what that links is one component, and only classes of a bucket that are still in different components go on, to another pivot
-and at last to each other. So no link between components is lost to a cap, and a large group of copies costs a star, not a square.
+against the bucket's pivot, the class that shares most with others, and what that links is one component. Where a bucket still holds several
+components, blocks of its members are compared within tasks, which return only links that join components. So no link between
+components is lost to a cap, and a large group of copies costs a star and what is outside it, not a square of rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from millrace.llm.graph import components
 BANDS, ROWS = 64, 8
 #: Bytes of a signature kept for checking pairs, one of each of as many minima.
 SIGNED = 256
+#: Members of a block.
+BLOCK = 256
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +129,65 @@ def links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, thres
     return C.cut(both.withColumn("shared", shared).where(100 * F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
 
 
+def _between(threshold: int):
+    """Links between components among the members of two blocks; of several that join the same components, one."""
+    share = threshold / 100
+    least = share - 6 * (share * (1 - share) / SIGNED) ** 0.5
+
+    def run(batches):
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                left, right = (batch.column(k)[i].values for k in ("left", "right"))
+                rep, comp, n, signs = ([x.field(k).to_numpy(zero_copy_only=False) for x in (left, right)] for k in ("rep", "component", "n_shingles", "signed"))
+                signs = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, SIGNED) for x in signs]
+                sets = [x.field("shingles") for x in (left, right)]
+                up: dict[int, int] = {}
+
+                def root(c, up=up):
+                    while up.get(c, c) != c:
+                        c = up[c]
+                    return c
+
+                for k in range(len(rep[0])):
+                    near = (comp[1] != comp[0][k]) & (100 * np.minimum(n[1], n[0][k]) >= threshold * np.maximum(n[1], n[0][k]))
+                    at = np.flatnonzero(near)
+                    alike = (signs[1][at] == signs[0][k]).mean(1)
+                    at, own = at[np.argsort(-alike)][: (alike >= least).sum()], None
+                    for j in at:
+                        p, q = root(comp[0][k]), root(comp[1][j])
+                        if p == q:
+                            continue
+                        own = sets[0][k].values.to_numpy() if own is None else own
+                        both = len(np.intersect1d(own, sets[1][int(j)].values.to_numpy(), assume_unique=True))
+                        if 100 * both >= threshold * (n[0][k] + n[1][j] - both):
+                            up[max(p, q)] = min(p, q)
+                            found.append((int(comp[0][k]), int(comp[1][j])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def rest(docs: DataFrame, signed: DataFrame, member: DataFrame, home: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket of three members or more, which the star of its pivot does not settle.
+
+    Buckets that still hold several components are joined to families by the members they share. A family is dealt into blocks, those of its largest
+    component apart from the others; every block is held against every other but two of the largest component. What is shuffled is a row for
+    each pair of blocks, and no task sees more than two of them."""
+    placed = member.where("size > 2").join(home, "rep")
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("bucket", "first")
+    family = components(placed.join(open_, "bucket").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()).toDF("rep", "family")
+    family = C.cut(family.join(home, "rep"))
+    main = family.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.sum("n").alias("members"))
+    sets = C.only(docs, family.select(F.col("rep").alias("doc_id"))).mapInArrow(_sets(size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    own = family.join(main, "family").withColumn("apart", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)))
+    own = own.join(signed, "rep").join(sets, "rep")
+    blocks = C.written(own.groupBy("family", "apart", "block").agg(F.collect_list(F.struct("rep", "component", "n_shingles", "signed", "shingles")).alias("x")), "blocks")
+    left = blocks.where("apart").select("family", F.col("block").alias("k"), F.col("x").alias("left"))
+    pairs = left.join(blocks.withColumnRenamed("x", "right"), "family").where("not apart or k <= block")
+    return C.cut(pairs.select("left", "right").mapInArrow(_between(threshold), "a long, b long"))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every document the size of its shingle set, its component (the smallest id that links reach) and whether it is the one to keep.
 
@@ -139,32 +201,17 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: s
     classes = C.cut(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")))
     reps = signed.join(classes, "print").where("doc_id = rep")
     member = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket", "size")
     member = C.written(member.join(shared, "bucket"), "bucket-members")
-    home = C.cut(member.select("rep").distinct().withColumn("component", F.col("rep")))
-    signature = C.written(reps.join(home, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "n_shingles", "signed"), "candidates")
-    tried = None
-    for turn in range(3):
-        placed = member.join(home, "rep")
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")).alias("pivot")).where("lo < hi")
-        if turn < 2:
-            pairs = placed.join(open_.select("bucket", F.col("pivot.rep").alias("other"), F.col("pivot.component").alias("there")), "bucket").where("component <> there")
-        else:
-            left = placed.join(open_.select("bucket"), "bucket")
-            pairs = left.join(left.select("bucket", F.col("rep").alias("other"), F.col("component").alias("there")), "bucket").where("component <> there and rep < other")
-        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = C.cut(pairs)
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = links(d, signature, pairs, shingle, threshold)
-        if found.isEmpty():
-            continue
-        between = found.join(home.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(home.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-        joined = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("component", "least")
-        home = C.cut(home.join(joined, "component", "left").select("rep", F.coalesce("least", "component").alias("component")))
+    central = C.cut(member.groupBy("rep").agg(F.sum("size").alias("weight")))
+    signature = C.written(reps.join(central, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "n_shingles", "signed"), "candidates")
+    weighed = member.join(central, "rep")
+    pivot = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "rep")).getField("rep").alias("other"))
+    pairs = member.join(pivot, "bucket").where("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    starred = components(links(d, signature, C.cut(pairs), shingle, threshold)).toDF("rep", "least")
+    home = C.cut(central.join(starred, "rep", "left").select("rep", F.coalesce("least", "rep").alias("component")))
+    joined = components(rest(d, signature, member, home, shingle, threshold)).toDF("component", "least")
+    home = C.cut(home.join(joined, "component", "left").select("rep", F.coalesce("least", "component").alias("component")))
     named = C.cut(classes.join(home, "rep", "left").select("print", F.coalesce("component", "rep").alias("component")))
     out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

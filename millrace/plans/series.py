@@ -26,9 +26,9 @@ def _sql(expression, op):
 def _plain(op, expression, digits=6):
     name = f"value_{_P}_user_id_{op}"
 
-    @R.query(f"w1_{op}", _sql(f"round({expression}, {digits})", op))
+    @R.query(f"w1_{op}", _sql(f"round({expression}, {digits}) + 0.0", op))
     def _(t):
-        return _rolled(t, op).withColumn(name, F.round(name, digits))
+        return _rolled(t, op).withColumn(name, F.round(name, digits) + 0.0)
 
 
 for _op, _expression in {

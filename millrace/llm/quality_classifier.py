@@ -19,6 +19,8 @@ from millrace.llm import common as C
 from millrace.llm import folds
 
 WORDS, SHAPES, WIDTH = 1 << 14, 1 << 11, 32
+#: Bytes of text whose terms' vectors a task holds at a time.
+CHUNK = 2 << 20
 TERMS = WORDS + SHAPES
 _BLOCKS = 256
 _PER_BLOCK = TERMS // _BLOCKS
@@ -49,7 +51,7 @@ def _contexts(batches):
     """A task's sums of neighbours' index vectors, a row for each block of terms."""
     place, sign = _index_vectors()
     total = np.zeros(TERMS * WIDTH)
-    for b in C.chunks(batches):
+    for b in C.chunks(batches, CHUNK):
         word, shape, row = terms(*C.flat(b.column("text")))
         if len(row) < 2:
             continue
@@ -183,7 +185,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     some = folds.sample_ids(known.groupBy("doc_id").agg(F.max("label").alias("label")), sample)
 
     def gather(batches):
-        for b in C.chunks(batches):
+        for b in C.chunks(batches, CHUNK):
             x = pooled(vectors, *C.flat(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
@@ -195,7 +197,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     alike = float(y.mean()) if len(y) else 0.5
 
     def run(batches):
-        for b in C.chunks(batches):
+        for b in C.chunks(batches, CHUNK):
             x = pooled(vectors, *C.flat(b.column("text")))
             p = net.score(x) if net else np.full(b.num_rows, alike)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.astype(float))], ["doc_id", "score"])

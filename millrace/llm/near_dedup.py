@@ -25,6 +25,8 @@ from millrace.llm.graph import components
 BANDS, ROWS = 64, 8
 #: Bytes of a signature kept for checking pairs, one of each of as many minima.
 SIGNED = 256
+#: Bytes of text whose shingles a task holds at a time.
+CHUNK = 3 << 20
 #: Members of a block.
 BLOCK = 256
 
@@ -77,7 +79,7 @@ def minima(x: np.ndarray, off: np.ndarray, part: int = 1 << 15) -> np.ndarray:
 
 def _sign(size: int):
     def run(batches):
-        for b in C.chunks(batches):
+        for b in C.chunks(batches, CHUNK):
             sets, off = shingle_sets(*C.flat(b.column("text")), size)
             n, full = b.num_rows, np.flatnonzero(np.diff(off) > 0)
             low = minima((sets >> np.uint64(32)).astype(np.uint32), off)
@@ -99,7 +101,7 @@ def _sign(size: int):
 
 def _sets(size: int):
     def run(batches):
-        for b in C.chunks(batches):
+        for b in C.chunks(batches, CHUNK):
             sets, off = shingle_sets(*C.flat(b.column("text")), size)
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(sets.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "shingles"])

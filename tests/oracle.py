@@ -15,7 +15,8 @@ def normal(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if df[c].dtype == object or str(df[c].dtype) in ("str", "string"):
-            df[c] = df[c].map(lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else repr([x for x in v]) if hasattr(v, "__iter__") and not isinstance(v, str) else float(v) if isinstance(v, bool) else str(v)).astype(object)
+            plain = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else repr(list(v)) if hasattr(v, "__iter__") and not isinstance(v, str) else float(v) if isinstance(v, bool) else str(v)
+            df[c] = pd.Series([plain(v) for v in df[c]], dtype=object, index=df.index)
         elif str(df[c].dtype).startswith("datetime"):
             df[c] = df[c].astype("datetime64[us]").astype(str)
         else:

@@ -58,10 +58,10 @@ def _(t):
     return M.category_drift(A.category_profile(p.where("p_partkey <= 60"), ["p_brand"]), A.category_profile(p.where("p_partkey between 61 and 100"), ["p_brand"]))
 
 
-@R.query("m5_frequency_drift", "SELECT 'o_orderstatus' AS feature, o_orderstatus AS category, round(b, 6) AS baseline, round(c, 6) AS current FROM (SELECT o_orderstatus, count(*) FILTER (o_orderkey <= 5000) / (SELECT count(*) FROM orders WHERE o_orderkey <= 5000) b, count(*) FILTER (o_orderkey > 5000) / (SELECT count(*) FROM orders WHERE o_orderkey > 5000) c FROM orders GROUP BY 1) ORDER BY abs(b - c) DESC, category DESC LIMIT 1")
+@R.query("m5_frequency_drift", "SELECT 'o_orderstatus' AS feature, o_orderstatus AS category, round(b, 6) AS baseline, round(c, 6) AS current FROM (SELECT o_orderstatus, count(*) FILTER (o_orderkey % 3 = 0) / (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) b, count(*) FILTER (o_orderkey % 3 > 0) / (SELECT count(*) FROM orders WHERE o_orderkey % 3 > 0) c FROM orders GROUP BY 1) ORDER BY abs(b - c) DESC, category DESC LIMIT 1")
 def _(t):
     o = t("orders")
-    d = M.frequency_drift(A.category_profile(o.where("o_orderkey <= 5000"), ["o_orderstatus"]), A.category_profile(o.where("o_orderkey > 5000"), ["o_orderstatus"]), 0.0)
+    d = M.frequency_drift(A.category_profile(o.where("o_orderkey % 3 = 0"), ["o_orderstatus"]), A.category_profile(o.where("o_orderkey % 3 > 0"), ["o_orderstatus"]), 0.0)
     return d.select("feature", "category", F.round("baseline", 6).alias("baseline"), F.round("current", 6).alias("current"))
 
 

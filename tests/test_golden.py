@@ -149,6 +149,14 @@ def test_extraction(spark):
         text.extract_rules(F.col("t"), ["+"])
 
 
+def test_extractors(spark):
+    t = "atr 500 / 230 kv itumbiara ligado. se campos novos 2 com tensão 13,8 kv; uhe belo monte ii em operação; V (itaipu) ≤ 525 kV e diferença angular de no máximo 30 graus"
+    got = spark.createDataFrame([(t,)], "t string").select(*(f(F.col("t")).alias(k.split(".")[0]) for k, f in text.EXTRACTORS.items())).first()
+    assert "atr 500 / 230 kv itumbiara" in got.TR and "se campos novos 2" in got.SUBESTACAO and "uhe belo monte ii" in got.USINA
+    assert {"ligado", "em operação"} <= set(got.ESTADO_OPERATIVO) and {"230 kv", "13,8 kv", "30 graus"} <= set(got.VALOR_COM_UNID)
+    assert "V (itaipu) ≤ 525 kV" in got.INEQUACAO and "no máximo" in got.OPERADOR_MATEMATICO
+
+
 def test_sentences(spark):
     t = "Dr. Silva chegou. A v. 3.5 custa. Ok? Não! J. R. Souza saiu (hoje) do site a.com agora. sem fim"
     got = spark.createDataFrame([(t,), ("",)], "t string").select(text.split_sentences(F.col("t")).alias("s")).collect()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage import cut
+
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """One row: mae, mse, rmse, median error, r2, msle, rmsle, mape in per cent, largest error, explained variance, Poisson and gamma deviance.
@@ -69,7 +71,7 @@ def curve(df: DataFrame, y: str, s: str) -> DataFrame:
 
     Distinct scores are range-partitioned; each range's sums start from those of the ranges above it."""
     n = df.where(F.col(y).isNotNull() & F.col(s).isNotNull()).groupBy(F.col(s).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("q"))
-    d = n.repartitionByRange(32, F.desc("score")).withColumn("_r", F.spark_partition_id())
+    d = cut(n.repartitionByRange(F.desc("score")).withColumn("_r", F.spark_partition_id()))
     w = Window.partitionBy("_r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     above = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = d.groupBy("_r").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).select("_r", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("_q"))

@@ -1,11 +1,8 @@
 """Each stage of the pipeline against its own rule, on the smallest table with planted rows."""
 
-import sys
-
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, "/root/repo")
 import corpus_pipeline as P
 from millrace.llm.near_dedup import near_dedup
 from test_groups import brute as near_brute

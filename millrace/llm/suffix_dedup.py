@@ -7,8 +7,8 @@ is the text they cover. Three steps settle the runs, each passing on only what i
 1. a run whose anchor stands nowhere else has no repeat; a run whose whole context stands elsewhere is repeated throughout;
 2. of the others, a run none of whose strings of CORE bytes around the anchor stands in another context of the anchor has no repeat;
 3. contexts of an anchor that are left go to one task, are suffix-sorted, and threshold-bounded interval expansion on their Burrows-Wheeler
-   transform finds which neighbouring suffixes share LENGTH bytes or more. Anchors with more than MOST contexts are settled by hashes
-   of their single windows instead, which Spark can count without bringing them together.
+   transform finds which neighbouring suffixes share LENGTH bytes or more. An anchor with more than MOST contexts is dealt into parts; what a
+   part leaves open, and one of each window it has settled, is counted by hash over all parts.
 """
 
 from __future__ import annotations
@@ -77,25 +77,30 @@ def _runs(batches):
         )
 
 
+def core_places(lead: int, n: int) -> list[int]:
+    """How far before the anchor the CORE strings of a run's windows begin."""
+    return sorted({(lead - k) // STEP * STEP for k in range(n)})
+
+
 def _contexts(batches):
     """The bytes of the contexts asked for, and hashes of the strings of CORE bytes around the anchor that a window of the run holds."""
     for b in batches:
         for i in range(b.num_rows):
             text = (b.column("text")[i].as_py() or "").encode()
             asked = b.column("asked")[i].as_py()
-            out = {k: [r[k] for r in asked] for k in ("anchor", "first", "n", "open", "hot")}
+            out = {k: [r[k] for r in asked] for k in ("anchor", "first", "n", "lead", "open", "parts")}
             parts, cores = [], []
             for r in asked:
                 s, n, lead = r["first"], r["n"], r["lead"]
                 part = text[s : s + n - 1 + LENGTH]
                 parts.append(part)
                 # A window that starts `left` before the anchor holds the string that starts at `left` rounded down to a step.
-                lefts = sorted({(lead - k) // STEP * STEP for k in range(n)})
+                lefts = core_places(lead, n)
                 cores.append([xxhash.xxh3_64_intdigest(part[lead - x : lead - x + CORE], x) - (1 << 63) for x in lefts])
             k = len(asked)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b.column("t1")[i].as_py()] * k, pa.int64()), pa.array([b.column("t2")[i].as_py()] * k, pa.int64()), pa.array(out["anchor"], pa.int64()), pa.array(out["first"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["open"], pa.bool_()), pa.array(out["hot"], pa.bool_()), pa.array(parts, pa.binary()), pa.array(cores, pa.list_(pa.int64()))],
-                ["t1", "t2", "anchor", "first", "n", "open", "hot", "bytes", "cores"],
+                [pa.array([b.column("t1")[i].as_py()] * k, pa.int64()), pa.array([b.column("t2")[i].as_py()] * k, pa.int64()), pa.array(out["anchor"], pa.int64()), pa.array(out["first"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["lead"], pa.int32()), pa.array(out["open"], pa.bool_()), pa.array(out["parts"], pa.int32()), pa.array(parts, pa.binary()), pa.array(cores, pa.list_(pa.int64()))],
+                ["t1", "t2", "anchor", "first", "n", "lead", "open", "parts", "bytes", "cores"],
             )
 
 
@@ -172,41 +177,49 @@ def shared_suffixes(raw: np.ndarray, off: np.ndarray, length: int = LENGTH) -> n
 
 
 def _settle(batches):
-    """Repeated windows of contexts that come sorted by anchor, in groups of whole anchors."""
-    rows: list[tuple] = []
-    held, names = 0, ("t1", "t2", "first", "open", "bytes")
+    """Repeated windows of contexts that come sorted by anchor and part, in groups of whole parts: as spans, without a window hash.
+
+    Of an anchor in several parts also window hashes, for windows whose CORE string stands twice: one row for each that the part has settled, and a row, with
+    its place, for each it has not, which another part may settle."""
+    rows: list[dict] = []
+    held = 0
+    names = ("anchor", "part", "t1", "t2", "first", "n", "lead", "open", "parts", "near", "bytes")
 
-    def spans():
-        raw = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        off = np.concatenate(([0], np.cumsum([len(r[5]) for r in rows])))
+    def settled():
+        raw = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+        off = np.concatenate(([0], np.cumsum([len(r["bytes"]) for r in rows])))
         hit = shared_suffixes(raw, off)
-        out: list[list] = [[], [], [], []]
+        out: list[tuple] = []
+        known: set[tuple] = set()
         for r, a, z in zip(rows, off[:-1], off[1:]):
-            own = np.flatnonzero(hit[a:z]) if r[4] else ()
-            if len(own):
+            t1, t2, first, own = r["t1"], r["t2"], r["first"], np.flatnonzero(hit[a:z])
+            if r["open"] and len(own):
                 cut = np.flatnonzero(np.append(True, np.diff(own) != 1))
-                for i, j in zip(own[cut], own[np.append(cut[1:], len(own)) - 1]):
-                    for k, v in zip(out, (r[1], r[2], r[3] + int(i), r[3] + int(j) + LENGTH)):
-                        k.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["t1", "t2", "lo", "hi"])
+                out += [(t1, t2, first + int(i), first + int(j) + LENGTH, None, None, True) for i, j in zip(own[cut], own[np.append(cut[1:], len(own)) - 1])]
+            if r["parts"] > 1:
+                data, places = memoryview(r["bytes"]), core_places(r["lead"], r["n"])
+                near = {places[i] for i in r["near"]}
+                for k in range(r["n"]):
+                    if (r["lead"] - k) // STEP * STEP in near:
+                        w = xxhash.xxh3_64_intdigest(data[k : k + LENGTH]) - (1 << 63)
+                        if not hit[a + k]:
+                            out.append((t1, t2, first + k, first + k + LENGTH, r["anchor"], w, r["open"]))
+                        elif (r["anchor"], w) not in known:
+                            known.add((r["anchor"], w))
+                            out.append((t1, t2, first + k, first + k + LENGTH, r["anchor"], w, False))
+        columns = list(zip(*out)) or [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["t1", "t2", "lo", "hi", "anchor", "window", "open"])
 
     for b in batches:
-        for r in zip(b.column("anchor").to_pylist(), *(b.column(k).to_pylist() for k in names)):
-            if held >= SORT_BYTES and r[0] != rows[-1][0]:
-                yield spans()
+        for r in zip(*(b.column(k).to_pylist() for k in names)):
+            if held >= SORT_BYTES and r[:2] != (rows[-1]["anchor"], rows[-1]["part"]):
+                yield settled()
                 rows, held = [], 0
-            rows.append(r)
-            held += len(r[5])
+            rows.append(dict(zip(names, r)))
+            held += len(r[-1])
     if rows:
-        yield spans()
-
-
-def _windows(batches):
-    for b in batches:
-        for t1, t2, anchor, first, n, is_open, part in zip(*(b.column(k).to_pylist() for k in ("t1", "t2", "anchor", "first", "n", "open", "bytes"))):
-            data = memoryview(part)
-            w = [xxhash.xxh3_64_intdigest(data[i : i + LENGTH]) - (1 << 63) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([t1] * n, pa.int64()), pa.array([t2] * n, pa.int64()), pa.array([anchor] * n, pa.int64()), pa.array(range(first, first + n), pa.int32()), pa.array([is_open] * n), pa.array(w, pa.int64())], ["t1", "t2", "anchor", "lo", "open", "window"])
+        yield settled()
 
 
 def _merge(batches):
@@ -241,26 +254,24 @@ def repeated_spans(d: DataFrame) -> DataFrame:
     alone = classes.where("copies = 1").select("anchor", "context")
     settled = runs.join(alone, ["anchor", "context"], "left_anti")
     spans = settled.select("t1", "t2", F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("hi"))
-    per_anchor = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("left")).where("left > 0").select("anchor", (F.col("m") > MOST).alias("hot"))
-    asked = classes.join(per_anchor, "anchor").select("x.t1", "x.t2", F.struct("anchor", "x.first", "x.n", "x.lead", (F.col("copies") == 1).alias("open"), "hot").alias("r"))
+    per_anchor = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("left")).where("left > 0").select("anchor", F.ceil(F.col("m") / MOST).cast("int").alias("parts"))
+    asked = classes.join(per_anchor, "anchor").select("x.t1", "x.t2", F.struct("anchor", "x.first", "x.n", "x.lead", (F.col("copies") == 1).alias("open"), "parts").alias("r"))
     asked = C.written(asked.groupBy("t1", "t2").agg(F.collect_list("r").alias("asked")), "contexts-asked")
     keys = asked.select("t1", "t2")
     texts = d.join(F.broadcast(keys) if keys.count() <= C.BROADCAST_ROWS else keys, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.min("text").alias("text"))
-    found = texts.join(asked, ["t1", "t2"]).mapInArrow(_contexts, "t1 long, t2 long, anchor long, first int, n int, open boolean, hot boolean, bytes binary, cores array<long>")
+    found = texts.join(asked, ["t1", "t2"]).mapInArrow(_contexts, "t1 long, t2 long, anchor long, first int, n int, lead int, open boolean, parts int, bytes binary, cores array<long>")
     found = C.written(found, "contexts")
     # Step 2: strings of CORE bytes that stand in two contexts of the anchor.
-    core = found.select("t1", "t2", "anchor", "first", F.explode("cores").alias("core"))
+    core = found.select("t1", "t2", "anchor", "first", F.posexplode("cores").alias("nth", "core"))
     twice = core.groupBy("anchor", "core").count().where("count > 1").select("anchor", "core")
-    close = core.join(twice, ["anchor", "core"]).select("t1", "t2", "first").distinct()
-    found = C.written(found.drop("cores").join(close, ["t1", "t2", "first"], "left_semi"), "contexts-close")
+    close = core.join(twice, ["anchor", "core"]).groupBy("t1", "t2", "first").agg(F.collect_set("nth").alias("near"))
+    found = found.drop("cores").join(close, ["t1", "t2", "first"]).withColumn("part", F.pmod(F.xxhash64("t1", "t2", "first"), F.col("parts")))
     # Step 3.
-    cold = found.where("not hot").select("anchor", "t1", "t2", "first", "open", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.unionByName(cold.mapInArrow(_settle, "t1 long, t2 long, lo int, hi int"))
-    hot = found.where("hot")
-    if not hot.isEmpty():
-        window = C.written(hot.mapInArrow(_windows, "t1 long, t2 long, anchor long, lo int, open boolean, window long"), "hot-windows")
-        again = window.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window")
-        spans = spans.unionByName(window.where("open").join(again, ["anchor", "window"]).select("t1", "t2", "lo", (F.col("lo") + LENGTH).cast("int").alias("hi")))
+    dealt = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    got = C.written(dealt.mapInArrow(_settle, "t1 long, t2 long, lo int, hi int, anchor long, window long, open boolean"), "settled")
+    spans = spans.unionByName(got.where("window is null").select("t1", "t2", "lo", "hi"))
+    again = got.where("window is not null").groupBy("anchor", "window").count().where("count > 1").select("anchor", "window")
+    spans = spans.unionByName(got.where("open and window is not null").join(again, ["anchor", "window"]).select("t1", "t2", "lo", "hi"))
     spans = spans.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return C.written(spans.mapInArrow(_merge, "t1 long, t2 long, spans array<int>"), "repeated-spans")
 

@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from millrace.llm import common as C
 
 #: Words whose tokens a Python worker remembers between chunks; a bound on memory only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text whose words are encoded together.
+CHUNK = 4 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -174,7 +176,7 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         encode = Encoder(t)
-        for b in C.chunks(batches):
+        for b in C.chunks(batches, CHUNK):
             raw, off = C.flat(b.column("text"))
             start, end, row = C.words(raw, off)
             _, one, back = np.unique(C.span_hash(C.prefix_sums(raw), start, end), return_index=True, return_inverse=True)

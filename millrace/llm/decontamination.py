@@ -52,7 +52,7 @@ def windows(codes: str) -> Column:
 
 
 def _exploded(df: DataFrame, key: str, at: str) -> DataFrame:
-    coded = df.select(key, template(F.col("words")).alias("codes")).where(F.size("codes") >= WINDOW)
+    coded = df.select(key, "codes").where(F.size("codes") >= WINDOW)
     return coded.select(key, F.size("codes").alias("n"), "codes", F.posexplode(windows("codes")).alias(at, "window"))
 
 
@@ -68,7 +68,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     """
     d = C.id_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    items = C.cut(items.select("item_id", template_words(F.col("text")).alias("words")))
+    items = items.select("item_id", template_words(F.col("text")).alias("words"))
+    items = C.cut(items.withColumn("codes", template(F.col("words"))))
     literal = F.size(F.filter(F.slice("codes", F.col("ipos") + 1, WINDOW), lambda c: ~c.isin(NUMBER, NAME, UNIT))) >= LITERALS
     wanted = C.cut(_exploded(items, "item_id", "ipos").where(literal).select("item_id", "ipos", "window"))
     total = wanted.groupBy("item_id").agg(F.count("*").alias("item_windows"))
@@ -82,7 +83,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     found = found.where((F.col("n_windows") >= coverage * F.col("item_windows")) | (F.col("n_windows") >= enough))
     best = C.cut(found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "stretch", "at", "item_windows")).alias("x")).select("doc_id", "item_id", "x.n_windows", "x.item_windows", "x.at"))
     texts = C.only(d, best.select("doc_id").distinct()).groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", template_words(F.col("text")).alias("own"))
-    both = best.join(texts, "doc_id").join(items, "item_id").withColumn("codes", template(F.col("words")))
+    both = best.join(texts, "doc_id").join(items, "item_id")
     word = lambda words, i: F.lower(F.translate(F.get(words, i), "\u0001", ""))
     pairs = F.flatten(F.transform("at", lambda h: F.array(*(F.when(F.get(F.col("codes"), h["ipos"] + k).isin(NUMBER, NAME, UNIT), F.struct(word(F.col("words"), h["ipos"] + k).alias("b"), word(F.col("own"), h["pos"] + k).alias("d"))) for k in range(WINDOW)))))
     both = both.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())))

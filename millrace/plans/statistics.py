@@ -123,7 +123,8 @@ def _(t):
 
 @R.query("u5_common_features", "SELECT unnest(['l_discount', 'l_tax']) AS feature")
 def _(t):
-    return _names(t, S.common(_NUM, ["l_tax", "l_discount"]))
+    d, cols = t("lineitem"), ["l_quantity", "l_discount", "l_tax"]
+    return _names(t, S.common(S.quasi_constant(d, cols), S.LowVariance(cols=cols).fit(d).values["dropped"]))
 
 
 queries, oracle_sql = R.queries, R.oracle_sql

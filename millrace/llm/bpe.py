@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from millrace.llm import common as C
 
 #: Words whose tokens a Python worker remembers between chunks; a bound on memory only.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Bytes of text whose words are encoded together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _NONE = np.int64(1 << 40)
 
 

@@ -20,7 +20,7 @@ from millrace.llm import folds
 
 WORDS, SHAPES, WIDTH = 1 << 14, 1 << 11, 32
 #: Bytes of text whose terms' vectors a task holds at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 TERMS = WORDS + SHAPES
 _BLOCKS = 256
 _PER_BLOCK = TERMS // _BLOCKS

@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -334,6 +333,8 @@ def without_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text", cou
 
     @F.pandas_udf("string")
     def cut(texts, spans):
+        import pandas as pd
+
         out = []
         for t, s in zip(texts, spans):
             raw, at, parts = t.encode(), 0, []

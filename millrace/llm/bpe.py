@@ -18,10 +18,8 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import common as C
 
-#: Words whose tokens a Python worker remembers between chunks; a bound on memory only.
-REMEMBERED = 120_000
-#: Bytes of text whose words are encoded together.
-CHUNK = 2 << 20
+#: Words whose tokens a Python worker remembers between chunks, and bytes of text whose words are encoded together: bounds on memory only.
+REMEMBERED, CHUNK = 400_000, 6 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -131,8 +129,8 @@ def _lower(s: str) -> str:
 class Encoder:
     """Encodes words without ASCII white space; each distinct one once, remembered up to a bound."""
 
-    def __init__(self, t: Tokenizer):
-        self.t = t
+    def __init__(self, t: Tokenizer, remembered: int | None = None):
+        self.t, self.remembered = t, remembered or REMEMBERED
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(t.special, key=len, reverse=True))) + ")") if t.special else None
         self.find = regex.compile(t.pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.known: dict[bytes, tuple[str, int, str]] = {}
@@ -149,7 +147,7 @@ class Encoder:
 
     def __call__(self, some: list[bytes]) -> list[tuple[str, int, str]]:
         """For each word its ids as decimals, each with a space after it, their number, and their tokens, likewise."""
-        if len(self.known) + len(some) > REMEMBERED:
+        if len(self.known) + len(some) > self.remembered:
             self.known.clear()
         new = [w for w in some if w not in self.known]
         split = [self._pieces(w) for w in new]
@@ -163,20 +161,21 @@ class Encoder:
         return [self.known[w] for w in some]
 
 
-def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False, remembered: int = REMEMBERED, chunk: int = CHUNK) -> DataFrame:
     """Encodes whole texts and decodes the ids again.
 
     tokenizer: path of the vocabulary file, read on the driver and shipped with the tasks. The vocabulary drops white space and so words are encoded apart;
     strings of special tokens in a text become their ids. Without a decoder in the file, decoded text is the tokens joined by spaces. Returns the
     id, n_tokens and the SHA-256 of the ids (decimals joined by a space) and of the decoded text; with_ids adds `ids`, with_text adds `decoded`.
+    remembered and chunk bound a Python worker's memory and change no result.
     A null or empty text has no tokens; repeated rows and null ids are carried along; further columns are not read. No shuffle.
     """
     t = load(tokenizer)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches):
-        encode = Encoder(t)
-        for b in C.chunks(batches, CHUNK):
+        encode = Encoder(t, remembered)
+        for b in C.chunks(batches, chunk):
             raw, off = C.flat(b.column("text"))
             start, end, row = C.words(raw, off)
             _, one, back = np.unique(C.span_hash(C.prefix_sums(raw), start, end), return_index=True, return_inverse=True)

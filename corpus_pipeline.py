@@ -44,8 +44,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with the digests of ids and decoded text."""
-    return bpe(docs, tokenizer_file("word_bpe_49k.json"), with_ids=True)
+    """Token ids of what is left, with the digests of ids and decoded text. Workers hold less than alone, as the stages before have filled the executors."""
+    return bpe(docs, tokenizer_file("word_bpe_49k.json"), with_ids=True, remembered=120_000, chunk=2 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

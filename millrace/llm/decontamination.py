@@ -1,8 +1,8 @@
 """Operator 2: benchmark passages in documents, also with other numbers, names or units, by template windows. DataFrame functions only.
 
 A text becomes words without punctuation; a number, a unit after a number and a capitalised word each become a typed placeholder, other words are lower-cased.
-Hashes of five-word template windows are joined with those of the benchmark. Where enough of an item's windows lie along one stretch of a
-document, the values behind the placeholders decide: one value of the item must stand for one value of the document throughout.
+Hashes of five-word windows, of the template and of the words in lower case, are joined with those of the benchmark. Where enough of an item's windows lie along
+one stretch of a document, the values behind the placeholders decide: one value of the item must stand for one value of the document throughout.
 """
 
 from __future__ import annotations
@@ -16,11 +16,15 @@ WINDOW = 5
 #: Words of a window that must not be placeholders.
 LITERALS = 3
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Kinds of an item's windows: templates; words in lower case with placeholders for numbers and units; words in lower case.
+TEMPLATE, PLAIN, RAW = 0, 1, 2
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l s sec min h hr hours minutes seconds days years percent usd eur dollars euros cents mph kmh hz khz mhz kb mb gb w kw v a k c f".split()
 #: Windows of the benchmark are broadcast up to so many rows; beyond, the join is shuffled.
 BROADCAST_WINDOWS = 1_000_000
 #: Positions of an item's windows may drift so far against the document's, by words put in or left out.
 DRIFT = 64
+#: Windows of a text that are laid out at a time; it bounds memory, not the work.
+BLOCK = 4096
 
 
 def template_words(text: Column) -> Column:
@@ -30,64 +34,107 @@ def template_words(text: Column) -> Column:
     return F.filter(F.split(marked, " "), lambda w: w != "")
 
 
-def template(words: Column) -> Column:
-    """For each word a number: its placeholder, or the hash of the word in lower case."""
+def plain(words: Column) -> Column:
+    """For each word a number: NUMBER, UNIT, or the hash of the word in lower case."""
+    return F.transform(words, lambda w: F.when(F.ascii(w) == 1, F.lit(UNIT).cast("long")).when(F.ascii(w).between(48, 57), F.lit(NUMBER).cast("long")).otherwise(F.xxhash64(F.lower(w))))
 
-    def code(w: Column) -> Column:
+
+def template(words: Column, plain_codes: Column) -> Column:
+    """The plain codes with NAME for capitalised words."""
+
+    def code(w: Column, c: Column) -> Column:
         first, rest = F.substring(w, 1, 1), F.substring(w, 2, 1 << 30)
-        return (
-            F.when(F.ascii(w) == 1, F.lit(UNIT).cast("long"))
-            .when(F.ascii(w).between(48, 57), F.lit(NUMBER).cast("long"))
-            .when((first != F.lower(first)) & (rest == F.lower(rest)) & (rest != ""), F.lit(NAME).cast("long"))
-            .otherwise(F.xxhash64(F.lower(w)))
-        )
+        name = (first != F.lower(first)) & (rest == F.lower(rest)) & (rest != "") & ~F.ascii(w).between(48, 57) & (F.ascii(w) != 1)
+        return F.when(name, F.lit(NAME).cast("long")).otherwise(c)
+
+    return F.zip_with(words, plain_codes, code)
+
+
+def raw(words: Column) -> Column:
+    """For each word the hash of its lower case, numbers and units as well."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(F.translate(w, "\u0001", ""))))
+
+
+def _coded(df: DataFrame, key: str, rows: Column, with_raw: bool) -> DataFrame:
+    """Key, words and their codes: as a template t, plain p and, if wanted, raw r."""
+    df = df.select(key, rows.alias("words")).withColumn("p", plain(F.col("words")))
+    df = df.withColumn("t", template(F.col("words"), F.col("p")))
+    return df.withColumn("r", raw(F.col("words"))) if with_raw else df
+
 
-    return F.transform(words, code)
+def _windows(coded: DataFrame, key: str, at: str, codes: list[str]) -> DataFrame:
+    """A row for each place of a text and, by code, the WINDOW words from there as c_0, c_1 and so on, null beyond the end. Long texts are laid out in blocks."""
+    block = F.explode(F.transform(F.sequence(F.lit(0), F.size(codes[0]) - 1, F.lit(BLOCK)), lambda i: F.struct(i.alias("i"), *(F.slice(c, i + 1, BLOCK + WINDOW - 1).alias(c) for c in codes))))
+    blocks = coded.where(F.size(codes[0]) > 0).select(key, block.alias("b")).select(key, "b.*")
+    each = [f"{c}_{k}" for c in codes for k in range(WINDOW)]
+    shifted = F.arrays_zip(*(F.slice(c, k + 1, BLOCK).alias(f"{c}_{k}") for c in codes for k in range(WINDOW)))
+    return blocks.select(key, "i", F.posexplode(shifted).alias("k", "w")).select(key, (F.col("i") + F.col("k")).alias(at), *(F.col("w")[e].alias(e) for e in each))
 
 
-def windows(codes: str) -> Column:
-    """Hashes of all windows of a template column; none where it is too short."""
-    c = F.col(codes)
-    return F.transform(F.sequence(F.lit(0), F.size(c) - WINDOW), lambda i: F.xxhash64(*(F.get(c, i + k) for k in range(WINDOW))))
+def _hash(code: str, size: int = WINDOW) -> Column:
+    """Of the first `size` words; null ones beyond the text's end do not count."""
+    return F.xxhash64(*(F.col(f"{code}_{k}") for k in range(size)))
 
 
-def _exploded(df: DataFrame, key: str, at: str) -> DataFrame:
-    coded = df.select(key, "codes").where(F.size("codes") >= WINDOW)
-    return coded.select(key, F.size("codes").alias("n"), "codes", F.posexplode(windows("codes")).alias(at, "window"))
+def _literal(code: str) -> Column:
+    """Whether enough of a window's words are no placeholders."""
+    return sum(((~F.col(f"{code}_{k}").isin(NUMBER, NAME, UNIT)).cast("int") for k in range(WINDOW)), F.lit(0)) >= LITERALS
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4, enough: int = 25, consistency: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """A row for each document and benchmark item whose passage it holds.
 
-    A passage counts when `coverage` of the item's template windows, or `enough` of them, lie along one stretch of the document, and the share of slot pairs
-    that are one-to-one is at least `consistency`. Returns the ids, windows found and to be found, slots, their consistency, and whether
-    all slot values are the item's own (verbatim). Null and empty texts, texts and items of fewer than five words and windows of mostly placeholders match
+    A passage counts when `coverage` of the item's windows of one kind, or `enough` of them, lie along one stretch of the document, and the share of slot pairs
+    that are one-to-one is at least `consistency` in some alignment of the stretch. An item that has neither is not found.
+    Returns the ids, windows found and to be found in the kind that found most, slots, their consistency, and whether
+    all slot values are the item's own (verbatim). Null texts and texts and items without a word match
     nothing; repeated items count once, repeated rows of a document once; a null id of either side is left out. Further columns are not read.
     Documents are read whole, their texts are never shuffled unless more than C.BROADCAST_ROWS of them match; windows of the benchmark are
     broadcast only if a count shows them to be few.
     """
     d = C.id_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    items = items.select("item_id", template_words(F.col("text")).alias("words"))
-    items = C.cut(items.withColumn("codes", template(F.col("words"))))
-    literal = F.size(F.filter(F.slice("codes", F.col("ipos") + 1, WINDOW), lambda c: ~c.isin(NUMBER, NAME, UNIT))) >= LITERALS
-    wanted = C.cut(_exploded(items, "item_id", "ipos").where(literal).select("item_id", "ipos", "window"))
-    total = wanted.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    items = C.cut(_coded(items, "item_id", template_words(F.col("text")), True))
+    places = C.cut(_windows(items, "item_id", "ipos", ["t", "p", "r"]))
+    kinds = [places.where(f"{c}_{WINDOW - 1} is not null").where(_literal(c)).select("item_id", F.lit(kind).alias("kind"), "ipos", _hash(c).alias("window")) for kind, c in ((TEMPLATE, "t"), (PLAIN, "p"))]
+    loose = C.cut(kinds[0])
+    wanted = loose
+    total = wanted.groupBy("item_id").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"of_{k}") for k in (TEMPLATE, PLAIN, RAW)))
     few = wanted.count() <= BROADCAST_WINDOWS
-    coded = d.select("doc_id", template(template_words(F.col("text"))).alias("codes")).where(F.size("codes") >= WINDOW)
-    hits = coded.select("doc_id", F.posexplode(windows("codes")).alias("pos", "window")).join(F.broadcast(wanted) if few else wanted, "window").select("doc_id", "item_id", "pos", "ipos")
+    coded = _coded(d, "doc_id", template_words(F.col("text")), False).drop("words")
+    places = _windows(coded, "doc_id", "pos", ["t", "p"])
+    full, t, p = F.col(f"t_{WINDOW - 1}").isNotNull(), _hash("t"), _hash("p")
+    own = F.array(t)
+    places = places.where(full)
+    hits = places.select("doc_id", "pos", F.explode(own).alias("window")).join(F.broadcast(wanted) if few else wanted, "window").select("doc_id", "item_id", "kind", "pos", "ipos")
     # Two shifted divisions of the offsets, so that a stretch is whole in one of them.
     stretch = F.explode(F.array(*(F.floor((F.col("pos") - F.col("ipos") + k * DRIFT // 2) / DRIFT) * 2 + k for k in (0, 1)))).alias("stretch")
-    found = hits.select("doc_id", "item_id", "pos", "ipos", stretch).groupBy("doc_id", "item_id", "stretch", "ipos").agg(F.min("pos").alias("pos"))
-    found = found.groupBy("doc_id", "item_id", "stretch").agg(F.count("*").alias("n_windows"), F.collect_list(F.struct("pos", "ipos")).alias("at")).join(F.broadcast(total) if few else total, "item_id")
-    found = found.where((F.col("n_windows") >= coverage * F.col("item_windows")) | (F.col("n_windows") >= enough))
-    best = C.cut(found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "stretch", "at", "item_windows")).alias("x")).select("doc_id", "item_id", "x.n_windows", "x.item_windows", "x.at"))
-    texts = C.only(d, best.select("doc_id").distinct()).groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", template_words(F.col("text")).alias("own"))
-    both = best.join(texts, "doc_id").join(items, "item_id")
+    found = hits.select("doc_id", "item_id", "kind", "pos", "ipos", stretch).groupBy("doc_id", "item_id", "stretch").agg(F.collect_set(F.struct("pos", "ipos", "kind")).alias("hits"))
+    found = found.join(F.broadcast(total) if few else total, "item_id")
+
+    def most(hits: str) -> Column:
+        """The kind of which the largest share of windows is among the hits, null if none has enough: share, windows and windows to be found."""
+        each = []
+        for kind, share in ((TEMPLATE, coverage), (PLAIN, coverage), (RAW, 1.0)):
+            n, of = F.size(F.array_distinct(F.transform(F.filter(hits, lambda h: h["kind"] == kind), lambda h: h["ipos"]))), F.col(f"of_{kind}")  # noqa: B023
+            each.append(F.when((n > 0) & ((n >= share * of) | (n >= enough)), F.struct((n / of).alias("share"), n.alias("n_windows"), of.alias("item_windows"))))
+        return F.array_max(F.array(*each))
+
+    found = found.where(most("hits").isNotNull())
+    # A window that stands twice has several places: every offset of the stretch is tried, alone and with the places nearest to it, by templates alone and by all kinds.
+    offsets = F.array_distinct(F.transform("hits", lambda h: h["pos"] - h["ipos"]))
+    tried = found.withColumn("a", F.explode(offsets)).withColumn("by", F.explode(F.when(F.col(f"of_{RAW}") > 0, F.array(F.struct(F.lit(0).alias("width"), F.lit(RAW).alias("kind")))).otherwise(F.array(*(F.struct(F.lit(width).alias("width"), F.lit(kind).alias("kind")) for width in (0, DRIFT) for kind in (TEMPLATE, PLAIN))))))
+    near = F.array_sort(F.transform("hits", lambda h: F.struct(h["ipos"].alias("ipos"), F.abs(h["pos"] - h["ipos"] - F.col("a")).alias("off"), h["pos"].alias("pos"), h["kind"].alias("kind"))))
+    lines = tried.withColumn("near", F.filter(near, lambda x: (x["off"] <= F.col("by.width")) & (x["kind"] <= F.col("by.kind"))))
+    lines = lines.withColumn("most", most("near")).where("most is not null").withColumn("at", F.filter("near", lambda x, i: (i == 0) | (F.get(F.col("near"), i - 1)["ipos"] != x["ipos"])))
+    lines = C.cut(lines.select("doc_id", "item_id", "most", F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["ipos"].alias("ipos"))).alias("at")).distinct())
+    texts = C.only(d, lines.select("doc_id").distinct()).groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", template_words(F.col("text")).alias("own"))
+    both = lines.join(texts, "doc_id").join(items.select("item_id", "words", "t"), "item_id")
     word = lambda words, i: F.lower(F.translate(F.get(words, i), "\u0001", ""))
-    pairs = F.flatten(F.transform("at", lambda h: F.array(*(F.when(F.get(F.col("codes"), h["ipos"] + k).isin(NUMBER, NAME, UNIT), F.struct(word(F.col("words"), h["ipos"] + k).alias("b"), word(F.col("own"), h["pos"] + k).alias("d"))) for k in range(WINDOW)))))
-    both = both.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())))
+    pairs = F.flatten(F.transform("at", lambda h: F.array(*(F.when(F.get(F.col("t"), h["ipos"] + k).isin(NUMBER, NAME, UNIT), F.struct(word(F.col("words"), h["ipos"] + k).alias("b"), word(F.col("own"), h["pos"] + k).alias("d"))) for k in range(WINDOW)))))
+    both = both.select("doc_id", "item_id", "most", F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())).alias("pairs"))
     values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     slots = F.size("pairs")
-    out = both.select("doc_id", "item_id", "n_windows", "item_windows", slots.alias("slots"), F.when(slots == 0, 1.0).otherwise(F.least(values("b"), values("d")) / slots).alias("consistency"), F.forall("pairs", lambda p: p["b"] == p["d"]).alias("verbatim"))
-    return out.where(F.col("consistency") >= consistency)
+    out = both.select("doc_id", "item_id", "most", slots.alias("slots"), F.when(slots == 0, 1.0).otherwise(F.least(values("b"), values("d")) / slots).alias("consistency"), F.forall("pairs", lambda p: p["b"] == p["d"]).alias("verbatim"))
+    best = F.max(F.struct("most", "consistency", "verbatim", "slots")).alias("x")
+    return out.where(F.col("consistency") >= consistency).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.most.n_windows", "x.most.item_windows", "x.slots", "x.consistency", "x.verbatim")

@@ -34,3 +34,25 @@ def test_empty(spark):
     assert decontaminate(docs, bench.limit(0)).count() == 0
     assert decontaminate(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench).count() == 1
+
+
+def found(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate(docs, bench).collect()}
+
+
+def test_template_that_stands_twice(spark):
+    rng = random.Random(4)
+    item = "Anna has 3 red apples and Peter has 5 red apples in the same basket today"
+    twice = item.replace("3", "8").replace("Peter has 5", "Anna has 8")
+    got = found(spark, [item, prose(rng, 30) + " " + item + " " + prose(rng, 30), item.replace("Anna", "Maria").replace("5", "9"), twice + " " + item, item + " " + twice], [item])
+    assert {d for d, _ in got} == {0, 1, 2, 3, 4}
+    assert all(r.consistency == 1.0 and r.verbatim == (d != 2) for (d, _), r in got.items())
+
+
+def test_second_stretch_is_tried(spark):
+    rng = random.Random(5)
+    mixed = ITEM.replace("Anna", "Maria", 1).replace("Peter", "Hans", 1).replace("12", "75", 1)
+    part = " ".join(ITEM.split()[:20])
+    assert set(found(spark, [mixed, mixed + " " + prose(rng, 200) + " " + part], [ITEM])) == {(1, 0)}

@@ -85,7 +85,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     """A row for each document and benchmark item whose passage it holds.
 
     A passage counts when `coverage` of the item's windows of one kind, or `enough` of them, lie along one stretch of the document, and the share of slot pairs
-    that are one-to-one is at least `consistency` in some alignment of the stretch. An item that has neither is not found.
+    that are one-to-one is at least `consistency` in some alignment of the stretch. Windows are of two kinds: templates, and words in lower case with
+    placeholders for numbers and units only, which find copies in other letter case. An item that has neither is not found.
     Returns the ids, windows found and to be found in the kind that found most, slots, their consistency, and whether
     all slot values are the item's own (verbatim). Null texts and texts and items without a word match
     nothing; repeated items count once, repeated rows of a document once; a null id of either side is left out. Further columns are not read.
@@ -97,14 +98,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     items = C.cut(_coded(items, "item_id", template_words(F.col("text")), True))
     places = C.cut(_windows(items, "item_id", "ipos", ["t", "p", "r"]))
     kinds = [places.where(f"{c}_{WINDOW - 1} is not null").where(_literal(c)).select("item_id", F.lit(kind).alias("kind"), "ipos", _hash(c).alias("window")) for kind, c in ((TEMPLATE, "t"), (PLAIN, "p"))]
-    loose = C.cut(kinds[0])
+    loose = C.cut(kinds[0].unionByName(kinds[1]))
     wanted = loose
     total = wanted.groupBy("item_id").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"of_{k}") for k in (TEMPLATE, PLAIN, RAW)))
     few = wanted.count() <= BROADCAST_WINDOWS
     coded = _coded(d, "doc_id", template_words(F.col("text")), False).drop("words")
     places = _windows(coded, "doc_id", "pos", ["t", "p"])
     full, t, p = F.col(f"t_{WINDOW - 1}").isNotNull(), _hash("t"), _hash("p")
-    own = F.array(t)
+    own = F.when(t == p, F.array(t)).otherwise(F.array(t, p))
     places = places.where(full)
     hits = places.select("doc_id", "pos", F.explode(own).alias("window")).join(F.broadcast(wanted) if few else wanted, "window").select("doc_id", "item_id", "kind", "pos", "ipos")
     # Two shifted divisions of the offsets, so that a stretch is whole in one of them.

@@ -56,3 +56,10 @@ def test_second_stretch_is_tried(spark):
     mixed = ITEM.replace("Anna", "Maria", 1).replace("Peter", "Hans", 1).replace("12", "75", 1)
     part = " ".join(ITEM.split()[:20])
     assert set(found(spark, [mixed, mixed + " " + prose(rng, 200) + " " + part], [ITEM])) == {(1, 0)}
+
+
+def test_other_letter_case(spark):
+    got = found(spark, [ITEM.lower(), ITEM.upper(), ITEM.title(), ITEM.lower().replace("12", "75")], [ITEM])
+    assert {d for d, _ in got} == {0, 1, 2, 3} and [got[d, 0].verbatim for d in range(4)] == [True, True, True, False]
+    names = "Then Anna Met Peter Near Old Town Hall while Maria And Hans Left London For Rome"
+    assert set(found(spark, [names.lower(), names.upper()], [names])) == {(0, 0), (1, 0)}

@@ -86,7 +86,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
 
     A passage counts when `coverage` of the item's windows of one kind, or `enough` of them, lie along one stretch of the document, and the share of slot pairs
     that are one-to-one is at least `consistency` in some alignment of the stretch. Windows are of two kinds: templates, and words in lower case with
-    placeholders for numbers and units only, which find copies in other letter case. An item that has neither is not found.
+    placeholders for numbers and units only, which find copies in other letter case. An item that has neither, as its windows are mostly placeholders
+    or it has fewer than five words, is found by its own words in lower case, all in a row (or `enough` windows of them).
     Returns the ids, windows found and to be found in the kind that found most, slots, their consistency, and whether
     all slot values are the item's own (verbatim). Null texts and texts and items without a word match
     nothing; repeated items count once, repeated rows of a document once; a null id of either side is left out. Further columns are not read.
@@ -99,14 +100,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     places = C.cut(_windows(items, "item_id", "ipos", ["t", "p", "r"]))
     kinds = [places.where(f"{c}_{WINDOW - 1} is not null").where(_literal(c)).select("item_id", F.lit(kind).alias("kind"), "ipos", _hash(c).alias("window")) for kind, c in ((TEMPLATE, "t"), (PLAIN, "p"))]
     loose = C.cut(kinds[0].unionByName(kinds[1]))
-    wanted = loose
+    # An item shorter than a window is one window.
+    short = items.where(F.size("words") < WINDOW).select("item_id", F.size("words").alias("n"))
+    bare = places.join(loose.select("item_id").distinct(), "item_id", "left_anti").join(short, "item_id", "left")
+    bare = C.cut(bare.where(f"r_{WINDOW - 1} is not null or (n is not null and ipos = 0)").select("item_id", F.lit(RAW).alias("kind"), "ipos", _hash("r").alias("window"), F.coalesce("n", F.lit(WINDOW)).alias("n")))
+    sizes = sorted(r.n for r in bare.select("n").distinct().collect())
+    wanted = C.cut(loose.unionByName(bare.drop("n")))
     total = wanted.groupBy("item_id").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"of_{k}") for k in (TEMPLATE, PLAIN, RAW)))
     few = wanted.count() <= BROADCAST_WINDOWS
-    coded = _coded(d, "doc_id", template_words(F.col("text")), False).drop("words")
-    places = _windows(coded, "doc_id", "pos", ["t", "p"])
+    coded = _coded(d, "doc_id", template_words(F.col("text")), bool(sizes)).drop("words")
+    places = _windows(coded, "doc_id", "pos", ["t", "p", "r"] if sizes else ["t", "p"])
     full, t, p = F.col(f"t_{WINDOW - 1}").isNotNull(), _hash("t"), _hash("p")
-    own = F.when(t == p, F.array(t)).otherwise(F.array(t, p))
-    places = places.where(full)
+    if sizes:
+        own = F.array_distinct(F.array_compact(F.array(F.when(full, t), F.when(full, p), *(F.when(F.col(f"r_{n - 1}").isNotNull(), _hash("r", n)) for n in sizes))))
+    else:
+        own = F.when(t == p, F.array(t)).otherwise(F.array(t, p))
+        places = places.where(full)
     hits = places.select("doc_id", "pos", F.explode(own).alias("window")).join(F.broadcast(wanted) if few else wanted, "window").select("doc_id", "item_id", "kind", "pos", "ipos")
     # Two shifted divisions of the offsets, so that a stretch is whole in one of them.
     stretch = F.explode(F.array(*(F.floor((F.col("pos") - F.col("ipos") + k * DRIFT // 2) / DRIFT) * 2 + k for k in (0, 1)))).alias("stretch")

@@ -63,3 +63,10 @@ def test_other_letter_case(spark):
     assert {d for d, _ in got} == {0, 1, 2, 3} and [got[d, 0].verbatim for d in range(4)] == [True, True, True, False]
     names = "Then Anna Met Peter Near Old Town Hall while Maria And Hans Left London For Rome"
     assert set(found(spark, [names.lower(), names.upper()], [names])) == {(0, 0), (1, 0)}
+
+
+def test_items_without_literal_windows(spark):
+    rng = random.Random(6)
+    items = ["Compute 12 + 35 * 4 - 7", "Anna Peter Maria Hans Paris London", "1 2 3 4 5 6 7 8", "Photosynthesis", "Seven 8 kg", "+ = ?", "Anna 1 Peter 2 3 4 5"]
+    texts = [prose(rng, 9) + " " + x + ". " + prose(rng, 9) for x in items] + [items[3].lower(), "seven 8 KG", "compute 12 + 36 * 4 - 7", "2 3 4 5 6 7 8 9", "anna 1 peter 2 3 4 6", "seven 8 lb", prose(rng, 5000) + " " + items[2]]
+    assert set(found(spark, texts, items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (7, 3), (8, 4), (13, 2)}

@@ -40,8 +40,17 @@ def read_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     return first, [x.encode() for x in pieces if "▁" not in x and x]
 
 
+def read_fallback(path: str) -> tuple[list[bytes], list[bytes]]:
+    """What a sentencepiece model spells other words with: its lone word mark, as an empty first piece, and its byte pieces, which go on in a word."""
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = range(p.get_piece_size())
+    return [b"" for i in ids if p.id_to_piece(i) == "▁" and not p.is_unused(i)], [bytes([int(p.id_to_piece(i)[3:-1], 16)]) for i in ids if p.is_byte(i)]
+
+
 def build(first: list[bytes], rest: list[bytes]) -> Automaton:
-    """The automaton of a vocabulary, breadth first, so that the link of a node rests on shallower ones only."""
+    """The automaton of a vocabulary, breadth first, so that the link of a node rests on shallower ones only. An empty first piece is the lone word mark."""
     to: list[dict[int, int]] = [{}, {}]
     is_piece = [False, False]
     for root, pieces in ((START, first), (REST, rest)):
@@ -55,6 +64,8 @@ def build(first: list[bytes], rest: list[bytes]) -> Automaton:
                 node = to[node][c]
             is_piece[node] = True
     link, popped, level = [-1] * len(to), [0] * len(to), [START, REST]
+    if is_piece[START]:
+        link[START], popped[START] = REST, 1
     while level:
         below = []
         for u in level:
@@ -112,24 +123,37 @@ def count_pieces(a: Automaton, raw: np.ndarray, start: np.ndarray, end: np.ndarr
 
 
 def token_counts(docs: DataFrame, vocabulary: str | tuple[list[bytes], list[bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Words, greedy pieces, words that the vocabulary cannot spell (one piece each) and the most pieces of a word, for every document.
+    """Words, greedy pieces, words that the vocabulary cannot spell (one piece each) and the most pieces of a word, for every document; and pieces in full.
+
+    n_pieces counts such a word by what the model falls back to: its lone word mark before a character that no first piece begins with, and byte pieces for
+    characters outside the vocabulary; only words that even these cannot spell count one. longest_pieces is the most of a word in that count. With two
+    lists of pieces, which have no fallback but an empty first piece as the mark, both counts are the same.
 
     Words are runs without ASCII white space, read whole whatever their length. A null or empty text has zero of each; repeated rows and null ids are
     carried along; further columns are not read. One pass without a shuffle; each distinct word of a chunk is matched once. vocabulary: a
     sentencepiece model's path, read on the driver only, or the two lists of pieces.
     """
-    automaton = build(*(read_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary))
+    first, rest = read_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
+    automaton, whole = build(first, rest), None
+    if isinstance(vocabulary, str):
+        mark, octets = read_fallback(vocabulary)
+        whole = build(first + mark, rest + octets)
 
     def run(batches):
         for b in C.chunks(batches):
             raw, off = C.flat(b.column("text"))
             start, end, row = C.words(raw, off)
             _, one, back = np.unique(C.span_hash(C.prefix_sums(raw), start, end), return_index=True, return_inverse=True)
-            got = count_pieces(automaton, raw, start[one], end[one])[back] if len(start) else np.zeros(0, np.int64)
-            unknown, most = got < 0, np.zeros(b.num_rows, np.int64)
-            got = np.where(unknown, 1, got)
+            got = count_pieces(automaton, raw, start[one], end[one]) if len(start) else np.zeros(0, np.int64)
+            full, hard = got.copy(), np.flatnonzero(got < 0)
+            if whole and len(hard):
+                full[hard] = count_pieces(whole, raw, start[one][hard], end[one][hard])
+            got, full = (got[back], full[back]) if len(start) else (got, full)
+            unknown, most, most_full = got < 0, np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            got, full = np.where(unknown, 1, got), np.where(full < 0, 1, full)
             np.maximum.at(most, row, got)
-            columns = [C.per_row(row, b.num_rows), C.per_row(row, b.num_rows, got).astype(np.int64), C.per_row(row[unknown], b.num_rows), most]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", "n_words", "n_tokens", "n_unknown", "longest"])
+            np.maximum.at(most_full, row, full)
+            columns = [C.per_row(row, b.num_rows), C.per_row(row, b.num_rows, got).astype(np.int64), C.per_row(row[unknown], b.num_rows), most, C.per_row(row, b.num_rows, full).astype(np.int64), most_full]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", "n_words", "n_tokens", "n_unknown", "longest", "n_pieces", "longest_pieces"])
 
-    return C.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long, longest long")
+    return C.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long, longest long, n_pieces long, longest_pieces long")

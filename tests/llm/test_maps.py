@@ -124,6 +124,29 @@ def test_token_counts_match_library(spark):
         assert got[r.doc_id] == sum(len(model.tokenize(w)) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
 
 
+def test_token_counts_in_full(spark):
+    import sentencepiece
+
+    path = Q.tokenizer_file("piece_bpe_32k.model")
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    pool = {p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_byte(i) or p.is_unknown(i) or p.is_unused(i))}
+
+    def greedy(word):
+        n, at, word = 0, 0, "▁" + word
+        while at < len(word):
+            to = next((to for to in range(min(len(word), at + 64), at, -1) if word[at:to] in pool), None)
+            n, at = (n + 1, to) if to else (n + len(word[at].encode()), at + 1)
+        return n
+
+    assert max(map(len, pool)) <= 64 and greedy("2023") == 5
+    texts = ["2023", "12:30 on 1.5.2024", "ñandú ça ßen", "日本語テキスト 中文段落沒有空格", "one🙂🙃two ሀለሐ 🙂", "7" * 3000, "plain words", "", None]
+    rows = list(enumerate(texts)) + [(r.doc_id + 100, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    got = {r.doc_id: r for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    for i, text in rows:
+        n = [greedy(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        assert (got[i].n_pieces, got[i].longest_pieces) == (sum(n), max(n, default=0)), repr(text)[:80]
+
+
 def test_automaton_is_linear_on_long_words():
     a = build([b"a"], [b"a" * 50, b"a"])
     assert (a.popped >= 0).all() and a.link[0] == -1

@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes and more that stand twice; a document of which nothing else is left goes."""
+    """Texts without the passages of 200 bytes and more that stand twice; a document of which nothing else than white space is left goes. Documents that were blank before stay."""
     keys = keyed(docs, "doc_id", "text").select("t1", "t2", "text")
-    return without_spans(docs, repeated_spans(keys)).where("text is null or trim(text) <> '' or n_chars = 0")
+    return without_spans(docs, repeated_spans(keys), blank=False)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

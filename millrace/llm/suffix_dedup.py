@@ -323,8 +323,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return d.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
-    """docs, all columns, with the spans cut out of the texts, narrowed to whole characters, and their characters recounted. Other rows stay as they are."""
+def without_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text", count_col: str = "n_chars", blank: bool = True) -> DataFrame:
+    """docs, all columns, with the spans cut out of the texts, narrowed to whole characters, and their characters recounted. Other rows stay as they are.
+
+    Without `blank`, a text goes that was cut and of which only white space is left.
+    """
     columns = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(7), text)})
@@ -347,4 +350,6 @@ def without_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text", cou
 
     same = d.where("_spans is null").select(columns)
     changed = d.where("_spans is not null").withColumn(text_col, cut(F.col(text_col), F.col("_spans")))
+    if not blank:
+        changed = changed.where(F.col(text_col).rlike(r"\S"))
     return same.unionByName(changed.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)).select(columns))

@@ -43,6 +43,16 @@ def test_repeated_passages(spark, docs):
             assert got[i].n_chars == len(got[i].text)
 
 
+def test_emptied_documents_go_and_blank_ones_stay(spark):
+    passage = " ".join(f"w{i * i}" for i in range(90))
+    texts = [("a", passage, 1), ("b", passage, 1), ("c", passage + "\n \t", 1), ("d", passage + " and something else", 1), ("e", "   ", 3), ("f", "", None), ("g", "", 0), ("h", None, None), ("i", "\n", 1)]
+    docs = spark.createDataFrame([(i, t, "en", s, n) for i, (s, t, n) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.source: r for r in P.repeated_passages(spark, docs, SF).collect()}
+    assert set("efghi") <= set(got) and [got[k].text for k in "efghi"] == ["   ", "", "", None, "\n"]
+    cut = [got[k].text for k in "abcd" if k in got]
+    assert all(t.strip() for t in cut) and len(cut) < 4 and sum(passage in t for t in cut) <= 1
+
+
 def test_leaks(spark, docs):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     planted = docs.limit(3).withColumns({"doc_id": F.col("doc_id") + 10**9, "text": F.concat("text", F.lit(" " + item + " "), "text")})

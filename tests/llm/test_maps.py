@@ -38,6 +38,7 @@ def test_quality_rules_counts(docs):
         assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text))), text
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(marked)), text
         assert (r.n_lines, r.n_distinct_words) == (len(lines), len(set(words)))
+        assert (r.n_alpha_words, r.n_plain_words) == (sum(bool(re.search(r"[A-Za-z]|[^\0-\x7f]", w)) for w in words), sum(bool(re.search(r"([A-Za-z0-9.?!:;,\"')]|[^\0-\x7f])\Z", w)) for w in words)), text
         assert r.base_failed == (len(words) < 50 or 100 * len(marked) > 50 * len(words))
         assert not (r.base_failed and r.kept) and 0 <= r.quality <= 1
 
@@ -51,6 +52,31 @@ def test_quality_rules_keep_clean(spark):
     assert quality_rules(d.limit(0)).count() == 0
 
 
+def test_quality_rules_fit_by_single_documents(spark):
+    """The model fitted on the table of patterns is that of an expectation-maximisation over single documents in plain Python, and so are the posteriors."""
+    rows = quality_rules(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    names = [k for k in rows[0].asDict() if k.startswith("vote_")]
+    votes = [[r[k] for k in names] for r in rows]
+    share, right = 0.8, {k: [0.9, 0.5] for k in range(len(names))}
+
+    def chance(v):
+        good, bad = share, 1 - share
+        for k, x in enumerate(v):
+            if x >= 0:
+                good *= right[k][0] if x else 1 - right[k][0]
+                bad *= 1 - right[k][1] if x else right[k][1]
+        return good / (good + bad)
+
+    for _ in range(100):
+        p = [chance(v) for v in votes]
+        share = (sum(p) + 0.8) / (len(p) + 1)
+        for k in right:
+            on = [[(q, v[k]) for q, v in zip(p, votes) if v[k] >= 0], [(1 - q, v[k]) for q, v in zip(p, votes) if v[k] >= 0]]
+            right[k] = [(sum(q for q, x in on[0] if x == 1) + 0.9) / (sum(q for q, _ in on[0]) + 1), (sum(q for q, x in on[1] if x == 0) + 0.5) / (sum(q for q, _ in on[1]) + 1)]
+    assert all(abs(r.quality - chance(v)) < 1e-6 for r, v in zip(rows, votes))
+    assert any(not r.kept and not r.base_failed for r in rows)
+
+
 def test_bpe_matches_library(docs):
     from tokenizers import Tokenizer
 

@@ -1,8 +1,9 @@
 """Operator 8: toxicity of a document by compression distance.
 
-Two zstandard dictionaries are trained: one from the words of ordinary text, weighted by documents and length, and one that has in front of the same base the
-words that recur in toxic documents and are rare in ordinary ones. Windows of a text are compressed with both; how many bytes the toxic dictionary
-saves, at most, on the average and how often, is calibrated on labelled documents that trained neither.
+Two dictionaries are trained by zstandard: one on windows of ordinary text, one on windows of toxic text. Only few windows of a toxic document are toxic, so the
+second learns from those that hold a word which recurs in toxic documents and is rare in ordinary ones; without that choice the trainer picks the syllables
+that all text has. Windows of a text are compressed with the ordinary dictionary alone and with the toxic one laid over it; how many bytes
+that saves, at most, on the average and how often, is calibrated on labelled documents that trained neither.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from pyspark.sql import functions as F
 from millrace.llm import common as C
 from millrace.llm import folds
 
-#: Words of a window, words of the toxic part, bytes of the base, and a window's gain that counts as a find.
-WINDOW, SEGMENTS, BASE, FIND = 12, 60, 16_000, 3
+#: Words of a window that is compressed, of a window that trains the toxic dictionary, and a window's gain that counts as a find.
+WINDOW, SPAN, FIND = 12, 2, 3
+#: Bytes of the two dictionaries, and windows that train one at most.
+TOXIC, ORDINARY, SAMPLES = 2048, 32_768, 30_000
 FEATURES = 7
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     """Matches of five bytes and more; no header fields, so that lengths differ by content alone."""
-    level = zstandard.ZstdCompressionParameters(window_log=16, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+    level = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
     words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     words.precompute_compress(compression_params=level)
     return zstandard.ZstdCompressor(dict_data=words, compression_params=level)
@@ -73,33 +76,60 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 0
     return c
 
 
+def trained(windows: list[str], size: int) -> bytes:
+    """A dictionary by zstandard's trainer; the windows themselves where they are too few to train on."""
+    samples = [f" {w} ".encode() for w in windows]
+    try:
+        return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def _windows(texts: DataFrame, size: int) -> DataFrame:
+    """(k, i, words): the words of each text in windows of `size`."""
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(size)), lambda i: F.slice("w", i + 1, size))).alias("i", "words")
+    return texts.withColumn("w", words).where(F.size("w") > 0).select("k", at)
+
+
+def _some(windows: DataFrame) -> list[str]:
+    """At most SAMPLES windows, spread evenly by hash, in a fixed order."""
+    return [r.x for r in windows.select("k", "i", F.concat_ws(" ", "words").alias("x")).orderBy(F.xxhash64("k", "i"), "k", "i").limit(SAMPLES).collect()]
+
+
 def dictionaries(learn: DataFrame) -> tuple[bytes, bytes] | None:
-    """Contents of the toxic and the ordinary dictionary from (text, label) rows. Only the chosen words reach the driver."""
-    texts = learn.groupBy(F.md5(F.col("text").cast("binary")).alias("k")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    words = texts.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("w")).where("w <> ''")
+    """The toxic dictionary over the ordinary one, and the ordinary one, from (text, label) rows. Only the sampled windows reach the driver."""
+    texts = C.cut(learn.groupBy(F.md5(F.col("text").cast("binary")).alias("k")).agg(F.min("text").alias("text"), F.max("label").alias("label")))
     n = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
-    counts = C.cut(words.groupBy("w").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")))
-    odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("o") + 0.5) / (n[0] + 1))
-    toxic = counts.withColumn("odds", odds).where("t >= 3 and odds > 2").orderBy(F.desc(F.col("t") * F.col("odds")), "w").limit(SEGMENTS).collect()
-    ordinary = counts.where("o > 0").orderBy(F.desc(F.col("o") * F.octet_length("w")), "w").limit(BASE // 2).collect()
-    base = (" ".join(r.w for r in reversed(ordinary)) + " ").encode()[-BASE:]
-    return (" " + " ".join(r.w for r in reversed(toxic)) + " ").encode() + base, base
+    words = texts.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("w")).where("w <> ''")
+    counts = C.cut(words.groupBy("w").agg(F.sum("label").alias("t"), F.count("*").alias("n")))
+    # A likelihood ratio that no word would reach by chance, however many there are.
+    share, n_words = n[1] / (n[0] + n[1]), counts.count()
+    part = lambda x, p: F.when(x > 0, x * F.log(x / (F.col("n") * p))).otherwise(0.0)
+    ratio = part(F.col("t"), share) + part(F.col("n") - F.col("t"), 1 - share)
+    telling = counts.where((F.col("t") > share * F.col("n")) & (ratio > float(np.log(n_words)) if n_words else F.lit(False))).select("w")
+    toxic = _windows(texts.where("label = 1"), SPAN)
+    toxic = toxic.withColumn("w", F.explode("words")).join(telling, "w", "left_semi").drop("w").distinct()
+    ordinary = trained(_some(_windows(texts.where("label = 0"), WINDOW)), ORDINARY)
+    return trained(_some(toxic), TOXIC) + ordinary, ordinary
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds_of: tuple[int, int] = (4, 2), sample: int = 9000, threshold: float = 0.3) -> DataFrame:
     """Toxicity score of every document, whether it is in the held-out fold, and the prediction at the threshold.
 
     Learns from at most `sample` labelled documents of each label outside the held-out fold, spread evenly by a hash of the id: three fifths train the
-    dictionaries, the rest the calibration. Without two classes to learn from, every score is the share of label 1 (0 without labels). A null or
+    dictionaries (at most SAMPLES windows each, TOXIC and ORDINARY bytes), the rest the calibration. Of an id with several texts the least is learned from, and an
+    id that has both labels counts as toxic. Without two classes to learn from, every score is the share of label 1 (0 without labels). A null or
     empty text is scored as one without windows; whole texts are read; repeated rows and null ids are carried along; further columns are not read.
     """
     d = C.id_text(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~folds.held_out("doc_id", *folds_of))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     some = folds.sample_ids(known.where("label = 1"), sample).unionByName(folds.sample_ids(known.where("label = 0"), sample))
-    learn = C.written(d.where("text is not null").join(F.broadcast(some), "doc_id"), "toxicity-sample")
+    learn = d.where("text is not null").join(F.broadcast(some), "doc_id")
+    learn = C.written(learn.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "toxicity-sample")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))
     pair, model = dictionaries(learn.where(part < 3)), None
     if pair:
@@ -109,7 +139,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for x in C.chunks(batches):
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("label"), pa.array(measure(a, b, x.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-        rows = learn.where(part >= 3).mapInArrow(gather, "doc_id long, label int, x array<double>").limit(4 * sample).collect()
+        rows = learn.where(part >= 3).mapInArrow(gather, "doc_id long, label int, x array<double>").collect()
         rows.sort(key=lambda r: (r.doc_id, r.label))
         # Classes are drawn apart, so each row counts as often as its class is among all labels.
         total = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}

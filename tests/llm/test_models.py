@@ -38,6 +38,20 @@ def test_toxicity(spark):
     assert accuracy(spark, rows, "toxic") > 0.85
 
 
+def test_toxicity_by_trained_dictionaries(spark):
+    """Words that recur in toxic texts only are found by the bytes that the trained dictionary saves; the same text without them saves nothing like it."""
+    from millrace.llm import toxicity as T
+
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(["an", "er", "the", "ing", "tio", "en", "re", "st"], 3))
+    plain = [" ".join(word() for _ in range(60)) for _ in range(300)]
+    rows = [(t if i % 10 else t.replace(t.split(" ")[30], "blockheaded"), int(i % 10 == 0)) for i, t in enumerate(plain)]
+    toxic, ordinary = map(T.compressor, T.dictionaries(spark.createDataFrame(rows, "text string, label int")))
+    clean, dirty = (T.measure(toxic, ordinary, [t]) for t in (plain[1], plain[1].replace(plain[1].split(" ")[10], "blockheaded")))
+    assert dirty[0, 0] >= clean[0, 0] + 4
+    assert not T.measure(toxic, ordinary, [None, ""]).any()
+
+
 def test_language_id(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = Q.op6_language_id(spark, SF).collect()

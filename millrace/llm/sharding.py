@@ -24,11 +24,11 @@ def _picked(rank: Column, ends: list[int]) -> Column:
 def ranked(df: DataFrame, keys: list[str], salts: int, name: str, order: Column) -> DataFrame:
     """df with a gapless rank from 0 within its keys. Rows are ranked within (keys, salt) and each salt's rows start where those before it end,
     so no key's rows meet in one task; what is summed up is a row for each key and salt."""
-    salted = df.withColumn("_salt", F.pmod("h", F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod("h", F.lit(salts)))  # dealt by salt too, as df may come dealt by the keys alone
     start = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = salted.groupBy(*keys, "_salt").count().withColumn("_start", F.coalesce(F.sum("count").over(start), F.lit(0))).drop("count")
     own = Window.partitionBy(*keys, "_salt").orderBy(order, "doc_id")
-    return salted.withColumn("_own", F.row_number().over(own)).join(sizes, [*keys, "_salt"]).withColumn(name, (F.col("_start") + F.col("_own") - 1).cast("long")).drop("_salt", "_start", "_own")
+    return salted.repartition(*keys, "_salt").withColumn("_own", F.row_number().over(own)).join(sizes, [*keys, "_salt"]).withColumn(name, (F.col("_start") + F.col("_own") - 1).cast("long")).drop("_salt", "_start", "_own")
 
 
 def propagate(cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:

@@ -199,4 +199,4 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             arrays += [pa.array(out[2], pa.list_(pa.int32()))] * with_ids + [pa.array(out[3], pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(arrays, [x.strip().split(" ")[0] for x in schema.split(",")])
 
-    return C.id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return C.id_text(docs, id_col, text_col).mapInArrow(C.lean(run), schema)

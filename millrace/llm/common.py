@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -33,8 +34,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """docs with (or, left_anti, without) the ids; these are broadcast when few, whatever the table's size, and shuffled otherwise."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
+    """docs with (or, left_anti, without) the ids; these are broadcast when few, whatever the table's size, and shuffled otherwise.
+
+    The ids are looked at twice and so should be a written or checkpointed table."""
+    key = ids.select(F.col("doc_id").alias("_only"))  # a new column, as ids may come from docs
+    return docs.join(F.broadcast(key) if key.count() <= BROADCAST_ROWS else key, F.col("doc_id") == F.col("_only"), how)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,6 +60,27 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, col: str
             at = to
 
 
+def lean(run):
+    """The function of batches, after which the worker gives back what it no longer uses: workers outlive tasks, and allocators keep what they have been given."""
+
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS[:] = [p[:1].copy() for p in _POWERS]
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return lean_run
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column back to back, and the offsets of its rows; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -99,7 +124,7 @@ def _powers(n: int) -> list[np.ndarray]:
         for i, base in enumerate((_BASE, _INVERSE)):
             p = np.full(n + n // 4, base, np.uint64)
             p[0] = 1
-            _POWERS[i] = np.cumprod(p, dtype=np.uint64)
+            _POWERS[i] = np.cumprod(p, dtype=np.uint64, out=p)
     return _POWERS
 
 

@@ -187,7 +187,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     lang[i], score[i] = net.langs[k], min(1.0, float(p[i, k]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    got = d.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    got = d.select("doc_id", "text").mapInArrow(C.lean(run), "doc_id long, lang_pred string, score double")
     return got.select("doc_id", folds.held_out("doc_id", *folds_of).alias("held_out"), "lang_pred", "score")
 
 

@@ -123,9 +123,9 @@ def links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, thres
                 yield x.filter(pa.array((s == t).mean(1) >= least)).select(["a", "b", "na", "nb"])
 
     near = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    near = C.cut(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(agree, "a long, b long, na long, nb long"))
+    near = C.cut(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(C.lean(agree), "a long, b long, na long, nb long"))
     ids = C.cut(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct())
-    sets = C.written(C.only(docs, ids).mapInArrow(_sets(size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "shingle-sets")
+    sets = C.written(C.only(docs, ids).mapInArrow(C.lean(_sets(size)), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "shingle-sets")
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
     return C.cut(both.withColumn("shared", shared).where(100 * F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
@@ -181,13 +181,13 @@ def rest(docs: DataFrame, signed: DataFrame, member: DataFrame, home: DataFrame,
     family = components(placed.join(open_, "bucket").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()).toDF("rep", "family")
     family = C.cut(family.join(home, "rep"))
     main = family.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.sum("n").alias("members"))
-    sets = C.only(docs, family.select(F.col("rep").alias("doc_id"))).mapInArrow(_sets(size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    sets = C.only(docs, family.select(F.col("rep").alias("doc_id"))).mapInArrow(C.lean(_sets(size)), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     own = family.join(main, "family").withColumn("apart", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)))
     own = own.join(signed, "rep").join(sets, "rep")
     blocks = C.written(own.groupBy("family", "apart", "block").agg(F.collect_list(F.struct("rep", "component", "n_shingles", "signed", "shingles")).alias("x")), "blocks")
     left = blocks.where("apart").select("family", F.col("block").alias("k"), F.col("x").alias("left"))
     pairs = left.join(blocks.withColumnRenamed("x", "right"), "family").where("not apart or k <= block")
-    return C.cut(pairs.select("left", "right").mapInArrow(_between(threshold), "a long, b long"))
+    return C.cut(pairs.select("left", "right").mapInArrow(C.lean(_between(threshold)), "a long, b long"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +199,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: s
     where an id has several, one of them stands for it in comparisons. Further columns are not read. An empty table gives an empty result.
     """
     d = C.id_text(docs, id_col, text_col)
-    signed = C.written(d.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, print binary, bands array<long>, signed binary"), "signatures")
+    signed = C.written(d.mapInArrow(C.lean(_sign(shingle)), "doc_id long, n_shingles long, print binary, bands array<long>, signed binary"), "signatures")
     classes = C.cut(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")))
     reps = signed.join(classes, "print").where("doc_id = rep")
     member = reps.select("rep", F.explode("bands").alias("bucket"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ def _contexts(batches):
 def _rows(total: np.ndarray) -> pa.RecordBatch:
     blocks = total.reshape(_BLOCKS, -1)
     some = np.flatnonzero(blocks.any(1))
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary()), pa.array(np.random.default_rng().integers(0, 1 << 20, len(some)), pa.int32())], ["block", "sums", "salt"])
+    salt = np.full(len(some), TaskContext.get().partitionId() & 0xFFFFF)  # the same when a task runs again
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary()), pa.array(salt, pa.int32())], ["block", "sums", "salt"])
 
 
 def _add(batches):
@@ -89,13 +91,13 @@ def _add(batches):
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors of all terms from all documents, less their mean. A table of fixed size reaches the driver: TERMS x WIDTH numbers.
 
-    Tasks' tables are added up in two rounds, first split by a random salt, so no task sees the rows of all others.
+    Tasks' tables are added up in two rounds, first split by the number of the task, so no task sees the rows of all others.
     """
     schema = "block int, sums binary, salt int"
-    partial = docs.select("doc_id", "text").mapInArrow(_contexts, schema)
-    once = partial.repartition("block", F.col("salt") % 8).mapInArrow(_add, schema)
+    partial = docs.select("doc_id", "text").mapInArrow(C.lean(_contexts), schema)
+    once = partial.repartition("block", F.col("salt") % 8).mapInArrow(C.lean(_add), schema)
     total = np.zeros((_BLOCKS, _PER_BLOCK * WIDTH), np.int64)
-    for r in once.repartition("block").mapInArrow(_add, schema).toLocalIterator():
+    for r in once.repartition("block").mapInArrow(C.lean(_add), schema).toLocalIterator():
         total[r.block] += np.frombuffer(bytes(r.sums), np.int64)
     v = total.reshape(TERMS, WIDTH).astype(float)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -176,7 +178,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     """Quality score of every document, whether it is in the held-out fold, and the prediction at the threshold.
 
     The network learns from at most `sample` labelled documents outside the held-out fold (spread evenly by a hash of the id); vectors of words come
-    from all documents. Without two classes to learn from, every score is the share of label 1 (0.5 without labels). A null or empty text
+    from all documents. Of an id with several rows one is learned from, and an id that has both labels counts as 1. Without two classes to learn from, every score is the share of label 1 (0.5 without labels). A null or empty text
     is scored as a text without words; repeated rows and null ids are carried along; further columns are not read.
     """
     d = C.id_text(docs, id_col, text_col)
@@ -187,9 +189,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     def gather(batches):
         for b in C.chunks(batches, CHUNK):
             x = pooled(vectors, *C.flat(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    rows = d.join(F.broadcast(some), "doc_id").select("label", "text").mapInArrow(gather, "label int, x binary").limit(2 * sample).toArrow()
+    rows = d.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").mapInArrow(C.lean(gather), "doc_id long, label int, x binary")
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).select("label", "x").toArrow()
     y = rows.column("label").to_numpy().astype(float)
     x = np.stack([np.frombuffer(r.as_buffer(), np.float32) for r in rows.column("x")]).astype(float) if len(y) else np.zeros((0, 1))
     order = np.lexsort((*x.T[:3], y))  # the same rows in the same order, however they came
@@ -202,5 +205,5 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
             p = net.score(x) if net else np.full(b.num_rows, alike)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.astype(float))], ["doc_id", "score"])
 
-    got = d.mapInArrow(run, "doc_id long, score double")
+    got = d.mapInArrow(C.lean(run), "doc_id long, score double")
     return got.select("doc_id", folds.held_out("doc_id", *folds_of).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -78,7 +78,7 @@ def _measure(batches):
 def measure(docs: DataFrame) -> DataFrame:
     """The counts of each document that the rules read, in one pass over the text without a shuffle."""
     schema = "doc_id long, no_text boolean, " + ", ".join(f"{k} long" for k in _COUNTS)
-    return docs.mapInArrow(_measure, schema)
+    return docs.mapInArrow(C.lean(_measure), schema)
 
 
 def _vote(good: Column, bad: Column) -> Column:

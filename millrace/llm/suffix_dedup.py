@@ -244,8 +244,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(d: DataFrame) -> DataFrame:
     """(t1, t2, spans): of every text with a repeated string, the spans of bytes that such strings cover."""
-    runs = C.written(d.select("t1", "t2", "text").mapInArrow(_runs, "t1 long, t2 long, first int, n int, anchor long, context long, lead int"), "runs")
+    runs = C.written(d.select("t1", "t2", "text").mapInArrow(C.lean(_runs), "t1 long, t2 long, first int, n int, anchor long, context long, lead int"), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("total"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("total > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    anchors = C.cut(anchors)  # both sides of a join on an anchor are plain tables, so that Spark can split a hot anchor's rows
     runs = C.written(runs.join(anchors, "anchor"), "runs-with-anchor")
     classes = runs.where("mixed").groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "first", "n", "lead")).alias("x"))
     classes = C.written(classes, "context-classes")
@@ -254,25 +255,25 @@ def repeated_spans(d: DataFrame) -> DataFrame:
     settled = runs.join(alone, ["anchor", "context"], "left_anti")
     spans = settled.select("t1", "t2", F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("hi"))
     per_anchor = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("left")).where("left > 0").select("anchor", F.ceil(F.col("m") / MOST).cast("int").alias("parts"))
-    asked = classes.join(per_anchor, "anchor").select("x.t1", "x.t2", F.struct("anchor", "x.first", "x.n", "x.lead", (F.col("copies") == 1).alias("open"), "parts").alias("r"))
+    asked = classes.join(C.cut(per_anchor), "anchor").select("x.t1", "x.t2", F.struct("anchor", "x.first", "x.n", "x.lead", (F.col("copies") == 1).alias("open"), "parts").alias("r"))
     asked = C.written(asked.groupBy("t1", "t2").agg(F.collect_list("r").alias("asked")), "contexts-asked")
     keys = asked.select("t1", "t2")
     texts = d.join(F.broadcast(keys) if keys.count() <= C.BROADCAST_ROWS else keys, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.min("text").alias("text"))
-    found = texts.join(asked, ["t1", "t2"]).mapInArrow(_contexts, "t1 long, t2 long, anchor long, first int, n int, lead int, open boolean, parts int, bytes binary, cores array<long>")
+    found = texts.join(asked, ["t1", "t2"]).mapInArrow(C.lean(_contexts), "t1 long, t2 long, anchor long, first int, n int, lead int, open boolean, parts int, bytes binary, cores array<long>")
     found = C.written(found, "contexts")
     # Step 2: strings of CORE bytes that stand in two contexts of the anchor.
     core = found.select("t1", "t2", "anchor", "first", F.posexplode("cores").alias("nth", "core"))
     twice = core.groupBy("anchor", "core").count().where("count > 1").select("anchor", "core")
-    close = core.join(twice, ["anchor", "core"]).groupBy("t1", "t2", "first").agg(F.collect_set("nth").alias("near"))
+    close = core.join(C.cut(twice), ["anchor", "core"]).groupBy("t1", "t2", "first").agg(F.collect_set("nth").alias("near"))
     found = found.drop("cores").join(close, ["t1", "t2", "first"]).withColumn("part", F.pmod(F.xxhash64("t1", "t2", "first"), F.col("parts")))
     # Step 3.
     dealt = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    got = C.written(dealt.mapInArrow(_settle, "t1 long, t2 long, lo int, hi int, anchor long, window long, open boolean"), "settled")
+    got = C.written(dealt.mapInArrow(C.lean(_settle), "t1 long, t2 long, lo int, hi int, anchor long, window long, open boolean"), "settled")
     spans = spans.unionByName(got.where("window is null").select("t1", "t2", "lo", "hi"))
     again = got.where("window is not null").groupBy("anchor", "window").count().where("count > 1").select("anchor", "window")
-    spans = spans.unionByName(got.where("open and window is not null").join(again, ["anchor", "window"]).select("t1", "t2", "lo", "hi"))
+    spans = spans.unionByName(got.where("open and window is not null").join(C.cut(again), ["anchor", "window"]).select("t1", "t2", "lo", "hi"))
     spans = spans.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return C.written(spans.mapInArrow(_merge, "t1 long, t2 long, spans array<int>"), "repeated-spans")
+    return C.written(spans.mapInArrow(C.lean(_merge), "t1 long, t2 long, spans array<int>"), "repeated-spans")
 
 
 def inside_characters(raw: bytes, lo: int, hi: int) -> tuple[int, int]:
@@ -320,7 +321,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             arrays = [b.column("doc_id"), *(pa.array(out[k], pa.int64()) for k in range(3)), pa.array(out[3], pa.string())] + [pa.array(out[4], pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
-    return d.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    return d.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInArrow(C.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text", count_col: str = "n_chars", blank: bool = True) -> DataFrame:
@@ -334,22 +335,21 @@ def without_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text", cou
     s = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
     d = d.join(F.broadcast(s) if s.count() <= BROADCAST_SPANS else s, ["_t1", "_t2"], "left")
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(texts, spans):
-            raw, at, parts = t.encode(), 0, []
-            for lo, hi in zip(s[::2], s[1::2]):
-                lo, hi = inside_characters(raw, lo, hi)
-                parts.append(raw[at:lo])
-                at = hi
-            out.append(b"".join([*parts, raw[at:]]).decode())
-        return pd.Series(out, dtype=object)
+    def cut(batches):
+        for b in C.chunks(batches, col=text_col):
+            texts = []
+            for t, own in zip(b.column(text_col), b.column("_spans").to_pylist()):
+                raw, at, parts = t.as_py().encode(), 0, []
+                for lo, hi in zip(own[::2], own[1::2]):
+                    lo, hi = inside_characters(raw, lo, hi)
+                    parts.append(raw[at:lo])
+                    at = hi
+                texts.append(b"".join([*parts, raw[at:]]).decode())
+            new = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == text_col else pc.utf8_length(new).cast(b.schema.field(c).type) if c == count_col else b.column(c) for c in columns], columns)
 
     same = d.where("_spans is null").select(columns)
-    changed = d.where("_spans is not null").withColumn(text_col, cut(F.col(text_col), F.col("_spans")))
+    changed = d.where("_spans is not null").select(*columns, "_spans").mapInArrow(C.lean(cut), docs.schema)
     if not blank:
         changed = changed.where(F.col(text_col).rlike(r"\S"))
-    return same.unionByName(changed.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)).select(columns))
+    return same.unionByName(changed)

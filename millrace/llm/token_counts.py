@@ -156,4 +156,4 @@ def token_counts(docs: DataFrame, vocabulary: str | tuple[list[bytes], list[byte
             columns = [C.per_row(row, b.num_rows), C.per_row(row, b.num_rows, got).astype(np.int64), C.per_row(row[unknown], b.num_rows), most, C.per_row(row, b.num_rows, full).astype(np.int64), most_full]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", "n_words", "n_tokens", "n_unknown", "longest", "n_pieces", "longest_pieces"])
 
-    return C.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long, longest long, n_pieces long, longest_pieces long")
+    return C.id_text(docs, id_col, text_col).mapInArrow(C.lean(run), "doc_id long, n_words long, n_tokens long, n_unknown long, longest long, n_pieces long, longest_pieces long")

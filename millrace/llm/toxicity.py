@@ -139,7 +139,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for x in C.chunks(batches):
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("label"), pa.array(measure(a, b, x.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-        rows = learn.where(part >= 3).mapInArrow(gather, "doc_id long, label int, x array<double>").collect()
+        rows = learn.where(part >= 3).mapInArrow(C.lean(gather), "doc_id long, label int, x array<double>").collect()
         rows.sort(key=lambda r: (r.doc_id, r.label))
         # Classes are drawn apart, so each row counts as often as its class is among all labels.
         total = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -156,5 +156,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             p = model.score(measure(a, b, x.column("text").to_pylist())) if model else np.full(x.num_rows, alike)
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
-    got = d.mapInArrow(run, "doc_id long, score double")
+    got = d.mapInArrow(C.lean(run), "doc_id long, score double")
     return got.select("doc_id", folds.held_out("doc_id", *folds_of).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

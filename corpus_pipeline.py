@@ -1,6 +1,7 @@
 """Cleans the documents table in five stages. Each stage reads what its predecessor kept, written as Parquet and read again.
 
-All stages but the last return the columns of documents; a stage that changes a text recounts n_chars.
+All stages but the last return the columns of documents; a stage that changes a text recounts n_chars. Null and empty texts pass through every stage, as does a row
+without an id, which no stage rejects (only its passages are cut); further columns are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8. Of rows of one id with equal texts one stays; where an id has
+    several texts, each of them stays or none."""
     copies = near_dedup(docs, shingle=5, threshold=80).where("not kept").select("doc_id").distinct()
-    return C.only(docs, C.written(copies, "copies"), "left_anti")
+    kept = C.only(docs, C.written(copies, "copies"), "left_anti")
+    again = C.written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    return C.only(kept, again, "left_anti").unionByName(C.only(kept, again).dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_emptied_documents_go_and_blank_ones_stay(spark):
     assert all(t.strip() for t in cut) and len(cut) < 4 and sum(passage in t for t in cut) <= 1
 
 
+def test_odd_rows_pass_every_stage(spark, docs):
+    """Repeated rows become one, null ids, null and empty texts pass, a clashing column is carried along, an empty table gives an empty result."""
+    text = " ".join(f"solo{i} w{i * 7 % 13}" for i in range(60))
+    odd = [(10**9, text, 0), (10**9, text, 1), (10**9 + 1, None, 2), (10**9 + 2, "", 3), (None, None, 4), (None, "", 5)]
+    extra = spark.createDataFrame([(i, t, "en", str(k), None) for i, t, k in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    at = docs.unionByName(extra).withColumn("kept", F.lit("clash"))
+    for name, stage in P.STAGES[1:-1]:
+        at = P.C.written(stage(spark, at, SF), "test-stage")
+        assert at.columns == [*docs.columns, "kept"] and at.where("kept <> 'clash'").isEmpty(), name
+    rows = at.where("doc_id >= 1000000000 or doc_id is null").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == [(0, ""), (0, ""), (10**9, text), (10**9 + 1, ""), (10**9 + 2, "")]
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).isEmpty()
+
+
 def test_leaks(spark, docs):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     planted = docs.limit(3).withColumns({"doc_id": F.col("doc_id") + 10**9, "text": F.concat("text", F.lit(" " + item + " "), "text")})

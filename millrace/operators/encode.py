@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.steps import Fit, Step
 
+#: Fitted values of a column that a stage can hold; with more, the fit is refused, and nothing more than that is collected.
+MOST_LEVELS = 100_000
+#: Columns that a one-hot encoding may add for one column.
+MOST_COLUMNS = 10_000
+#: Values up to which an encoder is an expression; beyond, the fitted table is joined.
+MOST_CASES = 200
+
+
+def levels_of(df: DataFrame, col: str, most: int = MOST_LEVELS) -> list:
+    """The distinct values of a column, null included, as they come."""
+    found = [r[0] for r in df.select(F.col(col).cast("string")).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values; group rare ones first, or join a table of codes")
+    return found
+
+
+def _coded(df: DataFrame, col: str, codes: dict, kind: str) -> DataFrame:
+    """df with _code, the value of `codes` for the column's value as text, null where it has none."""
+    if len(codes) <= MOST_CASES:
+        pairs = [F.lit(x) for kv in codes.items() for x in kv]
+        return df.withColumn("_code", (F.create_map(*pairs)[F.col(col).cast("string")] if pairs else F.lit(None)).cast(kind))
+    table = df.sparkSession.createDataFrame(list(codes.items()), f"_value string, _code {kind}")  # at most MOST_LEVELS rows
+    return df.join(F.broadcast(table), F.col(col).cast("string") == F.col("_value"), "left").drop("_value")
+
 
 class OneHotModel(Step):
     def apply(self, df, cols, levels, drop_first=False):
@@ -25,17 +50,15 @@ class OneHot(Fit):
     step = OneHotModel
 
     def learn(self, df, cols, drop_first=False):
-        found = df.agg(*(F.sort_array(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("nan_ohe")))).alias(c) for c in cols)).first()
+        found = {c: {"nan_ohe" if v is None else v for v in levels_of(df, c, MOST_COLUMNS)} for c in cols}
         return {"levels": {c: sorted(found[c], key=lambda v: (v == "nan_ohe", v)) for c in cols}}
 
 
 class LabelEncoderModel(Step):
     def apply(self, df, cols, levels):
-        def code(c):
-            known = F.array_position(F.array(*map(F.lit, levels[c])), F.col(c).cast("string")) if levels[c] else F.lit(0)
-            return F.when(known > 0, known.cast("int") - 1).otherwise(len(levels[c]))
-
-        return df.withColumns({c: code(c) for c in cols})
+        for c in cols:
+            df = _coded(df, c, {v: i for i, v in enumerate(levels[c])}, "int").withColumn(c, F.coalesce("_code", F.lit(len(levels[c])))).drop("_code")
+        return df
 
 
 class LabelEncoder(Fit):
@@ -44,18 +67,15 @@ class LabelEncoder(Fit):
     step = LabelEncoderModel
 
     def learn(self, df, cols):
-        found = df.agg(*(F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols)).first()
-        return {"levels": {c: found[c] for c in cols}}
+        return {"levels": {c: sorted(v for v in levels_of(df, c) if v is not None) for c in cols}}
 
 
 class TargetEncoderModel(Step):
     def apply(self, df, cols, target, maps, others, how="mean", unknown=None):
-        new = {}
         for c in cols:
-            pairs = [F.lit(x) for kv in maps[c].items() for x in kv]
-            value = F.create_map(*pairs)[F.col(c).cast("string")] if pairs else F.lit(None).cast("double")
-            new[c] = value if others[c] is None else F.coalesce(value, F.lit(others[c]))
-        return df.withColumns(new)
+            df = _coded(df, c, maps[c], "double")
+            df = df.withColumn(c, F.col("_code") if others[c] is None else F.coalesce("_code", F.lit(others[c]))).drop("_code")
+        return df
 
 
 class TargetEncoder(Fit):
@@ -68,7 +88,10 @@ class TargetEncoder(Fit):
         maps, others = {}, {}
         for c in cols:
             seen = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("k")).agg(stat.alias("v"))
-            maps[c] = {r.k: r.v for r in seen.collect()}
+            rows = seen.limit(MOST_LEVELS + 1).collect()
+            if len(rows) > MOST_LEVELS:
+                raise ValueError(f"{c} has more than {MOST_LEVELS} values; group rare ones first")
+            maps[c] = {r.k: r.v for r in sorted(rows, key=lambda r: r.k)}
             values = sorted(v for v in maps[c].values() if v is not None)
             middle = len(values) // 2
             others[c] = None if unknown is None or not values else sum(values) / len(values) if unknown == "mean" else values[middle] if len(values) % 2 else (values[middle - 1] + values[middle]) / 2
@@ -86,12 +109,15 @@ class GroupRare(Fit):
     step = GroupRareModel
 
     def learn(self, df, cols, threshold=0.05):
-        valid, dropped = {}, []
+        if not threshold > 0:
+            raise ValueError("threshold must be above 0")
+        valid, dropped, total = {}, [], df.count()
         for c in cols:
-            rows = df.groupBy(c).count().collect()
-            total = sum(r["count"] for r in rows)
-            if len(rows) <= 1:
+            counts = df.groupBy(c).count()
+            if counts.limit(2).count() <= 1:
                 dropped.append(c)
             else:
-                valid[c] = sorted(r[c] for r in rows if r[c] is not None and r["count"] / total > threshold)
+                # Fewer than 1 / threshold values can have more than that share, so few are collected.
+                common = counts.where(F.col(c).isNotNull() & (F.col("count") / F.lit(total) > threshold)).collect()
+                valid[c] = sorted(r[c] for r in common)
         return {"valid": valid, "dropped": dropped}

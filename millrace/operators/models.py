@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.numeric import Scale
+
 KINDS = {
     ("boosting", "classification"): lambda **o: MC.GBTClassifier(**o),
     ("boosting", "regression"): lambda **o: MR.GBTRegressor(**o),
@@ -81,9 +83,16 @@ def _nearest(numeric: list[str], categories: list[str], centroids: list[dict], g
     return found
 
 
+def mixed(df: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
+    """The columns k_prototypes works on: numbers scaled to [0, 1], then categories as text."""
+    d = Scale(cols=numeric, kind="minmax").fit(df).transform(df)
+    others = [c for c in df.columns if c not in numeric and c not in categories]
+    return d.select(*others, *numeric, *(F.col(c).cast("string").alias(c) for c in categories))
+
+
 def k_prototypes(df: DataFrame, numeric: list[str], categories: list[str], k: int, gamma: float = 0.5, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, list[dict], float]:
-    """df with cluster, the centroids (means and most frequent values) and the cost. Numbers should be scaled alike. A round is one aggregate; only centroids
-    reach the driver. Starts from the rows of least hashes."""
+    """df with cluster, the centroids (means and most frequent values) and the cost. Numbers should be scaled alike, as `mixed` does. A round is one aggregate; only
+    centroids reach the driver. Starts from the rows of least hashes."""
     start = df.select(*numeric, *categories).dropna(subset=numeric).distinct().orderBy(F.xxhash64(*numeric, *categories, F.lit(seed))).limit(k).collect()
     centroids, cost = [r.asDict() for r in start], math.inf
     for _ in range(rounds):
@@ -178,8 +187,10 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
     size are shipped to the tasks that score every row. Rows with a null feature have no score."""
     x = df.select(key, *(F.col(f).cast("double").alias(f) for f in features)).dropna()
     share = F.lit(min(1.0, 4 * size / max(1, x.count())))
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")
-    drawn = x.select("*", tree).withColumn("_h", F.pmod(F.xxhash64(key, "_tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).where(F.col("_h") < share)
+    drawn_at = lambda tree: F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    # A row is copied only for the trees that draw it.
+    tree = F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: drawn_at(i) < share)).alias("_tree")
+    drawn = x.select("*", tree).withColumn("_h", drawn_at(F.col("_tree")))
 
     def grow(t: pa.Table) -> pa.Table:
         t = t.sort_by([("_h", "ascending"), (key, "ascending")]).slice(0, size)

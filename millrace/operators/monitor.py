@@ -26,7 +26,7 @@ def numeric_drift(base: DataFrame, current: DataFrame, threshold: float = 0.15,
     j = j.withColumn("ratio", F.try_divide(F.col("current") - F.col("baseline"), F.col("baseline"))).withColumn("distance", F.abs("ratio"))
     limit = F.lit(threshold)
     if thresholds is not None:
-        j, limit = j.join(F.broadcast(thresholds), "feature", "left"), F.coalesce("threshold", F.lit(threshold))
+        j, limit = j.join(thresholds, "feature", "left"), F.coalesce("threshold", F.lit(threshold))
     return j.where(F.col("distance") > limit).select("feature", "property", "baseline", "current", "ratio", "distance")
 
 
@@ -93,7 +93,7 @@ def control_chart(df: DataFrame, order: str, cols: list[str], group: list[str] =
     limits: given ones, which replace the computed. A series is a group and column; its running share is one ordered window."""
     long = df.select(*group, order, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols))).alias("r")).select(*group, order, "r.*")
     limits = limits if limits is not None else control_limits(df, cols, group)
-    j = long.join(F.broadcast(limits) if not group else limits, [*group, "feature"]).withColumn("ooc", ((F.col("x") >= F.col("ucl")) | (F.col("x") <= F.col("lcl"))).cast("int"))
+    j = long.join(limits, [*group, "feature"]).withColumn("ooc", ((F.col("x") >= F.col("ucl")) | (F.col("x") <= F.col("lcl"))).cast("int"))
     w = Window.partitionBy(*group, "feature").orderBy(order)
     return j.withColumn("ratio", F.sum("ooc").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(w))
 

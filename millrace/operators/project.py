@@ -136,6 +136,13 @@ def encode_sex(c: Column) -> Column:
     return F.when(F.lower(c) == "f", 0.0).when(F.lower(c) == "m", 1.0).otherwise(0.5)
 
 
+class EncodeSex(Step):
+    """encode_sex of a column, as a stage."""
+
+    def apply(self, df, col):
+        return df.withColumn(col, encode_sex(F.col(col)))
+
+
 def recode_12(c: Column) -> Column:
     """1 for code 1 and 0 for code 2."""
     return F.abs(c - 2)
@@ -151,8 +158,8 @@ REGIONS = {"norte": "AC AM AP PA RO RR TO", "nordeste": "AL BA CE MA PB PE PI RN
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default=None) -> DataFrame:
-    """df with `value` from a small table with one row for each key; the default where the key is absent."""
-    got = df.join(F.broadcast(table), key, "left")
+    """df with `value` from a table with one row for each key; the default where the key is absent."""
+    got = df.join(table, key, "left")
     return got if default is None else got.withColumn(value, F.coalesce(value, F.lit(default)))
 
 

@@ -21,8 +21,9 @@ def best(df: DataFrame, order: list, n: int = 1) -> DataFrame:
 
 
 def _unit(keys: list[str], seed: int) -> Column:
-    """A number in [0, 1) from the keys and the seed."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) from the keys and the seed: the first 28 bits of an MD5, so that other engines can draw the same parts."""
+    digest = F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("double") / float(1 << 28)
 
 
 def split_random(df: DataFrame, keys: list[str], shares: list[float], seed: int = 0, name: str = "part") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import EXTRACTORS, split_sentences, terms
+from millrace.operators.lineage import cut
+from millrace.operators.sets import position
 from millrace.operators.steps import Fit, Step
 
 
@@ -42,9 +46,8 @@ def sentence_table(df: DataFrame, text: str, carry: list[str], min_len: int = 3)
 
 
 def export_annotations(df: DataFrame, file: str, text: str, excluded: list[str]) -> DataFrame:
-    """Annotation lines: File (documents numbered from 0 by name), Line, Begin Offset, End Offset, Type; without the excluded labels."""
-    names = df.select(file).distinct()
-    numbered = names.withColumn("File", F.row_number().over(Window.orderBy(file)) - 1)
+    """Annotation lines: File (documents numbered from 0 by name), Line, Begin Offset, End Offset, Type; without the excluded labels. A null name has no lines."""
+    numbered = position(df.select(file).where(F.col(file).isNotNull()).distinct(), [file], "File")
     return df.where(~F.col("label").isin(excluded)).join(numbered, file).select(F.concat(F.lit("doc_"), F.col("File").cast("string"), F.lit(".txt")).alias("File"), F.lit(0).alias("Line"), F.col("start").alias("Begin Offset"), F.col("end").alias("End Offset"), F.col("label").alias("Type"))
 
 
@@ -71,68 +74,102 @@ def extract_all(df: DataFrame, text: str, labels: list[str] | None = None) -> Da
     return df.select(text, F.explode(rows).alias("r")).select(text, "r.*").where(F.size("entities") > 0)
 
 
+#: Phrases of a table of rules are broadcast up to so many.
+BROADCAST_RULES = 200_000
+
+
 def match_rules(df: DataFrame, key: str, text: str, rules: DataFrame, rule: str) -> DataFrame:
-    """Entities that come from a table of phrases: each text's phrases, found by its words. A phrase is looked up by its first word, so that texts and
-    rules meet in an equi-join and not all with all; then the phrase itself must be contained."""
-    first = lambda c: F.get(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0))
-    r = rules.select(F.col(rule).alias("entity")).distinct().withColumn("_w", first(F.col("entity")))
-    words = df.select(key, text, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("_w"))
-    hit = words.join(r, "_w").where(F.contains(F.lower(text), F.lower("entity")))
+    """Entities that come from a table of phrases: each text's phrases, whole words of it in a row, case apart. A phrase is looked up by its first word, and
+    then its words must stand there. A table that a count shows to be small is broadcast, and texts stay where they are, however common a word is;
+    with a larger one only words and their surroundings are shuffled. Phrases without a word match nothing."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    r = rules.select(F.col(rule).alias("entity")).distinct().withColumn("_p", words(F.col("entity"))).where(F.size("_p") > 0)
+    r = r.select("entity", "_p", F.get("_p", F.lit(0)).alias("_w"))
+    longest = r.agg(F.max(F.size("_p")), F.count("*")).first()
+    d = df.select(key, words(F.col(text)).alias("_t"))
+    at = F.explode(F.array_distinct(F.transform("_t", lambda w, i: F.slice("_t", i + 1, longest[0] or 1)))).alias("_s")
+    d = d.select(key, at).withColumn("_w", F.get("_s", F.lit(0)))
+    hit = d.join(F.broadcast(r) if longest[1] <= BROADCAST_RULES else r, "_w").where(F.slice("_s", 1, F.size("_p")) == F.col("_p"))
     return hit.groupBy(key).agg(F.sort_array(F.collect_set("entity")).alias("entities"))
 
 
 def association_rules(df: DataFrame, items: str, min_support: float = 0.05, min_confidence: float = 0.58, min_lift: float = 1.15, max_len: int = 3) -> DataFrame:
-    """Rules with a single consequent: antecedent, consequent, support, confidence, lift; itemsets of at most max_len; best lift first."""
+    """Rules between disjoint sets of items: antecedent, consequent, support, confidence, lift, both sides in order; itemsets of at most max_len; best lift first.
+
+    Frequent itemsets come from FPGrowth; every way to split one into two sides is a rule whose figures are found by joining both sides to their itemsets."""
     from pyspark.ml.fpm import FPGrowth
 
-    d = df.select(F.array_distinct(items).alias("items")).where(F.size("items") > 0)
-    rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(d).associationRules
-    return rules.where((F.size("antecedent") < max_len) & (F.col("lift") >= min_lift)).orderBy(F.desc("lift"), F.desc("confidence"), "antecedent", "consequent")
+    d = cut(df.select(F.array_distinct(items).alias("items")).where(F.size("items") > 0))  # read several times
+    n = d.count()
+    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(d).freqItemsets.where(F.size("items") <= max_len)
+    found = cut(found.select(F.array_sort("items").alias("items"), "freq"))
+    # A number's set bits are the places of the items on the left side of a split.
+    bit = lambda i: F.getbit(F.col("k").cast("long"), i)
+    split = found.where(F.size("items") > 1).select("items", "freq", F.explode(F.expr("sequence(1, cast(pow(2, size(items)) as int) - 2)")).alias("k"))
+    sides = split.select("freq", F.filter("items", lambda _, i: bit(i) == 1).alias("antecedent"), F.filter("items", lambda _, i: bit(i) == 0).alias("consequent"))
+    count = lambda side: found.select(F.col("items").alias(side), F.col("freq").alias(f"_{side}"))
+    r = sides.join(count("antecedent"), "antecedent").join(count("consequent"), "consequent")
+    confidence = F.col("freq") / F.col("_antecedent")
+    r = r.select("antecedent", "consequent", confidence.alias("confidence"), (confidence / (F.col("_consequent") / max(1, n))).alias("lift"), (F.col("freq") / max(1, n)).alias("support"))
+    return r.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)).orderBy(F.desc("lift"), F.desc("confidence"), "antecedent", "consequent")
+
+
+def _top_terms(df: DataFrame, text: str, most: int) -> list[str]:
+    """The most frequent terms, ties by the alphabet, in alphabetical order; terms are summed up before they are shuffled."""
+    top = df.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most)
+    return sorted(r.term for r in top.collect())
+
+
+def _known_terms(text: str, vocabulary: list[str]) -> Column:
+    return F.filter(terms(F.col(text)), lambda t: t.isin(vocabulary) if vocabulary else F.lit(False))
 
 
-def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+def _counts(kept: str, vocabulary: list[str]) -> Column:
+    """How often each word of the vocabulary is among a row's known terms, as an array in its order."""
+    return F.transform(F.array(*map(F.lit, vocabulary)), lambda v: F.size(F.filter(kept, lambda t: t == v)).cast("long"))
 
 
 class BagOfWordsModel(Step):
     def apply(self, df, key, text, vocabulary, max_features=100):
-        n = _counts(df, key, text).where(F.col("term").isin(vocabulary))
-        wide = n.groupBy(key).pivot("term", vocabulary).agg(F.sum("n"))
-        return df.select(key).join(wide, key, "left").fillna(0, vocabulary)
+        d = df.select(key, _known_terms(text, vocabulary).alias("_kept"))
+        if vocabulary:
+            d = d.withColumn("_n", _counts("_kept", vocabulary))
+        return d.select(key, *(F.get("_n", F.lit(i)).alias(v) for i, v in enumerate(vocabulary)))
 
 
 class BagOfWords(Fit):
-    """A column of counts for each of the max_features most frequent terms, ties by the alphabet, columns in alphabetical order."""
+    """A column of counts for each of the max_features most frequent terms, ties by the alphabet, columns in alphabetical order. Each row is counted where it
+    lies, without a shuffle; a null text has zeros."""
 
     step = BagOfWordsModel
 
     def learn(self, df, key, text, max_features=100):
-        top = _counts(df, key, text).groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(max_features)
-        return {"vocabulary": sorted(r.term for r in top.collect())}
+        return {"vocabulary": _top_terms(df, text, max_features)}
 
 
 class TfIdfModel(Step):
     def apply(self, df, key, text, vocabulary, idf, max_features=100):
-        weight = F.create_map(*(F.lit(x) for t, v in zip(vocabulary, idf) for x in (t, float(v))))[F.col("term")]
-        n = _counts(df, key, text).where(F.col("term").isin(vocabulary)).select(key, "term", ((1 + F.log("n")) * weight).alias("w"))
-        norm = n.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        wide = n.join(norm, key).groupBy(key).pivot("term", vocabulary).agg(F.sum(F.col("w") / F.col("norm")))
-        return df.select(key).join(wide, key, "left").fillna(0.0, vocabulary)
+        d = df.select(key, _known_terms(text, vocabulary).alias("_kept"))
+        if vocabulary:
+            d = d.withColumn("_n", _counts("_kept", vocabulary))
+            d = d.withColumn("_w", F.zip_with("_n", F.array(*(F.lit(float(v)) for v in idf)), lambda n, v: F.when(n > 0, (1 + F.log(n)) * v).otherwise(0.0)))
+            d = d.withColumn("_norm", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x * x)))
+        return d.select(key, *(F.when(F.col("_norm") > 0, F.get("_w", F.lit(i)) / F.col("_norm")).otherwise(0.0).alias(v) for i, v in enumerate(vocabulary)))
 
 
 class TfIdf(Fit):
-    """(1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), rows scaled to length 1, over the vocabulary of BagOfWords."""
+    """(1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), rows scaled to length 1, over the vocabulary of BagOfWords, each row where it lies."""
 
     step = TfIdfModel
 
     def learn(self, df, key, text, max_features=100):
         import math
 
-        c = _counts(df, key, text)
-        top = c.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(max_features).collect()
+        vocabulary = _top_terms(df, text, max_features)
+        known = df.select(F.array_distinct(_known_terms(text, vocabulary)).alias("t"))
+        held = {r.term: r.n for r in known.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
         n = df.count()
-        top = sorted(top, key=lambda r: r.term)
-        return {"vocabulary": [r.term for r in top], "idf": [math.log((1 + n) / (1 + r.df)) + 1 for r in top]}
+        return {"vocabulary": vocabulary, "idf": [math.log((1 + n) / (1 + held[t])) + 1 for t in vocabulary]}
 
 
 def l2_normalize(v: Column) -> Column:
@@ -144,25 +181,61 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-#: Query vectors are broadcast up to so many.
-BROADCAST_QUERIES = 20_000
+#: Query vectors of a block; a block is shipped to every task.
+QUERIES = 20_000
+#: Distances that a task computes at a time.
+_CELLS = 1 << 16
+
+
+def _nearest(ids: np.ndarray, vectors: np.ndarray, labels: list, k: int, exclude: bool):
+    """Keeps, over all batches of a task, the k nearest rows of each query, ties by id."""
+    codes = {v: i for i, v in enumerate({v for v in labels if v is not None})}
+    mine = np.array([codes.get(v, -1) for v in labels])
+
+    def run(batches):
+        n = len(ids)
+        best_d, best_i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        for b in batches:
+            b = b.filter(b.column("vector").is_valid())
+            if not b.num_rows:
+                continue
+            key = b.column("id").to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            key, base = key[order], b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1)[order]
+            other = np.array([-1 if v is None else codes.get(v, -2) for v in b.column("label").to_pylist()])[order] if exclude else None
+            step = max(1, _CELLS // len(key))
+            for q in range(0, n, step):
+                own = slice(q, min(n, q + step))
+                d = np.sqrt(((vectors[own, None, :] - base[None]) ** 2).sum(2))
+                if exclude:
+                    d = np.where((mine[own, None] != other) & (mine[own, None] >= 0) & (other != -1), d, np.inf)
+                first = np.argsort(d, 1, kind="stable")[:, :k]
+                near_d = np.concatenate((best_d[own], np.take_along_axis(d, first, 1)), 1)
+                near_i = np.concatenate((best_i[own], key[first]), 1)
+                by_id = np.argsort(near_i, 1, kind="stable")
+                near_d, near_i = np.take_along_axis(near_d, by_id, 1), np.take_along_axis(near_i, by_id, 1)
+                near = np.argsort(near_d, 1, kind="stable")[:, :k]
+                best_d[own], best_i[own] = np.take_along_axis(near_d, near, 1), np.take_along_axis(near_i, near, 1)
+        row, col = np.nonzero(np.isfinite(best_d))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_i[row, col]), pa.array(best_d[row, col])], ["query", "neighbour", "distance"])
+
+    return run
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, exclude: str | None = None) -> DataFrame:
-    """The k nearest rows of the base for every query by L2 distance, rows that share the query's `exclude` value left out; ties by key.
+    """The k nearest rows of the base for every query by L2 distance, rows that share the query's `exclude` value (or have none) left out; ties by key.
 
-    The set of queries is held against all rows, in blocks of BROADCAST_QUERIES. The base is read where it lies: each task keeps its own k best for
-    a query before anything is shuffled, as Spark limits window groups ahead of the exchange.
+    key is an integer; a row without a vector is left out on both sides. The set of queries is held against all rows, in blocks of QUERIES. The base is
+    read where it lies: each task keeps its own k best for a query in a table of fixed size, and only these are shuffled.
     """
-    n = queries.count()
-    parts = -(-n // BROADCAST_QUERIES)
-    out = None
-    for i in range(max(1, parts)):
-        q = queries if parts <= 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)
-        q = q.select(F.col(key).alias("query"), F.col(vector).alias("_q"), *([F.col(exclude).alias("_e")] if exclude else []))
-        on = (F.col(exclude) != F.col("_e")) if exclude else F.lit(True)
-        d = base.join(F.broadcast(q), on).select("query", F.col(key).alias("neighbour"), euclidean(F.col("_q"), F.col(vector)).alias("distance"))
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), (F.col(exclude) if exclude else F.lit(None).cast("int")).alias("label"))
+    parts, out = max(1, -(-q.count() // QUERIES)), None
+    for i in range(parts):
+        rows = (q if parts == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)).collect()
+        ids, vectors = np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], float).reshape(len(rows), -1)
+        b = base.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), *([F.col(exclude).alias("label")] if exclude else []))
+        near = b.mapInArrow(_nearest(ids, vectors, [r.label for r in rows], k, exclude is not None), "query long, neighbour long, distance double")
         w = Window.partitionBy("query").orderBy("distance", "neighbour")
-        d = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", "distance", "rank")
+        d = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = d if out is None else out.unionByName(d)
     return out

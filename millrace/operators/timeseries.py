@@ -106,9 +106,11 @@ def resample(df: DataFrame, date: str, freq: str, sensors: list[str], last: list
 
 
 def lagged_target(df: DataFrame, date: str, target: str, freq: str, least: float, groups: list[str] = ()) -> DataFrame:
-    """Mean target of each bin, moved one bin later, where it is above `least`. Without groups all bins are one series."""
+    """Mean target of each bin, moved one bin later, where it is above `least`; bins after the series' last are left out. Without groups all bins are one series.
+
+    As bins are equally wide, the bin before is found by its time, without an ordered window."""
     d = df.groupBy(*groups, F.window(date, freq)["start"].alias(date)).agg(F.avg(target).alias(target))
-    span = d.groupBy(*groups).agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
-    bins = span.select(*groups, F.explode(F.sequence("_a", "_b", F.expr(f"interval {freq}"))).alias(date)).join(d, [*groups, date], "left")
-    w = Window.partitionBy(*groups).orderBy(date)
-    return bins.withColumn(target, F.lag(target).over(w)).where(F.col(target) > least)
+    last = d.groupBy(*groups).agg(F.max(date).alias("_last"))  # without groups one row
+    moved = d.withColumn(date, F.col(date) + F.expr(f"interval {freq}"))
+    moved = moved.join(last, [*groups]) if groups else moved.crossJoin(F.broadcast(last))
+    return moved.where((F.col(date) <= F.col("_last")) & (F.col(target) > least)).drop("_last")

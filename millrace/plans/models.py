@@ -100,10 +100,12 @@ def _(t):
     return E.score_histogram(scored(t), "y", "s")
 
 
-@R.query("l22_quality_gate", "SELECT true AS passed")
+@R.query("l22_quality_gate", f"""WITH d AS (SELECT * FROM {SCORED}), c AS (SELECT 2.0 * count(*) FILTER (y = 1 AND p = 1) / (2 * count(*) FILTER (y = 1 AND p = 1) + count(*) FILTER (y <> p)) AS f1 FROM d), g AS (SELECT s, sum(y) p, sum(1 - y) q FROM d GROUP BY 1),
+    k AS (SELECT *, sum(p) OVER (ORDER BY s DESC) tp FROM g), pq AS (SELECT sum(y) p, sum(1 - y) q FROM d) SELECT gate, f1 >= gate OR (SELECT sum(q * (tp - p / 2)) FROM k) / (p * q) >= gate + 0.2 AS passed FROM c, pq, (SELECT unnest([0.1, 0.6]) AS gate)""")
 def _(t):
     m = E.class_metrics(classed(t), "y", "p").select("f1").crossJoin(E.score_metrics(scored(t), "y", "s").select("roc_auc"))
-    return E.quality_gate(m, f1=0.1).select("passed")
+    tried = [E.quality_gate(m, f1=g, auc=g + 0.2).select(F.lit(g).alias("gate"), "passed") for g in (0.1, 0.6)]
+    return tried[0].unionByName(tried[1])
 
 
 @R.query("l23_batch_scores", f"SELECT doc_id, s AS predict, 'm1' AS id_model, 'ok' AS model_status FROM {SCORED}")
@@ -204,8 +206,8 @@ def _(t):
 
 @R.query("l9_k_prototypes")
 def _(t):
-    d = t("customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), "c_mktsegment")
-    return M.k_prototypes(d, ["x"], ["c_mktsegment"], 4, rounds=5)[0]
+    d = M.mixed(t("customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"), ["c_acctbal"], ["c_nationkey", "c_mktsegment"])
+    return M.k_prototypes(d, ["c_acctbal"], ["c_nationkey", "c_mktsegment"], 4, rounds=5)[0]
 
 
 @R.query("l10_mixture")
@@ -218,10 +220,14 @@ def _(t):
     return M.isolation_forest(t("part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"], trees=20)
 
 
-@R.query("l12_cluster_scores")
+_TWO = "SELECT c_acctbal x, CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END c FROM customer"
+
+
+@R.query("l12_cluster_scores", f"""WITH d AS ({_TWO}), k AS (SELECT c, count(*)::DOUBLE n, sum(x) s, sum(x * x) q FROM d GROUP BY 1), v AS (SELECT d.x, a.n AS n, (a.n * x * x - 2 * x * a.s + a.q) / (a.n - 1) AS a, (b.n * x * x - 2 * x * b.s + b.q) / b.n AS b FROM d JOIN k a ON a.c = d.c JOIN k b ON b.c <> d.c)
+    SELECT round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM v""")
 def _(t):
-    d = t("customer").select("c_acctbal", F.col("c_custkey").cast("double").alias("k"), F.when(F.col("c_acctbal") > 4500, 1).otherwise(0).alias("cluster"))
-    return t("region").sparkSession.createDataFrame([(M.silhouette(d, ["c_acctbal"]), M.davies_bouldin(d, ["c_acctbal"]))], "silhouette double, davies_bouldin double")
+    d = t("customer").select("c_acctbal", F.when(F.col("c_acctbal") > 4500, 1).otherwise(0).alias("cluster"))
+    return t("region").sparkSession.createDataFrame([(round(M.silhouette(d, ["c_acctbal"]), 5),)], "silhouette double")
 
 
 @R.query("l12_davies_bouldin", "WITH d AS (SELECT c_acctbal x, CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END c FROM customer), m AS (SELECT c, avg(x) m FROM d GROUP BY 1), s AS (SELECT c, avg(abs(x - m)) s, max(m) m FROM d JOIN m USING (c) GROUP BY 1) SELECT round(sum(s) / (max(m) - min(m)), 6) AS davies_bouldin FROM s")
@@ -235,6 +241,12 @@ def _(t):
     return M.search_clusters(t("customer").select("c_acctbal"), ["c_acctbal"], [2, 3])
 
 
+@R.query("l14_pca_two", "SELECT CAST(k AS INTEGER) AS component, round(CASE k WHEN 1 THEN (1 + r) / 2 ELSE (1 - r) / 2 END, 6) AS explained, round(CASE k WHEN 1 THEN (1 + r) / 2 ELSE 1 END, 6) AS cumulative FROM (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem), range(1, 3) t(k)")
+def _(t):
+    d = M.pca(t("lineitem"), ["l_quantity", "l_extendedprice"])
+    return d.select("component", F.round("explained", 6).alias("explained"), F.round("cumulative", 6).alias("cumulative"))
+
+
 @R.query("l14_pca")
 def _(t):
     return M.pca(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])

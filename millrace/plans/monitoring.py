@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import aggregate as A
 from millrace.operators import monitor as M
 from millrace.plans.registry import Registry
+from millrace.plans.relations import _FORMAT
 
 R = Registry()
 _OLD, _NEW = "o_orderdate < TIMESTAMP '1995-06-01'", "o_orderdate >= TIMESTAMP '1995-06-01'"
@@ -52,10 +53,13 @@ def _(t):
 _BRANDS = "(SELECT list(DISTINCT p_brand) FROM part WHERE p_size {})"
 
 
-@R.query("m4_category_drift", "SELECT 'p_brand' AS feature, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS new FROM (SELECT list(DISTINCT p_brand) FILTER (p_partkey <= 60) a, list(DISTINCT p_brand) FILTER (p_partkey BETWEEN 61 AND 100) b FROM part) WHERE len(list_filter(a, lambda x: NOT list_contains(b, x))) + len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0")
+_KINDS = "SELECT p_brand || '-' || CAST(p_size % 5 AS VARCHAR) AS kind, p_size FROM part"
+
+
+@R.query("m4_category_drift", f"SELECT 'kind' AS feature, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS new FROM (SELECT list(DISTINCT kind) FILTER (p_size % 5 < 3) a, list(DISTINCT kind) FILTER (p_size % 5 > 1) b FROM ({_KINDS}))")
 def _(t):
-    p = t("part")
-    return M.category_drift(A.category_profile(p.where("p_partkey <= 60"), ["p_brand"]), A.category_profile(p.where("p_partkey between 61 and 100"), ["p_brand"]))
+    p = t("part").select(F.concat("p_brand", F.lit("-"), (F.col("p_size") % 5).cast("string")).alias("kind"), "p_size")
+    return M.category_drift(A.category_profile(p.where("p_size % 5 < 3"), ["kind"]), A.category_profile(p.where("p_size % 5 > 1"), ["kind"]))
 
 
 @R.query("m5_frequency_drift", "SELECT 'o_orderstatus' AS feature, o_orderstatus AS category, round(b, 6) AS baseline, round(c, 6) AS current FROM (SELECT o_orderstatus, count(*) FILTER (o_orderkey % 3 = 0) / (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) b, count(*) FILTER (o_orderkey % 3 > 0) / (SELECT count(*) FROM orders WHERE o_orderkey % 3 > 0) c FROM orders GROUP BY 1) ORDER BY abs(b - c) DESC, category DESC LIMIT 1")
@@ -65,14 +69,14 @@ def _(t):
     return d.select("feature", "category", F.round("baseline", 6).alias("baseline"), F.round("current", 6).alias("current"))
 
 
-@R.query("m6_date_format_drift", "SELECT 'd' AS feature, 'yyyy-MM-dd' AS baseline, 'dd/MM/yyyy' AS current")
+@R.query("m6_date_format_drift", f"SELECT 'd' AS feature, b AS baseline, c AS current FROM (SELECT {_FORMAT.format('d')} AS b FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') d FROM orders)), (SELECT {_FORMAT.format('d')} AS c FROM (SELECT strftime(o_orderdate, '%d/%m/%Y') d FROM orders)) WHERE b <> c")
 def _(t):
     kinds = {"yyyy-MM-dd": "yyyy-MM-dd", "dd/MM/yyyy": "dd/MM/yyyy"}
     of = lambda p: A.date_format(t("orders").select(F.date_format("o_orderdate", p).alias("d")), ["d"], kinds)
     return M.date_format_drift(of("yyyy-MM-dd"), of("dd/MM/yyyy"))
 
 
-@R.query("m7_shifted_features", "SELECT 'x' AS feature, 'distribution' AS reason UNION ALL SELECT 'p_type', 'input'")
+@R.query("m7_shifted_features", f"SELECT 'x' AS feature, 'distribution' AS reason FROM ({_DRIFT.format(0.15)}) HAVING count(*) >= 4 UNION ALL SELECT 'p_type', 'input'")
 def _(t):
     a, b = _halves(t)
     schema = M.compare_schema(M.schema_table(t("part")), M.schema_table(t("part").drop("p_type")))
@@ -125,7 +129,7 @@ def _(t):
     return M.record_metrics(m, m.withColumn("model", F.concat("model", F.lit("_again"))), ["model"], ["f1", "brier"])
 
 
-@R.query("m13_select_best")
+@R.query("m13_select_best", f"SELECT model FROM ({_MET}) WHERE f1 IS NOT NULL AND brier IS NOT NULL ORDER BY f1 DESC, brier, model DESC LIMIT 1")
 def _(t):
     best = M.select_best(_metrics(t).dropna(), "model", {"f1": 2.0, "brier": 1.0})
     return t("region").sparkSession.createDataFrame([(best,)], "model string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,8 +20,14 @@ from millrace.operators import project as P
 from millrace.operators import sets as S
 from millrace.operators import spans as K
 from millrace.operators import timeseries as TS
+from millrace.operators import selection as F3
+from millrace.operators.lineage import cut, shared_dir
+from millrace.plans.projections import transformed_sql, yeo_johnson_sql
 from millrace.plans.registry import Registry
-from millrace.plans.relations import PANEL, churn, panel
+from millrace.plans.relations import panel
+from millrace.sources import io as IO
+
+_SPAN = ("1995-01-01", "1996-06-01")
 
 R = Registry()
 
@@ -44,44 +51,151 @@ def _(t):
     return S.first_per_key(d, ["o_custkey", "f"], ["o_orderdate", "o_orderkey"]).select("o_custkey", P.recode_12(F.col("f")).alias("ind_email"), "o_orderkey")
 
 
-_CHURN = f"WITH p AS (SELECT * FROM {PANEL}) SELECT m.cod_cliente, m.date, c_mktsegment AS cidade, date_diff('day', DATE '1990-01-01', m.date) AS idade, CASE WHEN o.o_custkey IS NULL THEN 0 ELSE 1 END AS optin, CASE WHEN EXISTS (SELECT 1 FROM p n WHERE n.cod_cliente = m.cod_cliente AND n.date = m.date + INTERVAL 1 MONTH) THEN 0 ELSE 1 END AS target FROM p m JOIN customer ON c_custkey = m.cod_cliente LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') o ON o.o_custkey = m.cod_cliente WHERE m.date BETWEEN DATE '1995-03-01' AND DATE '1996-05-01'"
+_SUMS = ["qtd", "val", "desconto", "ativado", "tipo_promo_1", "tipo_promo_2", "departamento_grande", "departamento_pequeno"]
+
+
+def _activated(t):
+    """Item rows with their activation, promotion and department as 0/1 columns."""
+    o = t("orders").select(F.col("o_orderkey").alias("cupom"), F.col("o_custkey").alias("cod_cliente"), F.col("o_orderdate").alias("data_venda"))
+    i = t("lineitem").select(F.col("l_orderkey").alias("cupom"), F.col("l_partkey").alias("cod_produto"), F.col("l_quantity").alias("qtd"), F.col("l_extendedprice").alias("val"), F.col("l_discount").alias("desconto"), F.col("l_returnflag").alias("tipo_promo"))
+    activations = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("cupom"), F.lit(1).alias("ativado"))
+    products = t("part").select(F.col("p_partkey").alias("cod_produto"), F.when(F.col("p_size") > 25, "grande").otherwise("pequeno").alias("departamento"))
+    d = P.FillNull(value=0, cols=["ativado"]).transform(J.join_activations(i.join(o, "cupom"), activations, ["cupom"], "data_venda"))
+    d = E.GroupRare(cols=["tipo_promo"], threshold=0.05).fit(d).transform(J.join_dim(d, products, ["cod_produto"]))
+    d = E.OneHot(cols=["tipo_promo"], drop_first=True).fit(d).transform(d)
+    return E.OneHot(cols=["departamento"]).fit(d).transform(d)
+
+
+def _churn_data_set(t):
+    """Samples of all reference months with register, region and opt-in: one plan, cut once after the panel."""
+    p = cut(A.monthly_panel(_activated(t), "cod_cliente", "data_venda", _SUMS, "cupom"))
+    d = A.churn_samples(p, "cod_cliente", _SUMS, *_SPAN)
+    uf = F.element_at(F.array(*map(F.lit, ["SP", "RJ", "BA", "XX", "AM", "RS", "DF"])), (F.col("o_custkey") % 7 + 1).cast("int"))
+    register = t("orders").select(F.col("o_custkey").alias("cod_cliente"), F.col("o_orderdate").alias("data_registro"), F.col("o_orderkey").alias("registro"), uf.alias("uf"), F.col("o_orderstatus").alias("sexo"))
+    first = t("orders").groupBy(F.col("o_custkey").alias("cod_cliente")).agg(F.to_date(F.min("o_orderdate")).alias("data_cadastro"))
+    d = J.left_latest(d, register, ["cod_cliente"], "data_registro", ["registro"]).drop("data_registro", "registro")
+    d = P.lookup_region(d, "uf").join(first, "cod_cliente", "left")
+    optin = S.first_per_key(t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("cod_cliente"), F.to_date("o_orderdate").alias("data_stix"), "o_orderkey"), ["cod_cliente"], ["data_stix", "o_orderkey"]).drop("o_orderkey")
+    d = J.left_with_flag(d, optin, ["cod_cliente"], "cadastro_stix")
+    return d.withColumns({"delta_de_cadastro": D.days_since(F.col("date"), F.col("data_cadastro")).cast("bigint"), "delta_de_stix": D.days_since(F.col("date"), F.col("data_stix")).cast("bigint")}).drop("data_cadastro", "data_stix", "uf")
+
+
+_MONTHS = ", ".join(f"sum({x}) AS {x}" for x in _SUMS)
+_CHURN = f"""WITH i AS (SELECT o_custkey cod_cliente, o_orderdate data_venda, o_orderkey cupom, l_quantity qtd, l_extendedprice val, l_discount desconto, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END ativado,
+    CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END tipo_promo_1, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END tipo_promo_2, CASE WHEN p_size > 25 THEN 1 ELSE 0 END departamento_grande, CASE WHEN p_size > 25 THEN 0 ELSE 1 END departamento_pequeno
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+    p AS (SELECT cod_cliente, CAST(date_trunc('month', data_venda) AS DATE) AS date, {_MONTHS}, count(cupom) AS compras_mes FROM i GROUP BY 1, 2),
+    r AS (SELECT CAST(unnest(generate_series(DATE '{_SPAN[0]}' + INTERVAL 2 MONTH, DATE '{_SPAN[1]}' - INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS DATE) AS r),
+    agg AS (SELECT cod_cliente, r, {", ".join(f"sum({x}) AS agg_l3m_{x}" for x in [*_SUMS, "compras_mes"])} FROM p JOIN r ON p.date BETWEEN r - INTERVAL 2 MONTH AND r GROUP BY 1, 2),
+    g AS (SELECT o_custkey, ['SP','RJ','BA','XX','AM','RS','DF'][1 + o_custkey % 7] AS uf, o_orderstatus AS sexo FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1),
+    f AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS cadastro, CAST(min(o_orderdate) FILTER (o_orderstatus = 'P') AS DATE) AS stix FROM orders GROUP BY 1)
+    SELECT p.cod_cliente, p.date, {", ".join(f"p.{x}, agg_l3m_{x}" for x in [*_SUMS, "compras_mes"])}, CASE WHEN EXISTS (SELECT 1 FROM p n WHERE n.cod_cliente = p.cod_cliente AND n.date = p.date + INTERVAL 1 MONTH) THEN 0 ELSE 1 END AS target,
+    sexo, CASE uf WHEN 'SP' THEN 'sudeste' WHEN 'RJ' THEN 'sudeste' WHEN 'BA' THEN 'nordeste' WHEN 'AM' THEN 'norte' WHEN 'RS' THEN 'sul' WHEN 'DF' THEN 'centro-oeste' ELSE 'null' END AS regiao,
+    date_diff('day', cadastro, p.date) AS delta_de_cadastro, CASE WHEN stix IS NULL THEN 0 ELSE 1 END AS cadastro_stix, date_diff('day', stix, p.date) AS delta_de_stix
+    FROM p JOIN agg ON p.cod_cliente = agg.cod_cliente AND p.date = agg.r LEFT JOIN g ON g.o_custkey = p.cod_cliente LEFT JOIN f ON f.o_custkey = p.cod_cliente"""
+_CENTS = ["val", "agg_l3m_val", "desconto", "agg_l3m_desconto"]
+
+
+@R.query("pl4_churn_data_set", f"SELECT * REPLACE ({', '.join(f'round({c}, 2) AS {c}' for c in _CENTS)}) FROM ({_CHURN})")
+def _(t):
+    return _churn_data_set(t).withColumns({c: F.round(c, 2) for c in _CENTS})
 
 
-@R.query("pl4_churn_data_set", _CHURN)
-def _(t):
-    register = t("customer").select(F.col("c_custkey").alias("cod_cliente"), F.col("c_mktsegment").alias("cidade"))
-    optin = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("cod_cliente")).distinct()
-    d = J.left_with_flag(J.left_latest(churn(t), register, ["cod_cliente"], "cidade"), optin, ["cod_cliente"], "optin")
-    return d.select("cod_cliente", "date", "cidade", D.days_since(F.col("date"), F.lit("1990-01-01").cast("date")).cast("bigint").alias("idade"), "optin", "target")
+_NUMBERS = [*_SUMS, "compras_mes", *(f"agg_l3m_{x}" for x in [*_SUMS, "compras_mes"])]
+_SHAPED = ["qtd", "val", "agg_l3m_val"]
 
 
-@R.query("pl5_churn_features")
-def _(t):
+def _feature_stages():
+    """Low variance, sex, rare regions, one-hot, outliers to the maximum and to the mean, negatives, two fills with zero, power transform."""
+    return [
+        P.ColumnDropper(cols=["temporaria"]),
+        F3.LowVariance(cols=_NUMBERS),
+        P.EncodeSex(col="sexo"),
+        E.GroupRare(cols=["regiao"], threshold=0.002),
+        E.OneHot(cols=["regiao"], drop_first=True),
+        N.Outliers(cols=["val", "agg_l3m_val", "qtd"], band=2.8, action="max"),
+        N.Outliers(cols=["delta_de_cadastro", "delta_de_stix"], band=2.5, action="mean"),
+        P.ClipNegative(cols=["val", "agg_l3m_val", "qtd"]),
+        P.FillNull(value=0, cols=["cadastro_stix", "delta_de_stix"]),
+        P.FillNull(value=0, cols=["delta_de_cadastro"]),
+    ]
+
+
+def _featured(t, shaped=True):
     from pyspark.ml import Pipeline
 
-    d = J.join_dim(churn(t), t("customer").select(F.col("c_custkey").alias("cod_cliente"), F.col("c_mktsegment").alias("cidade")), ["cod_cliente"])
-    numbers = ["qtd", "val", "agg_l3m_qtd", "agg_l3m_val"]
-    stages = [E.GroupRare(cols=["cidade"], threshold=0.05), E.OneHot(cols=["cidade"], drop_first=True), N.Outliers(cols=numbers, band=3.0), P.ClipNegative(cols=numbers), P.FillNull(value=0, cols=numbers), N.YeoJohnson(cols=numbers)]
-    return Pipeline(stages=stages).fit(d).transform(d)
+    d = cut(_churn_data_set(t).withColumns({"delta_de_cadastro": F.col("delta_de_cadastro").cast("double"), "delta_de_stix": F.col("delta_de_stix").cast("double")}))
+    return Pipeline(stages=_feature_stages() + [N.YeoJohnson(cols=_SHAPED)] * shaped).fit(d).transform(d)
+
+
+_LIMITS = ", ".join(f"avg({c}) + 2.8 * stddev({c}) AS hi_{c}, avg({c}) - 2.8 * stddev({c}) AS lo_{c}" for c in ("val", "agg_l3m_val", "qtd")) + ", " + ", ".join(f"avg({c}) AS m_{c}, avg({c}) + 2.5 * stddev({c}) AS hi_{c}, avg({c}) - 2.5 * stddev({c}) AS lo_{c}" for c in ("delta_de_cadastro", "delta_de_stix"))
+_CLEANED = f"""SELECT cod_cliente, date, target, cadastro_stix, CASE WHEN sexo = 'F' THEN 0.0 ELSE 0.5 END::DOUBLE AS sexo, {", ".join(f"greatest(0, CASE WHEN {c} <= lo_{c} OR {c} >= hi_{c} THEN hi_{c} ELSE {c} END) AS {c}" for c in ("val", "agg_l3m_val", "qtd"))},
+    {", ".join(f"coalesce(CASE WHEN {c} <= lo_{c} OR {c} >= hi_{c} THEN m_{c} ELSE {c} END, 0) AS {c}" for c in ("delta_de_cadastro", "delta_de_stix"))}, {", ".join(f"CASE WHEN regiao = '{r}' THEN 1 ELSE 0 END AS regiao_{i}" for i, r in enumerate(["centro-oeste", "nordeste", "norte", "null", "sudeste", "sul"]) if i)}
+    FROM d, (SELECT {_LIMITS} FROM d)"""
+_FEATURES = ["cod_cliente", "date", "target", "cadastro_stix", "sexo", "val", "agg_l3m_val", "qtd", "delta_de_cadastro", "delta_de_stix", *(f"regiao_{i}" for i in range(1, 6))]
+_FINE = ["val", "agg_l3m_val", "qtd", "delta_de_cadastro", "delta_de_stix"]
 
 
-@R.query("pl6_survey_base", "SELECT user_id, CAST(floor(arg_max(value, (ts, event_id))) AS BIGINT) % 11 AS nota, CASE WHEN CAST(floor(arg_max(value, (ts, event_id))) AS BIGINT) % 11 <= 7 THEN 0 ELSE 1 END AS target, count(*) AS respostas FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND event_type = 'purchase' GROUP BY 1")
+@R.query("pl5_churn_features", f"WITH d AS ({_CHURN}), c AS ({_CLEANED}), {', '.join(f'{c}_ AS ({yeo_johnson_sql(c, c)})' for c in _SHAPED)} SELECT c.* REPLACE ({', '.join(f'round({transformed_sql(c, f'(SELECT lam FROM {c}_)')}, 3) AS {c}' for c in _SHAPED)}, round(delta_de_cadastro, 4) AS delta_de_cadastro, round(delta_de_stix, 4) AS delta_de_stix) FROM c")
 def _(t):
-    e = t("events").where(P.between_dates(F.col("ts"), "2024-01-05", "2999-01-01") & (F.col("event_type") == "purchase"))
-    d = e.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"), F.count("*").alias("respostas"))
-    d = d.withColumn("nota", F.floor("v").cast("bigint") % 11)
-    return d.select("user_id", "nota", P.binarize_score(F.col("nota")).alias("target"), "respostas")
+    return _featured(t).select(_FEATURES).withColumns({c: F.round(c, 3 if c in _SHAPED else 4) for c in _FINE})
+
 
+_ANSWERS = "SELECT event_id, user_id, ts, CAST(floor(value) AS BIGINT) % 11 AS nota FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-05'"
 
-@R.query("pl7_health_features", "SELECT c_custkey, coalesce(n, 0) AS pedidos, coalesce(round(v, 2), 0) AS total, coalesce(itens, 0) AS itens FROM customer LEFT JOIN (SELECT o_custkey, count(*) n, sum(o_totalprice) v FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01' GROUP BY 1) a ON c_custkey = a.o_custkey LEFT JOIN (SELECT o_custkey, count(*) itens FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > TIMESTAMP '1997-01-01' GROUP BY 1) b ON c_custkey = b.o_custkey")
+
+@R.query("pl6_survey_base", f"""WITH a AS ({_ANSWERS}), x AS (SELECT user_id, arg_max(nota, (ts, event_id)) AS nota, count(*) AS respostas FROM a GROUP BY 1), v AS (SELECT user_id, count(*) AS visitas FROM events WHERE event_type = 'view' GROUP BY 1),
+    b AS (SELECT user_id, arg_max(nota, (ts, event_id)) AS y FROM a WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1), f AS (SELECT user_id, arg_max(nota, (ts, event_id)) AS z FROM a WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1)
+    SELECT x.user_id, nota::DOUBLE AS nota, CASE WHEN nota <= 7 THEN 0 ELSE 1 END AS target, respostas, visitas, z::DOUBLE AS x, y::DOUBLE AS y FROM x LEFT JOIN v USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN f USING (user_id)""")
 def _(t):
+    """Answers with their score read from text, the newest of each user, users' visits, and the scores before and after a date side by side."""
+    e = t("events").where(P.between_dates(F.col("ts"), "2024-01-05", "2999-01-01") & (F.col("event_type") == "purchase"))
+    e = P.try_numeric(e.withColumn("nota", (F.floor("value").cast("bigint") % 11).cast("string")), ["nota"])
+    newest = lambda d, name: d.groupBy("user_id").agg(F.max_by("nota", F.struct("ts", "event_id")).alias(name))
+    base = newest(e, "nota").join(e.groupBy("user_id").agg(F.count("*").alias("respostas")), "user_id")
+    visits = t("events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("visitas"))
+    late = F.lit("2024-01-15").cast("timestamp_ntz")
+    d = J.enrich(base, {"v": visits, "x": newest(e.where(F.col("ts") < late), "x"), "y": newest(e.where(F.col("ts") >= late), "y")}, ["user_id"])
+    return d.withColumn("target", P.binarize_score(F.col("nota")))
+
+
+_DATES = {"1m": "1997-06-01", "3m": "1997-01-01"}
+_AFTER = {k: f"o_orderdate > TIMESTAMP '{v}'" for k, v in _DATES.items()}
+_UNTIL = "o_orderdate > TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-03-01'"
+_HEALTH = f"""WITH o AS (SELECT o_custkey AS c_custkey, {", ".join(f"count(*) FILTER ({m}) AS pedidos_{k}, coalesce(sum(o_totalprice) FILTER ({m}), 0) AS total_{k}, avg(o_totalprice) FILTER ({m}) AS media_{k}, count(DISTINCT o_orderpriority) FILTER ({m}) AS prioridades_{k}, count(DISTINCT o_orderstatus) FILTER ({m}) AS estados_{k}, max(o_totalprice) FILTER ({m}) - min(o_totalprice) FILTER ({m}) AS amplitude_{k}" for k, m in _AFTER.items())},
+    count(*) FILTER ({_AFTER['3m']}) / 3 AS mm_pedidos, coalesce(sum(o_totalprice) FILTER ({_AFTER['3m']}), 0) / 3 AS mm_total, avg(o_totalprice) FILTER ({_AFTER['1m']}) - avg(o_totalprice) FILTER ({_UNTIL}) AS tendencia_total,
+    count(*) FILTER ({_AFTER['1m']}) - count(*) FILTER ({_UNTIL}) AS tendencia_pedidos, avg(o_totalprice) FILTER ({_AFTER['3m']} AND o_orderpriority <> '') AS media_com_prioridade FROM orders GROUP BY 1),
+    m AS (SELECT o_custkey AS c_custkey, first(o_orderpriority ORDER BY n DESC, o_orderpriority) AS moda_prioridade_3m FROM (SELECT o_custkey, o_orderpriority, count(*) n FROM orders WHERE {_AFTER['3m']} GROUP BY 1, 2) GROUP BY 1),
+    i AS (SELECT o_custkey AS c_custkey, {", ".join(f"count(*) FILTER ({m}) AS itens_{k}, coalesce(sum(l_quantity) FILTER ({m}), 0) AS qtd_{k}, avg(l_discount) FILTER ({m}) AS desconto_{k}, count(DISTINCT l_partkey) FILTER ({m}) AS produtos_{k}, count(DISTINCT l_returnflag) FILTER ({m}) AS retornos_{k}, max(l_quantity) FILTER ({m}) AS maior_{k}, min(l_quantity) FILTER ({m}) AS menor_{k}" for k, m in ((k, v.replace("o_orderdate", "l_shipdate")) for k, v in _AFTER.items()))} FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+    e AS (SELECT user_id + 1 AS c_custkey, {", ".join(f"count(*) FILTER (event_type = '{x}' AND ts > TIMESTAMP '{d}') AS {x}_{k}" for x in ("view", "click", "purchase") for k, d in (("1m", "2024-01-20"), ("3m", "2024-01-10")))} FROM events GROUP BY 1)
+    SELECT * FROM (SELECT c_custkey FROM customer) LEFT JOIN o USING (c_custkey) LEFT JOIN m USING (c_custkey) LEFT JOIN i USING (c_custkey) LEFT JOIN e USING (c_custkey)"""
+_HEALTH_NUMBERS = [f"{x}_{k}" for k in _DATES for x in ("pedidos", "total", "media", "prioridades", "estados", "amplitude", "itens", "qtd", "desconto", "produtos", "retornos", "maior", "menor", "view", "click", "purchase")] + ["mm_pedidos", "mm_total", "tendencia_total", "tendencia_pedidos", "media_com_prioridade"]
+
+
+@R.query("pl7_health_features", f"SELECT c_custkey, coalesce(moda_prioridade_3m, '0') AS moda_prioridade_3m, {', '.join(f'round(CAST(coalesce({c}, 0) AS DOUBLE), 6) AS {c}' for c in _HEALTH_NUMBERS)} FROM ({_HEALTH})")
+def _(t):
+    """Counts, sums, means, extremes, distinct values, modes and trends of each customer over the last month and the last three, one aggregate a source."""
     o = t("orders").withColumnRenamed("o_custkey", "c_custkey")
-    recent = F.col("o_orderdate") > F.lit("1997-01-01").cast("timestamp_ntz")
-    a = A.recency_features(o, "c_custkey", {"pedidos": ("count", recent, F.lit(1)), "total": ("sum", recent, F.col("o_totalprice"))})
-    i = t("lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "c_custkey"), "l_orderkey")
-    b = A.recency_features(i, "c_custkey", {"itens": ("count", F.col("l_shipdate") > F.lit("1997-01-01").cast("timestamp_ntz"), F.lit(1))})
-    d = J.enrich(t("customer").select("c_custkey"), {"a": a, "b": b}, ["c_custkey"])
-    return P.FillNull(value=0, cols=["pedidos", "total", "itens"]).transform(d).withColumn("total", F.round("total", 2))
+    at = lambda c, v: F.col(c) > F.lit(v).cast("timestamp_ntz")
+    price, specs = F.col("o_totalprice"), {}
+    until = at("o_orderdate", _DATES["3m"]) & (F.col("o_orderdate") < F.lit("1997-03-01").cast("timestamp_ntz"))
+    for k, v in _DATES.items():
+        m = at("o_orderdate", v)
+        specs |= {f"pedidos_{k}": ("count", m, F.lit(1)), f"total_{k}": ("sum", m, price), f"media_{k}": ("mean", m, price), f"prioridades_{k}": ("nunique", m, F.col("o_orderpriority")), f"estados_{k}": ("nunique", m, F.col("o_orderstatus")), f"max_{k}": ("max", m, price), f"min_{k}": ("min", m, price)}
+    m3 = at("o_orderdate", _DATES["3m"])
+    specs |= {"media_antes": ("mean", until, price), "pedidos_antes": ("count", until, F.lit(1)), "moda_prioridade_3m": ("mode", m3, F.col("o_orderpriority")), "media_com_prioridade": ("mean", m3 & (F.col("o_orderpriority") != ""), price)}
+    a = A.recency_features(o, "c_custkey", specs)
+    a = a.withColumns({f"amplitude_{k}": F.col(f"max_{k}") - F.col(f"min_{k}") for k in _DATES}).withColumns({"mm_pedidos": F.col("pedidos_3m") / 3, "mm_total": F.col("total_3m") / 3, "tendencia_total": F.col("media_1m") - F.col("media_antes"), "tendencia_pedidos": F.col("pedidos_1m") - F.col("pedidos_antes")})
+    i, specs = t("lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "c_custkey"), "l_orderkey"), {}
+    for k, v in _DATES.items():
+        m = at("l_shipdate", v)
+        specs |= {f"itens_{k}": ("count", m, F.lit(1)), f"qtd_{k}": ("sum", m, F.col("l_quantity")), f"desconto_{k}": ("mean", m, F.col("l_discount")), f"produtos_{k}": ("nunique", m, F.col("l_partkey")), f"retornos_{k}": ("nunique", m, F.col("l_returnflag")), f"maior_{k}": ("max", m, F.col("l_quantity")), f"menor_{k}": ("min", m, F.col("l_quantity"))}
+    b = A.recency_features(i, "c_custkey", specs)
+    e = t("events").withColumn("c_custkey", F.col("user_id") + 1)
+    c = A.recency_features(e, "c_custkey", {f"{x}_{k}": ("count", (F.col("event_type") == x) & at("ts", v), F.lit(1)) for x in ("view", "click", "purchase") for k, v in (("1m", "2024-01-20"), ("3m", "2024-01-10"))})
+    d = J.enrich(t("customer").select("c_custkey"), {"pedidos": a, "itens": b, "eventos": c}, ["c_custkey"])
+    d = P.FillNull(value=0, cols=_HEALTH_NUMBERS).transform(d).withColumn("moda_prioridade_3m", F.coalesce("moda_prioridade_3m", F.lit("0")))
+    return d.select("c_custkey", "moda_prioridade_3m", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in _HEALTH_NUMBERS))
 
 
 def _sentences(t):
@@ -92,13 +206,12 @@ def _sentences(t):
 
 @R.query("pl8_entity_samples")
 def _(t):
-    found = K.extract_all(_sentences(t).select(F.col("sentence").alias("text")).distinct(), "text")
-    spans = None
-    for label in ("VALOR_COM_UNID.MEDIDA", "OPERADOR_MATEMATICO", "CP"):
-        part = K.to_spans(found.where(F.col("label") == label), "text", "entities", label)
-        spans = part if spans is None else spans.unionByName(part)
-    kept = K.non_overlapping(spans, "text")
-    return kept.groupBy("label").agg(F.count("*").alias("n"))
+    """Cleaned fragments to spans of every label, then the training set: spans of a text that do not overlap."""
+    d = _sentences(t).select(T.clean_fragment(F.col("sentence")).alias("text")).distinct()
+    found = cut(K.extract_all(d, "text"))
+    parts = [K.to_spans(found.where(F.col("label") == label), "text", "entities", label).select("text", "start", "end", "label") for label in T.EXTRACTORS]
+    kept = K.non_overlapping(K.build_trainset(parts, ["text", "start", "end", "label"]), "text")
+    return kept.withColumn("entity", K.span_text(F.col("text"), F.col("start"), F.col("end")))
 
 
 @R.query("pl9_entity_rules")
@@ -110,14 +223,19 @@ def _(t):
 
 @R.query("pl10_report_classification")
 def _(t):
-    d = J.join_dim(t("documents").select("doc_id", "text"), t("labels"), ["doc_id"])
-    d = d.withColumn("text", T.normalize_marks(F.col("text")))
-    bag = K.BagOfWords(key="doc_id", text="text", max_features=20).fit(d.select("doc_id", "text"))
+    """Reports with labels, their tokens counted, a model on 85 per cent, decisions on the rest with scores by year and the missed positives marked for review."""
+    d = J.join_dim(t("documents").select("doc_id", "text"), t("labels").select("doc_id", P.recode_12(2 - F.col("quality")).cast("double").alias("y")), ["doc_id"])
+    d = d.withColumn("text", F.array_join(T.tokenize(T.normalize_marks(F.col("text")), ["de", "the", "of"]), " "))
+    bag = K.BagOfWords(key="doc_id", text="text", max_features=20).fit(d)
     words = bag.values["vocabulary"]
-    x = bag.transform(d.select("doc_id", "text")).toDF("doc_id", *(f"w{i}" for i in range(len(words)))).join(d.select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id")
-    x = S.split_random(x, ["doc_id"], [0.85, 0.15], seed=1).cache()
+    x = bag.transform(d).toDF("doc_id", *(f"w{i}" for i in range(len(words)))).join(d.select("doc_id", "y"), "doc_id")
+    x = cut(S.split_random(x, ["doc_id"], [0.85, 0.15], seed=1))
     model = M.pipeline("boosting", "classification", [f"w{i}" for i in range(len(words))], "y", maxIter=5, maxDepth=3, seed=1).fit(x.where("part = 0"))
-    return X.decide(M.score(model.transform(x.where("part = 1"))), "score").select("doc_id", "y", "score", "decision")
+    out = X.decide(M.score(model.transform(x.where("part = 1"))), "score").withColumn("ano", 2018 + F.col("doc_id") % 3)
+    missed = X.false_negatives(out.withColumn("y", F.col("y").cast("int")), "y", "decision").select("doc_id", F.lit(1).alias("revisar"))
+    years = out.groupBy("ano").agg(F.count("*").alias("laudos_ano"), F.avg("score").alias("score_ano"))
+    out = out.join(missed, "doc_id", "left").join(years, "ano")
+    return out.select("doc_id", "ano", "y", "score", "decision", F.coalesce("revisar", F.lit(0)).alias("revisar"), "laudos_ano", "score_ano")
 
 
 @R.query("pl11_sensor_regression")
@@ -138,21 +256,37 @@ def _(t):
     return t("events").select("event_id", F.round(v - 1, 6).alias("temp_delta"), F.round((v + 1) / 2, 6).alias("temp_mean"), F.round(N.annual_cosine(F.col("ts"), datetime.date(2024, 1, 1)), 6).alias("cos_ano"), P.encode_map(F.col("event_type"), {"click": 0, "view": 1, "purchase": 2}).alias("classe"))
 
 
-@R.query("pl13_monitoring_cycle", "SELECT 'val' AS feature, true AS shifted")
+_TRIED = "SELECT 'm_' || l_returnflag AS model, round(avg(l_discount), 6) AS f1, round(avg(l_tax), 6) AS brier FROM lineitem GROUP BY 1"
+_MOVED = " UNION ALL ".join(f"SELECT '{k}' AS property, {agg} AS ratio" for k, agg in {"mean": "avg(2 * val) / avg(val) - 1", "std": "stddev(2 * val) / stddev(val) - 1", "min": "min(2 * val) / min(val) - 1", "max": "max(2 * val) / max(val) - 1", "q50": "quantile_cont(2 * val, 0.5) / quantile_cont(val, 0.5) - 1", "q75": "quantile_cont(2 * val, 0.75) / quantile_cont(val, 0.75) - 1"}.items())
+_MOVED = " UNION ALL ".join(f"{x} FROM p" for x in _MOVED.split(" UNION ALL "))
+
+
+@R.query("pl13_monitoring_cycle", f"""WITH p AS (SELECT sum(l_extendedprice) AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, date_trunc('month', o_orderdate)), m AS ({_TRIED}), best AS (SELECT model FROM m ORDER BY f1 DESC, brier, model DESC LIMIT 1), moved AS ({_MOVED})
+    SELECT 'drift' AS step, 'val' AS name, property AS detail FROM moved WHERE abs(ratio) > 0.15 UNION ALL SELECT 'shifted', 'val', 'distribution' FROM moved WHERE abs(ratio) > 0.15 HAVING count(*) >= 4 UNION ALL SELECT 'shifted', 'novo', 'input'
+    UNION ALL SELECT 'registry', CASE WHEN model = (SELECT model FROM best) THEN 'baseline' WHEN model = (SELECT min(model) FROM m) THEN 'previous' ELSE model END, '' FROM m""")
 def _(t):
-    d = panel(t)
-    base = A.profile(d, ["qtd", "val"])
-    now = A.profile(d.withColumn("val", F.col("val") * 2), ["qtd", "val"])
-    moved = W.shifted_features(W.numeric_drift(base, now), W.compare_schema(W.schema_table(d), W.schema_table(d)))
-    return moved.select("feature", F.lit(True).alias("shifted"))
+    """Baseline, two probes, drift and schema against them, what has shifted, then the tried models: recorded, the best picked and promoted."""
+    d = panel(t).select("qtd", "val")
+    path = f"{shared_dir(d.sparkSession).rstrip('/')}/probes-{uuid.uuid4().hex}"
+    for _ in range(2):
+        IO.probe(d.withColumns({"val": F.col("val") * 2, "novo": F.lit(1)}), path)
+    probes = d.sparkSession.read.parquet(path).drop("probe_ts", "probe_id")
+    drift = IO.monitor_probes(d.sparkSession, path, A.profile(d, ["qtd", "val"]), ["qtd", "val"]).where("property in ('mean', 'std', 'min', 'max', 'q50', 'q75')")
+    moved = W.shifted_features(drift, W.compare_schema(W.schema_table(d), W.schema_table(probes)))
+    tried = t("lineitem").groupBy(F.concat(F.lit("m_"), "l_returnflag").alias("model")).agg(F.round(F.avg("l_discount"), 6).alias("f1"), F.round(F.avg("l_tax"), 6).alias("brier"))
+    tried = cut(W.record_metrics(tried, tried.withColumn("model", F.concat("model", F.lit("_again"))), ["model"], ["f1", "brier"]))
+    best, first = W.select_best(tried, "model", {"f1": 2.0, "brier": 1.0}), tried.agg(F.min("model")).first()[0]
+    registry = W.promote(tried.withColumn("model", F.when((F.col("model") == first) & (F.col("model") != best), "baseline").otherwise(F.col("model"))), "model", best)
+    out = drift.select(F.lit("drift").alias("step"), F.col("feature").alias("name"), F.col("property").alias("detail"))
+    return out.unionByName(moved.select(F.lit("shifted").alias("step"), F.col("feature").alias("name"), F.col("reason").alias("detail"))).unionByName(registry.select(F.lit("registry").alias("step"), F.col("model").alias("name"), F.lit("").alias("detail")))
 
 
 @R.query("pl14_batch_churn_scores")
 def _(t):
-    d = churn(t).withColumn("y", F.col("target").cast("double"))
-    cols = ["qtd", "val", "agg_l3m_qtd", "agg_l3m_val"]
+    """The last month's customers through the fitted feature stages and model, as the table a scoring run writes."""
+    d = cut(_featured(t).select(_FEATURES).withColumn("y", F.col("target").cast("double")))
     last = d.agg(F.max("date")).first()[0]
-    model = M.pipeline("forest", "classification", cols, "y", numTrees=5, seed=1).fit(d.where(F.col("date") < F.lit(last)))
+    model = M.pipeline("forest", "classification", [c for c in _FEATURES if c not in ("cod_cliente", "date", "target")], "y", numTrees=5, seed=1).fit(d.where(F.col("date") < F.lit(last)))
     return M.batch_scores(M.score(model.transform(d.where(F.col("date") == F.lit(last)))), ["cod_cliente", "date"], "score", "churn", "b1", "2024-02-01 00:00:00")
 
 

@@ -209,10 +209,28 @@ def _(t):
     return t("customer").select("c_custkey", F.round(N.yeo_johnson(F.col("c_acctbal"), 0.5), 4).alias("x"))
 
 
-@R.query("n3_yeo_johnson_fit")
+def transformed_sql(x: str, lam: str) -> str:
+    """The power transform of x with lambda, in SQL."""
+    up = f"CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (pow({x} + 1, {lam}) - 1) / nullif({lam}, 0) END"
+    down = f"CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / nullif(2 - {lam}, 0) END"
+    return f"CASE WHEN {x} >= 0 THEN {up} WHEN {x} < 0 THEN {down} END"
+
+
+def yeo_johnson_sql(table: str, col: str, source: str = "c") -> str:
+    """The likeliest lambda of a column, by three rounds of a finer grid around the best one so far."""
+    ctes = [f"x AS (SELECT CAST({col} AS DOUBLE) AS x FROM {source})", "s AS (SELECT count(x) AS n, sum(sign(x) * ln(1 + abs(x))) AS s FROM x)"]
+    for i, width in enumerate((2.0, 0.25, 0.03125)):
+        around = "0.0" if i == 0 else f"(SELECT lam FROM r{i - 1})"
+        ctes.append(f"g{i} AS (SELECT DISTINCT greatest(-2.0, least(2.0, {around} + {width} * k / 8)) AS lam FROM range(-8, 9) t(k))")
+        ctes.append(f"r{i} AS (SELECT CAST(lam AS DOUBLE) AS lam FROM x, g{i}, s GROUP BY lam, n, s ORDER BY -n / 2 * ln(var_pop({transformed_sql('x', 'CAST(lam AS DOUBLE)')})) + (lam - 1) * s DESC NULLS LAST, lam LIMIT 1)")
+    return f"WITH {', '.join(ctes)} SELECT lam FROM r2"
+
+
+@R.query("n3_yeo_johnson_fit", f"WITH c AS (SELECT o_orderkey, o_totalprice FROM orders), l AS ({yeo_johnson_sql('c', 'o_totalprice')}) SELECT o_orderkey, round({transformed_sql('o_totalprice', 'lam')}, 3) AS x, lam FROM c, l")
 def _(t):
     d = t("orders").select("o_orderkey", "o_totalprice")
-    return N.YeoJohnson(cols=["o_totalprice"]).fit(d).transform(d)
+    m = N.YeoJohnson(cols=["o_totalprice"]).fit(d)
+    return m.transform(d).select("o_orderkey", F.round("o_totalprice", 3).alias("x"), F.lit(m.values["lambdas"]["o_totalprice"]).alias("lam"))
 
 
 @R.query("n4_outliers", "WITH s AS (SELECT avg(l_extendedprice) m, stddev(l_extendedprice) d FROM lineitem) SELECT l_orderkey, l_linenumber, round(greatest(m - d, least(m + d, l_extendedprice)), 3) AS x FROM lineitem, s")

@@ -239,7 +239,10 @@ def _(t):
     return A.category_profile(t("lineitem"), ["l_returnflag", "l_linestatus"]).withColumn("share", F.round("share", 6))
 
 
-@R.query("a15_date_format", "SELECT 'd' feature, 'yyyy-MM-dd' AS format UNION ALL SELECT 's', 'custom'")
+_FORMAT = "CASE WHEN bool_and(regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) THEN 'yyyy-MM-dd' WHEN bool_and(regexp_full_match({0}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}')) THEN 'dd/MM/yyyy' ELSE 'custom' END"
+
+
+@R.query("a15_date_format", f"SELECT 'd' AS feature, {_FORMAT.format('d')} AS format FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') d FROM orders) UNION ALL SELECT 's', {_FORMAT.format('o_orderstatus')} FROM orders")
 def _(t):
     d = t("orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.col("o_orderstatus").alias("s"))
     return A.date_format(d, ["d", "s"], {"yyyy-MM-dd": "yyyy-MM-dd", "dd/MM/yyyy": "dd/MM/yyyy"})
@@ -298,7 +301,7 @@ def _(t):
     return d.groupBy("part").agg(F.count("*").alias("n")).join(A.frequencies(d, "part", True), "part").withColumn("share", F.round("share", 6))
 
 
-@R.query("t6_split_random")
+@R.query("t6_split_random", "SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|3'), 1, 7))::BIGINT / 268435456.0 < 0.85 THEN 0 ELSE 1 END AS part FROM orders")
 def _(t):
     return S.split_random(t("orders").select("o_orderkey"), ["o_orderkey"], [0.85, 0.15], seed=3)
 
@@ -318,9 +321,10 @@ def _(t):
     return S.class_weight(t("labels"), "toxic")
 
 
-@R.query("t10_sample_rows", "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS d")
+@R.query("t10_sample_rows", "SELECT least(count(*), 100) AS n, least(count(DISTINCT o_orderkey), 100) AS d, least(count(*), 100) AS found FROM orders")
 def _(t):
-    return S.sample_rows(t("orders"), ["o_orderkey"], 100, 5).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("d"))
+    some = S.sample_rows(t("orders"), ["o_orderkey"], 100, 5).select("o_orderkey", F.lit(1).alias("x"))
+    return t("orders").join(some, "o_orderkey", "left").agg(F.count("x").alias("n"), F.count_distinct(F.when(F.col("x") == 1, F.col("o_orderkey"))).alias("d"), F.sum("x").alias("found"))
 
 
 @R.query("t11_three_way_split", "SELECT CASE WHEN p < floor(0.7 * n + 1e-9) THEN 0 WHEN p < floor(0.85 * n + 1e-9) THEN 1 ELSE 2 END AS part, count(*) AS c FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, (SELECT count(*) FROM orders) AS n FROM orders) GROUP BY 1")

@@ -15,7 +15,7 @@ def _names(t, names, column="feature"):
     return t("region").sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
 
 
-@R.query("f1_constant_columns", "SELECT 'k' AS feature")
+@R.query("f1_constant_columns", "SELECT feature FROM (SELECT 'p_size' AS feature, count(DISTINCT p_size) n FROM part UNION ALL SELECT 'p_brand', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'k', count(DISTINCT 3) FROM part) WHERE n <= 1")
 def _(t):
     return _names(t, S.constant_columns(t("part").select("p_size", "p_brand").withColumn("k", F.lit(3))))
 
@@ -31,7 +31,10 @@ def _(t):
     return S.LowVariance(cols=["l_quantity", "l_discount", "l_tax"]).fit(d).transform(d)
 
 
-@R.query("f4_duplicate_columns", "SELECT 'p_brand' AS a, 'again' AS b")
+_SAME = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, bool_and(CAST({a} AS VARCHAR) IS NOT DISTINCT FROM CAST({b} AS VARCHAR)) AS same FROM (SELECT *, p_brand AS again FROM part)" for a, b in (("p_brand", "p_type"), ("p_brand", "p_size"), ("p_brand", "again"), ("p_type", "p_size"), ("p_type", "again"), ("p_size", "again")))
+
+
+@R.query("f4_duplicate_columns", f"SELECT a, b FROM ({_SAME}) WHERE same")
 def _(t):
     d = t("part").select("p_brand", "p_type", "p_size").withColumn("again", F.col("p_brand"))
     return t("part").sparkSession.createDataFrame(S.duplicate_columns(d), "a string, b string")

@@ -20,41 +20,41 @@ def _new(d, name):
     return f"{root.rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
 
 
-def _nation(t):
-    return t("nation").select("n_nationkey", "n_name", "n_regionkey")
+def _people(t):
+    return t("customer").select("c_custkey", "c_name", "c_nationkey")
 
 
-_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
-_SCHEMA = "n_nationkey int, n_name string, n_regionkey int"
+_PEOPLE = "SELECT c_custkey, c_name, c_nationkey FROM customer"
+_SCHEMA = "c_custkey long, c_name string, c_nationkey int"
 
 
-@R.query("io1_read_delimited", "SELECT n_nationkey, n_name FROM nation")
+@R.query("io1_read_delimited", "SELECT c_custkey, c_name FROM customer")
 def _(t):
-    d, path = _nation(t), _new(_nation(t), "csv")
+    d, path = _people(t), _new(_people(t), "csv")
     IO.write_csv(d, path, sep=";")
-    return IO.read_delimited(d.sparkSession, path, _SCHEMA, ";", ["n_nationkey", "n_name"])
+    return IO.read_delimited(d.sparkSession, path, _SCHEMA, ";", ["c_custkey", "c_name"])
 
 
-@R.query("io2_read_lines_split", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+@R.query("io2_read_lines_split", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def _(t):
-    d, path = _nation(t), _new(_nation(t), "lines")
-    IO.write_csv(d.coalesce(1), path, sep="|")
+    d, path = _people(t), _new(_people(t), "lines")
+    IO.write_csv(d.repartition(3), path, sep="|")
     return IO.read_lines_split(d.sparkSession, path, "|")
 
 
-@R.query("io3_read_headerless", _NATION)
+@R.query("io3_read_headerless", _PEOPLE)
 def _(t):
-    d, path = _nation(t), _new(_nation(t), "bare")
+    d, path = _people(t), _new(_people(t), "bare")
     IO.write_csv(d, path, header=False)
     return IO.read_headerless(d.sparkSession, path, _SCHEMA)
 
 
-@R.query("io4_read_parquet_union", "SELECT n_nationkey, n_name, n_regionkey, CASE WHEN n_nationkey < 15 THEN 1 END AS extra FROM nation")
+@R.query("io4_read_parquet_union", "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 5 < 3 THEN 1 END AS extra FROM customer")
 def _(t):
-    d, path = _nation(t), _new(_nation(t), "union")
-    IO.write_parquet(d.where("n_nationkey < 15").withColumn("extra", F.lit(1)), path + "/a")
-    IO.write_parquet(d.where("n_nationkey >= 15"), path + "/b")
-    IO.write_parquet(d.where("n_nationkey >= 20"), path + "/c")
+    d, path = _people(t), _new(_people(t), "union")
+    IO.write_parquet(d.where("c_custkey % 5 < 3").withColumn("extra", F.lit(1)), path + "/a")
+    IO.write_parquet(d.where("c_custkey % 5 >= 3"), path + "/b")
+    IO.write_parquet(d.where("c_custkey % 5 = 4"), path + "/c")
     return IO.read_parquet_union(d.sparkSession, [f"{path}/{k}" for k in "abc"])
 
 
@@ -63,68 +63,68 @@ def _(t):
     return IO.read_range(t("orders"), "o_orderdate", "1996-01-01", "1996-02-01").select("o_orderkey")
 
 
-@R.query("io6_sql", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+@R.query("io6_sql", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
 def _(t):
-    d = _nation(t)
-    return IO.sql(d.sparkSession, "select n_regionkey, count(*) as n from {nation} group by 1", nation=d)
+    d = _people(t)
+    return IO.sql(d.sparkSession, "select c_nationkey, count(*) as n from {people} group by 1", people=d)
 
 
-@R.query("io7_read_annotations", "SELECT n_name AS text, 0 AS start, 3 AS \"end\", 'N' AS label FROM nation")
+@R.query("io7_read_annotations", "SELECT s_name AS text, 0 AS start, 3 AS \"end\", 'N' AS label FROM supplier")
 def _(t):
-    d, path = _nation(t), _new(_nation(t), "json")
+    d, path = t("supplier"), _new(t("supplier"), "json")
     span = F.array(F.struct(F.lit(0).alias("startOffset"), F.lit(3).alias("endOffset"), F.lit("N").alias("label")))
-    first = d.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("source"), F.array(F.struct(F.struct(F.struct(span.alias("entities")).alias("x")).alias("answerContent"))).alias("answers"))
-    second = d.where("n_nationkey % 2 = 1").select(F.col("n_name").alias("source"), F.struct(F.struct(F.struct(F.struct(span.alias("entities")).alias("annotations")).alias("job")).alias("content")).alias("consolidatedAnnotation"))
+    first = d.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("source"), F.array(F.struct(F.struct(F.struct(span.alias("entities")).alias("x")).alias("answerContent"))).alias("answers"))
+    second = d.where("s_suppkey % 2 = 1").select(F.col("s_name").alias("source"), F.struct(F.struct(F.struct(F.struct(span.alias("entities")).alias("annotations")).alias("job")).alias("content")).alias("consolidatedAnnotation"))
     for name, x in (("a", first), ("b", second)):
-        x.repartition(30, "source").write.option("maxRecordsPerFile", 1).json(f"{path}/{name}")
+        x.repartition("source").write.option("maxRecordsPerFile", 1).json(f"{path}/{name}")
     return IO.read_annotations(d.sparkSession, [f"{path}/a", f"{path}/b"]).drop("file")
 
 
-@R.query("io8_route_files", "SELECT n_name, CASE WHEN contains(lower(n_name), 'a') THEN 'letra_a' ELSE 'letra_e' END AS \"table\" FROM nation WHERE contains(lower(n_name), 'a') OR contains(lower(n_name), 'e')")
+@R.query("io8_route_files", "SELECT c_name, CASE WHEN contains(c_name, '7') THEN 'sete' ELSE 'tres' END AS \"table\" FROM customer WHERE contains(c_name, '7') OR contains(c_name, '3')")
 def _(t):
-    return IO.route_files(_nation(t), "n_name", {"letra_a": "A", "letra_e": "e"})
+    return IO.route_files(_people(t), "c_name", {"sete": "7", "tres": "3"})
 
 
-@R.query("io9_parse_names", "SELECT n_nationkey, n_name AS nome, CAST(n_regionkey AS VARCHAR) AS codigo FROM nation WHERE n_nationkey % 3 > 0")
+@R.query("io9_parse_names", "SELECT c_custkey, c_name AS nome, CAST(c_nationkey AS VARCHAR) AS codigo FROM customer WHERE c_custkey % 3 > 0")
 def _(t):
-    parts = F.concat_ws(" - ", "n_name", F.col("n_regionkey").cast("string"), F.when(F.col("n_nationkey") % 3 == 0, "x"))
-    d = _nation(t).select("n_nationkey", F.concat(F.lit("/in/"), parts, F.lit(".wav")).alias("path"))
+    parts = F.concat_ws(" - ", "c_name", F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, "x"))
+    d = _people(t).select("c_custkey", F.concat(F.lit("/in/"), parts, F.lit(".wav")).alias("path"))
     return IO.parse_names(d, "path", ["nome", "codigo"]).drop("path")
 
 
-@R.query("io10_write_parquet", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
+@R.query("io10_write_parquet", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey = 1")
 def _(t):
-    d, path = _nation(t), _new(_nation(t), "gzip")
-    IO.write_parquet(d, path, ["n_regionkey"])
-    return d.sparkSession.read.parquet(path).where("n_regionkey = 1").select(*d.columns)
+    d, path = _people(t), _new(_people(t), "gzip")
+    IO.write_parquet(d, path, ["c_nationkey"])
+    return d.sparkSession.read.parquet(path).where("c_nationkey = 1").select(*d.columns)
 
 
-@R.query("io11_write_csv", _NATION)
+@R.query("io11_write_csv", _PEOPLE)
 def _(t):
-    d, path = _nation(t), _new(_nation(t), "csv")
+    d, path = _people(t), _new(_people(t), "csv")
     IO.write_csv(d, path, sep="\t")
     return d.sparkSession.read.schema(_SCHEMA).options(sep="\t", header=True).csv(path)
 
 
-@R.query("io12_write_table", _NATION)
+@R.query("io12_write_table", _PEOPLE)
 def _(t):
-    d, name = _nation(t), f"nation_{uuid.uuid4().hex}"
+    d, name = _people(t), f"people_{uuid.uuid4().hex}"
     IO.write_table(d, name)
     return d.sparkSession.table(name)
 
 
-@R.query("io13_append_registry", "SELECT n_nationkey, n_name FROM nation ORDER BY 1")
+@R.query("io13_append_registry", "SELECT c_custkey, c_name FROM customer ORDER BY 1")
 def _(t):
-    d, path = _nation(t).select("n_nationkey", "n_name"), _new(_nation(t), "registry")
-    IO.append_registry(d.where("n_nationkey < 15"), path, ["n_nationkey"])
-    return IO.append_registry(d.where("n_nationkey >= 10"), path, ["n_nationkey"])
+    d, path = _people(t).select("c_custkey", "c_name"), _new(_people(t), "registry")
+    IO.append_registry(d.where("c_custkey % 5 < 3"), path, ["c_custkey"])
+    return IO.append_registry(d.where("c_custkey % 5 >= 2"), path, ["c_custkey"])
 
 
-@R.query("io14_write_by_group", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+@R.query("io14_write_by_group", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
 def _(t):
-    d, path = _nation(t), _new(_nation(t), "groups")
-    IO.write_by_group(d, "n_regionkey", path)
-    return d.sparkSession.read.parquet(path).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    d, path = _people(t), _new(_people(t), "groups")
+    IO.write_by_group(d, "c_nationkey", path)
+    return d.sparkSession.read.parquet(path).groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
 @R.query("io15_probe", "SELECT CAST(floor(count(*) * 0.2) AS BIGINT) AS n FROM orders")
@@ -143,11 +143,11 @@ def _(t):
     return IO.monitor_probes(d.sparkSession, path, base, ["o_totalprice"]).select("feature", "property")
 
 
-@R.query("io17_latest", "SELECT n_nationkey FROM nation WHERE n_nationkey >= 10")
+@R.query("io17_latest", "SELECT c_custkey FROM customer WHERE c_custkey % 5 >= 2")
 def _(t):
-    d, path = _nation(t).select("n_nationkey"), _new(_nation(t), "versions")
-    IO.write_parquet(d.where("n_nationkey < 15"), path + "/v00000001")
-    IO.write_parquet(d.where("n_nationkey >= 10"), path + "/v00000002")
+    d, path = _people(t).select("c_custkey"), _new(_people(t), "versions")
+    IO.write_parquet(d.where("c_custkey % 5 < 3"), path + "/v00000001")
+    IO.write_parquet(d.where("c_custkey % 5 >= 2"), path + "/v00000002")
     return IO.latest(d.sparkSession, path)
 
 

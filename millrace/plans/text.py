@@ -48,15 +48,36 @@ def _(t):
     return model.transform(docs(t)).select("doc_id", F.round(sum(cols[1:], cols[0]), 6).alias("s"))
 
 
-@R.query("k5_clean_fragment")
+def _in_duck(x: str, rules: list[tuple[str, str]]) -> str:
+    """The rules as nested calls of DuckDB's regexp_replace. Its patterns know neither what stands around a match nor intersections: what follows or goes before
+    is matched and put back, twice over, as matches may touch."""
+    for pattern, to in rules:
+        pattern, to, again = pattern.replace(r"[\p{Ll}&&[^s]]", r"[^\P{Ll}s]"), to.replace("$", "\\"), 1
+        if pattern == r"(?<=\p{Ll})(?=\p{Lu}\p{Ll})":
+            pattern, to, again = r"(\p{Ll})(\p{Lu}\p{Ll})", r"\1 \2", 2
+        if pattern.endswith(r"(?=\s)"):
+            pattern, to = pattern[: -len(r"(?=\s)")] + r"(\s)", to + r"\3"
+        for _ in range(again):
+            x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+_HEAD = ("CAST(doc_id % 9 AS VARCHAR)", F.col("doc_id") % 9)
+_PARTS = ["", ".2.1. Objetivo3. a) módulo 5 ", None, " abdesenergização 12energização&#xa0;x\uf0b7 abcd-xyz execuçãoprocedimento | 1) fim.  ."]
+
+
+@R.query("k5_clean_fragment", f"SELECT doc_id, md5(trim(array_to_string(list_filter(string_split({_in_duck(f"{_HEAD[0]} || '{_PARTS[1]}' || text || '{_PARTS[3]}'", T.FRAGMENT_RULES)}, '.'), lambda w: trim(w) <> ''), '.'))) AS h FROM documents")
 def _(t):
-    return docs(t).select("doc_id", T.clean_fragment(F.col("text")).alias("text"))
+    whole = F.concat(_HEAD[1].cast("string"), F.lit(_PARTS[1]), "text", F.lit(_PARTS[3]))
+    return docs(t).select("doc_id", F.md5(T.clean_fragment(whole)).alias("h"))
 
 
-@R.query("k6_clean_equipment", "SELECT doc_id, array_to_string(list_filter(list_slice(string_split(text, ' '), 1, greatest(len(string_split(text, ' ')) - 14, 0)), lambda w: w <> ''), ' ') AS nome FROM documents WHERE NOT regexp_matches(text, '\\d\\p{L}+\\d')")
+_DIGITS = r"regexp_replace(regexp_replace({}, '([0-9])\p{{L}}+([0-9])', '\1\2', 'g'), '([0-9])\p{{L}}+([0-9])', '\1\2', 'g')"
+
+
+@R.query("k6_clean_equipment", "SELECT doc_id, " + _DIGITS.format("array_to_string(list_filter(list_slice(string_split(text, ' '), 1, greatest(len(string_split(text, ' ')) - 14, 0)), lambda w: w <> ''), ' ')") + " AS nome FROM (SELECT doc_id, '1a2bc3 ' || text AS text FROM documents)")
 def _(t):
-    d = docs(t).where(~F.col("text").rlike(r"\d\p{L}+\d"))
-    return d.select("doc_id", T.clean_equipment(F.col("text")).alias("nome"))
+    return docs(t).select("doc_id", T.clean_equipment(F.concat(F.lit("1a2bc3 "), "text")).alias("nome"))
 
 
 @R.query("k7_strip_tags", r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS h FROM pages""")
@@ -77,52 +98,58 @@ def _instructions(t):
     k = F.col("o_orderkey")
     kv = F.element_at(F.array(*map(F.lit, ["138", "230", "500", "13,8"])), (k % 4 + 1).cast("int"))
     sign = F.element_at(F.array(*map(F.lit, ["menor ou igual a", ">", "superior a", "no máximo"])), (k % 4 + 1).cast("int"))
-    parts = ["LT ", kv, " kV Norte", (k % 7).cast("string"), " / Sul Leste com derivação para Oeste. A tensão na barra deve ser ", sign, " ", (k % 90 + 10).cast("string"), " kV; capacitores de ", kv, " kV energizados, UHE Serra Azul em operação, frequência ", (k % 5 + 55).cast("string"), ",5 Hz. SE ", kv, " kV Centro"]
+    parts = ["LT ", kv, " kV Norte", (k % 7).cast("string"), " / Sul Leste com derivação para Oeste. A tensão na barra deve ser ", sign, " ", (k % 90 + 10).cast("string"), " kV; capacitores de ", kv, " kV energizados, UHE Serra Azul em operação, frequência ", (k % 5 + 55).cast("string"), ",5 Hz. TR ", (k % 3 + 230).cast("string"), " / 138 kV Norte desenergizado. SE ", kv, " kV Centro"]
     return t("orders").select("o_orderkey", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
 
 
-@R.query("k8g_values_with_unit", r"""SELECT o_orderkey, list_sort(list_distinct(regexp_extract_all(x, '(?i)[0-9]+(?:,[0-9]+)? (?:kV|Hz)\b'))) AS e FROM (SELECT o_orderkey, kv || ' kV ' || CAST(o_orderkey % 90 + 10 AS VARCHAR) || ' kV ' || CAST(o_orderkey % 5 + 55 AS VARCHAR) || ',5 Hz' AS x FROM (SELECT *, ['138','230','500','13,8'][o_orderkey % 4 + 1] AS kv FROM orders))""")
-def _(t):
-    return _instructions(t).select("o_orderkey", T.EXTRACTORS["VALOR_COM_UNID.MEDIDA"](F.col("text")).alias("e"))
-
-
-@R.query("k8i_math_operators", "SELECT o_orderkey, [['menor ou igual a', '>', 'superior a', 'no máximo'][o_orderkey % 4 + 1]] AS e FROM orders")
-def _(t):
-    return _instructions(t).select("o_orderkey", T.EXTRACTORS["OPERADOR_MATEMATICO"](F.col("text")).alias("e"))
-
-
-@R.query("k8c_capacitors", "SELECT o_orderkey, ['capacitores de ' || ['138','230','500','13,8'][o_orderkey % 4 + 1] || ' kV'] AS e FROM orders WHERE o_orderkey % 4 < 3")
-def _(t):
-    return _instructions(t).where("o_orderkey % 4 < 3").select("o_orderkey", T.EXTRACTORS["CP"](F.col("text")).alias("e"))
-
-
-@R.query("k8a_lines", "SELECT o_orderkey, ['LT ' || ['138','230','500'][o_orderkey % 4 + 1] || ' kV Norte' || CAST(o_orderkey % 7 AS VARCHAR) || ' / Sul Leste'] AS e FROM orders WHERE o_orderkey % 4 < 3")
-def _(t):
-    d = _instructions(t).where("o_orderkey % 4 < 3").select("o_orderkey", T.EXTRACTORS["LT"](F.col("text")).alias("e"))
-    return d.withColumn("e", F.transform("e", lambda x: F.trim(F.regexp_replace(x, " Oeste.*| deriva.*", ""))))
+# What the extractors should find in those sentences, as SQL over the same numbers. A voltage with decimals names no line, capacitor or whole substation.
+_KV = "['138', '230', '500', '13,8'][o_orderkey % 4 + 1]"
+_SIGN = "['menor ou igual a', '>', 'superior a', 'no máximo'][o_orderkey % 4 + 1]"
+_RATED = "'TR ' || CAST(o_orderkey % 3 + 230 AS VARCHAR) || ' / 138 kV'"
+_LINE = f"CASE WHEN o_orderkey % 4 < 3 THEN ['LT ' || {_KV} || ' kV Norte' || CAST(o_orderkey % 7 AS VARCHAR) || ' / Sul Leste '] ELSE [] END"
+_BANKS = f"CASE WHEN o_orderkey % 4 < 3 THEN ['capacitores de ' || {_KV} || ' kV'] ELSE [] END"
+_TRAFOS = f"[{_RATED}, {_RATED} || ' Norte', {_RATED} || ' Norte desenergizado']"
+_FOUND = {
+    "VALOR_COM_UNID.MEDIDA": f"list_sort(list_distinct([{_KV} || ' kV', CAST(o_orderkey % 90 + 10 AS VARCHAR) || ' kV', CAST(o_orderkey % 5 + 55 AS VARCHAR) || ',5 Hz', '138 kV']))",
+    "OPERADOR_MATEMATICO": f"[{_SIGN}]",
+    "LT": _LINE,
+    "TR": _TRAFOS,
+    "CP": _BANKS,
+    # A number that a later rule takes away leaves the words on both sides of it.
+    "SUBESTACAO": f"CASE o_orderkey % 4 WHEN 3 THEN ['SE 13'] WHEN 0 THEN ['SE', 'SE kV', 'SE kV Centro'] ELSE ['SE ' || {_KV}, 'SE ' || {_KV} || ' kV', 'SE ' || {_KV} || ' kV Centro'] END",
+    "USINA": "['UHE Serra', 'UHE Serra Azul', 'UHE Serra Azul em']",
+    "ESTADO_OPERATIVO": "['desenergizado', 'em operação', 'energizados']",
+    "INEQUACAO": f"['tensão na barra deve ser ' || {_SIGN} || ' ' || CAST(o_orderkey % 90 + 10 AS VARCHAR) || ' kV']",
+}
+
+for _key, _label in {"k8a_lines": "LT", "k8b_transformers": "TR", "k8c_capacitors": "CP", "k8f_states": "ESTADO_OPERATIVO", "k8g_values_with_unit": "VALOR_COM_UNID.MEDIDA", "k8h_substations": "SUBESTACAO", "k8i_math_operators": "OPERADOR_MATEMATICO", "k8j_plants": "USINA", "k8k_inequalities": "INEQUACAO"}.items():
+
+    @R.query(_key, f"SELECT o_orderkey, {_FOUND[_label]} AS e FROM orders")
+    def _(t, label=_label):
+        return _instructions(t).select("o_orderkey", T.EXTRACTORS[label](F.col("text")).alias("e"))
 
 
-@R.query("k8d_equipments")
+@R.query("k8d_equipments", f"SELECT o_orderkey, list_concat(list_concat({_TRAFOS}, {_LINE}), {_BANKS}) AS e FROM orders")
 def _(t):
     return _instructions(t).select("o_orderkey", T.equipments(F.col("text")).alias("e"))
 
 
-for _key, _label in {"k8b_transformers": "TR", "k8f_states": "ESTADO_OPERATIVO", "k8h_substations": "SUBESTACAO", "k8j_plants": "USINA", "k8k_inequalities": "INEQUACAO"}.items():
-
-    @R.query(_key)
-    def _(t, label=_label):
-        return _instructions(t).select("o_orderkey", T.EXTRACTORS[label](F.col("text")).alias("e"))
+_PHRASES = "(SELECT DISTINCT unnest([string_split(lower(p_name), ' ')[1], lower(p_name), 'the', 'of the']) AS p FROM part)"
 
 
-@R.query("k8e_match_rules", "SELECT doc_id, list_sort(list(DISTINCT p)) AS entities FROM documents, (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS p FROM part) WHERE list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), p) GROUP BY 1")
+@R.query("k8e_match_rules", f"SELECT doc_id, list_sort(list(DISTINCT p)) AS entities FROM (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ' ') || ' ' AS x FROM documents), (SELECT p, ' ' || array_to_string(list_filter(string_split_regex(p, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ' ') || ' ' AS y FROM {_PHRASES}) WHERE contains(x, y) GROUP BY 1")
 def _(t):
-    rules = t("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("p")).distinct()
+    rules = t("part").select(F.explode(F.array(F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1)), F.lower("p_name"), F.lit("the"), F.lit("of the"))).alias("p")).distinct()
     return S.match_rules(docs(t), "doc_id", "text", rules, "p")
 
 
-@R.query("k22_extract_all")
+_EACH = " UNION ALL ".join(f"SELECT DISTINCT o_orderkey % 1260 AS k, '{label}' AS label, {found} AS e FROM orders" for label, found in _FOUND.items())
+
+
+@R.query("k22_extract_all", f"SELECT label, count(*) AS n, sum(len(e)) AS entities FROM ({_EACH}) WHERE len(e) > 0 GROUP BY 1")
 def _(t):
-    return S.extract_all(_instructions(t).select("text").distinct(), "text").groupBy("label").agg(F.count("*").alias("n"))
+    d = S.extract_all(_instructions(t).select("text").distinct(), "text")
+    return d.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("entities")).alias("entities"))
 
 
 _NAMES = "SELECT p_name AS text, ['e', 'en', 'ne'] AS ents FROM part"
@@ -152,15 +179,33 @@ def _(t):
     return t("part").select("p_partkey", S.span_text(F.col("p_name"), F.lit(3), F.lit(7), offset=1).alias("e"))
 
 
-@R.query("k12_split_sentences")
+_KEPT = [  # the points that end nothing, as DuckDB's patterns can say it
+    (r"(^|[^\p{L}\p{N}_])(Mr|St|Mrs|Ms|Dr|Sr|Sra|Jr|Inc|Ltd|Co|Ph|art|fig)\.", "\\1\\2\x02"),
+    (r"\.(com|net|org|io|gov)([^\p{L}\p{N}_])", "\x02\\1\\2"),
+    *[(r"([0-9])\.([0-9])", "\\1\x02\\2")] * 2,
+    *[(r"(^|[^\p{L}\p{N}_])(\p{Lu})\.(\s?\p{Lu})", "\\1\\2\x02\\3")] * 2,
+    *[(r"(\s)(\p{L})\.( )", "\\1\\2\x02\\3")] * 2,
+]
+_SENTENCES = "regexp_replace({}, '[\n)]', ' ', 'g')"
+_SENTENCES = "' ' || " + _SENTENCES + " || '  '"
+for _a, _b in [*_KEPT, (r"([.?!])([\"”]?)", "\\1\\2\x01")]:
+    _SENTENCES = "regexp_replace(" + _SENTENCES + ", '" + _a.replace("{", "{{").replace("}", "}}") + f"', '{_b}', 'g')"
+_SENTENCES = f"list_filter(list_transform(string_split({_SENTENCES}, '\x01')[:-2], lambda s: trim(replace(s, '\x02', '.'))), lambda s: length(s) > 3)"
+_SPEAK = "'Dr. A. B. Silva viu www.x.com.br em 3.5 h, fig. 2. ' || text || ' The end? \"Yes.\" No'"
+
+
+def _spoken(t):
+    return t("documents").withColumn("text", F.concat(F.lit("Dr. A. B. Silva viu www.x.com.br em 3.5 h, fig. 2. "), "text", F.lit(' The end? "Yes." No')))
+
+
+@R.query("k12_split_sentences", f"SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, '|')) AS h FROM (SELECT doc_id, {_SENTENCES.format(_SPEAK)} AS s FROM documents)")
 def _(t):
-    return docs(t).select("doc_id", F.size(T.split_sentences(F.col("text"))).alias("n"))
+    return _spoken(t).select("doc_id", T.split_sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("h"))
 
 
-@R.query("k13_sentence_table", "SELECT lang, count(*) AS n FROM (SELECT lang, unnest(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '[\\n)]', ' ', 'g'), '([.?!])([\"”]?)', '\\1\\2\x01', 'g'), '[^\x01]*$', ''), '\x01'), lambda s: trim(s))) AS s FROM documents WHERE NOT regexp_matches(text, '[0-9]|[.](com|net|org|io|gov)|(^|[ \\n)])(\\p{L}|[[:upper:]]|Mr|St|Mrs|Ms|Dr|Sr|Sra|Jr|Inc|Ltd|Co|Ph|art|fig)[.]|[.][.]|[.]\\p{L}')) WHERE length(s) > 3 GROUP BY 1")
+@R.query("k13_sentence_table", f"SELECT lang, count(*) AS n, sum(length(s)) AS letters FROM (SELECT lang, unnest({_SENTENCES.format(_SPEAK)}) AS s FROM documents) GROUP BY 1")
 def _(t):
-    d = t("documents").where(~F.col("text").rlike(r"[0-9]|[.](com|net|org|io|gov)|(^|[ \n)])(\p{L}|[A-Z]|Mr|St|Mrs|Ms|Dr|Sr|Sra|Jr|Inc|Ltd|Co|Ph|art|fig)[.]|[.][.]|[.]\p{L}"))
-    return S.sentence_table(d, "text", ["lang"]).groupBy("lang").agg(F.count("*").alias("n"))
+    return S.sentence_table(_spoken(t), "text", ["lang"]).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("letters"))
 
 
 @R.query("k14_split_sections", "SELECT p_partkey, ['1', '2.1'] AS s, ['name ' || p_name, 'type ' || p_type] AS x FROM part")
@@ -181,16 +226,19 @@ def _(t):
     return S.export_annotations(_spans(t), "text", "text", ["Y"])
 
 
-_ITEMS = "SELECT DISTINCT user_id, CAST(ts AS DATE) d, event_type i FROM events"
+_ITEMS = "SELECT user_id, CAST(ts AS DATE) d, list_sort(list(DISTINCT event_type)) x FROM events GROUP BY 1, 2"
 
 
-@R.query("k17_association_rules", f"""WITH x AS ({_ITEMS}), n AS (SELECT count(DISTINCT (user_id, d)) n FROM x), one AS (SELECT i, count(*) c FROM x GROUP BY 1),
-    two AS (SELECT a.i a, b.i b, count(*) c FROM x a JOIN x b ON a.user_id = b.user_id AND a.d = b.d AND a.i <> b.i GROUP BY 1, 2)
-    SELECT a AS antecedent, b AS consequent, round(two.c / n, 6) AS support, round(two.c / oa.c, 6) AS confidence, round((two.c / oa.c) / (ob.c / n), 6) AS lift FROM two JOIN one oa ON a = oa.i JOIN one ob ON b = ob.i, n WHERE two.c / n >= 0.01 AND two.c / oa.c >= 0.1""")
+@R.query("k17_association_rules", f"""WITH x AS ({_ITEMS}), n AS (SELECT count(*) n FROM x), e AS (SELECT user_id, d, unnest(x) i FROM x),
+    one AS (SELECT i, count(*) c FROM e GROUP BY 1), two AS (SELECT a.i a, b.i b, count(*) c FROM e a JOIN e b USING (user_id, d) WHERE a.i < b.i GROUP BY 1, 2),
+    three AS (SELECT a.i a, b.i b, f.i f, count(*) c FROM e a JOIN e b USING (user_id, d) JOIN e f USING (user_id, d) WHERE a.i < b.i AND b.i < f.i GROUP BY 1, 2, 3),
+    s AS (SELECT [i] AS s, c FROM one UNION ALL SELECT [a, b], c FROM two UNION ALL SELECT [a, b, f], c FROM three), f AS (SELECT s, c FROM s, n WHERE c >= ceil(0.01 * n)),
+    r AS (SELECT l.s AS l, list_sort(list_filter(w.s, lambda v: NOT list_contains(l.s, v))) AS r, w.c AS c, l.c AS lc FROM f w JOIN f l ON len(l.s) < len(w.s) AND len(list_filter(l.s, lambda v: NOT list_contains(w.s, v))) = 0)
+    SELECT array_to_string(l, ',') AS antecedent, array_to_string(r, ',') AS consequent, round(r.c / n, 6) AS support, round(r.c / lc, 6) AS confidence, round((r.c / lc) / (f.c / n), 6) AS lift FROM r JOIN f ON f.s = r.r, n WHERE r.c / lc >= 0.1""")
 def _(t):
     x = t("events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.collect_set("event_type").alias("items"))
-    r = S.association_rules(x, "items", 0.01, 0.1, 0.0, max_len=2)
-    return r.select(r.antecedent[0].alias("antecedent"), r.consequent[0].alias("consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
+    r = S.association_rules(x, "items", 0.01, 0.1, 0.0, max_len=3)
+    return r.select(*(F.array_join(c, ",").alias(c) for c in ("antecedent", "consequent")), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
 
 
 @R.query("k18_contains_all", "SELECT user_id, d FROM (SELECT user_id, CAST(ts AS DATE) d, list(DISTINCT event_type) x FROM events GROUP BY 1, 2) WHERE list_contains(x, 'click') AND list_contains(x, 'view')")

@@ -17,11 +17,12 @@ def read_delimited(spark: SparkSession, paths: str | list[str], schema: str | T.
 
 
 def read_lines_split(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """Ragged files: whole lines split at the separator and named by the first line, which is left out; missing fields are null, surplus ones dropped."""
-    lines = spark.read.text(path)
-    names = lines.first()[0].split(sep)
+    """Ragged files: whole lines split at the separator and named by the first line of a file, which each file begins with; missing fields are null, surplus
+    ones dropped, blank lines left out."""
+    names = spark.read.text(path).first()[0].split(sep)
+    lines = spark.read.schema("value string").options(header=True, sep="\u0001", quote="", enforceSchema=True).csv(path)
     parts = F.split("value", _quoted(sep))
-    return lines.where(F.col("value") != sep.join(names)).select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return lines.select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
 def _quoted(sep: str) -> str:

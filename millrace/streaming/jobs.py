@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.aggregate import profile
-from millrace.operators.monitor import numeric_drift
+from millrace.operators.monitor import control_chart, numeric_drift, ooc_summary
 
 
 def resample_stream(df: DataFrame, date: str, freq: str, sensors: list[str], late: str = "10 minutes", groups: list[str] = ()) -> DataFrame:
@@ -33,3 +33,15 @@ def drift_stream(df: DataFrame, baseline: DataFrame, cols: list[str], path: str,
         numeric_drift(baseline, profile(batch, cols), threshold).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(compare).trigger(availableNow=True).start()
+
+
+def control_stream(df: DataFrame, order: str, cols: list[str], limits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each batch's values outside given control limits, and its summary by column, in two folders of the batch; a batch that is tried again writes them anew."""
+
+    def watch(batch: DataFrame, number: int) -> None:
+        chart = control_chart(batch, order, cols, limits=limits).cache()
+        chart.where("ooc = 1").write.mode("overwrite").parquet(f"{path}/points/batch={number}")
+        ooc_summary(chart, order).write.mode("overwrite").parquet(f"{path}/summary/batch={number}")
+        chart.unpersist()
+
+    return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(watch).trigger(availableNow=True).start()

@@ -267,6 +267,68 @@ def test_streams(spark, tmp_path):
     base = aggregate.profile(df.withColumn("x", F.col("x") * 3), ["x"])
     jobs.drift_stream(stream(), base, ["x"], str(tmp_path / "drift"), str(tmp_path / "c2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "drift")).count() > 0
+    limits = monitor.control_limits(df.where("x < 20"), ["x"])
+    jobs.control_stream(stream(), "d", ["x"], limits, str(tmp_path / "chart"), str(tmp_path / "c4")).awaitTermination(120)
+    hi = limits.first().ucl
+    assert {r.x for r in spark.read.parquet(str(tmp_path / "chart/points")).collect()} == {float(m) for m in range(30) if m >= hi}
+    assert spark.read.parquet(str(tmp_path / "chart/summary")).first().feature == "x"
     q = jobs.resample_stream(stream(), "d", "5 minutes", ["x"], "1 minute").writeStream.format("memory").queryName("bins").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.d.minute, r.x_mean) for r in spark.table("bins").collect()} <= {(m, m + 2.0) for m in range(0, 30, 5)}
+
+
+def test_fragments(spark):
+    cases = {
+        "3.2.1.4 Objetivo5. a) ligar a chave": ". ligar a chave", "2.1. texto": "texto", "tensão 13.8 kV": "tensão 13.8 kV", "módulo 5 e submodulo 10.2.": "e", "• um - dois": "um dois",
+        "iniciar amanobra": "iniciar a manobra", "faz odesenergização": "faz o desenergização", "a desenergização": "a desenergização", "barra12": "barra 12", "12energização": "12 energização",
+        "x&nbsp;y&#xa0;z": "x y z", "nomeOutro": "nome Outro", "passocoordenaçãocontrolecomando fim": "fim", "a | b": "a b", "fim -1abcd-xyz": "fim", "um. . .dois": "um.dois",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.c for r in df.select("t", text.clean_fragment(F.col("t")).alias("c")).collect()}
+    assert got == cases
+
+
+def test_phrases_of_a_table(spark):
+    docs = spark.createDataFrame([(1, "Abrir a chave, fechar a CHAVE e abrir."), (2, "chaveiro"), (3, None), (4, "a chave fechada")], "id int, t string")
+    rules = spark.createDataFrame([("abrir a chave",), ("fechar",), ("chave",), ("a chave",), ("...",), (None,), ("chave",)], "r string")
+    assert {r.id: r.entities for r in spans.match_rules(docs, "id", "t", rules, "r").collect()} == {1: ["a chave", "abrir a chave", "chave", "fechar"], 4: ["a chave", "chave"]}
+
+
+def test_rules_with_two_consequents(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],)] * 6 + [(["a"],)] * 2 + [(["b", "c"],)] * 2, "items array<string>")
+    got = {(tuple(r.antecedent), tuple(r.consequent)): r for r in spans.association_rules(df, "items", 0.2, 0.5, 0.5).collect()}
+    r = got[("a",), ("b", "c")]
+    assert abs(r.confidence - 6 / 8) < 1e-9 and abs(r.support - 0.6) < 1e-9 and abs(r.lift - 6 / 8 / 0.8) < 1e-9
+    assert (("b", "c"), ("a",)) in got and len(got) == 12
+
+
+def test_nearest_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 3, (300, 4)).astype(float)  # many ties
+    rows = [(i, [float(x) for x in v[i]] if i % 17 else None, None if i % 23 == 5 else i % 3) for i in range(300)]
+    base = spark.createDataFrame(rows, "id long, v array<double>, label int").repartition(5)
+    got = {(r.query, r["rank"]): r.neighbour for r in spans.knn(base.where("id % 50 = 1"), base, 4, "id", "v", "label").collect()}
+    for q, qv, ql in rows:
+        if q % 50 == 1 and qv is not None and ql is not None:
+            near = sorted((float(np.linalg.norm(np.array(qv) - np.array(x))), i) for i, x, label in rows if x is not None and label is not None and label != ql)
+            assert [got[q, k + 1] for k in range(4)] == [i for _, i in near[:4]]
+    assert spans.knn(base.limit(0), base, 4, "id", "v").count() == 0 and spans.knn(base.where("id = 3"), base, 2, "id", "v").where("rank = 1").first().distance == 0
+
+
+def test_encoders_with_many_values(spark, monkeypatch):
+    df = spark.createDataFrame([(f"v{i % 300:03d}", float(i % 300)) for i in range(900)] + [(None, 1.0)], "c string, y double")
+    coded = encode.LabelEncoder(cols=["c"]).fit(df).transform(df)
+    assert coded.columns == ["c", "y"] and {(r.c, r.y) for r in coded.collect()} == {(i, float(i)) for i in range(300)} | {(300, 1.0)}
+    assert {(r.c, r.y) for r in encode.TargetEncoder(cols=["c"], target="y").fit(df).transform(df).collect()} == {(float(i), float(i)) for i in range(300)} | {(None, 1.0)}
+    monkeypatch.setattr(encode, "MOST_COLUMNS", 100)
+    with pytest.raises(ValueError):
+        encode.OneHot(cols=["c"]).fit(df)
+
+
+def test_ragged_lines(spark, tmp_path):
+    for name, lines in (("a", ["k;v", "1;x", "2"]), ("b", ["k;v", "3;y;z", "k;v", '4;"q'])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    got = sorted((r.k, r.v or "") for r in io.read_lines_split(spark, str(tmp_path)).collect())
+    assert got == [("1", "x"), ("2", ""), ("3", "y"), ("4", '"q'), ("k", "v")]

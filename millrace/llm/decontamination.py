@@ -90,11 +90,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     or it has fewer than five words, is found by its own words in lower case, all in a row (or `enough` windows of them).
     Returns the ids, windows found and to be found in the kind that found most, slots, their consistency, and whether
     all slot values are the item's own (verbatim). Null texts and texts and items without a word match
-    nothing; repeated items count once, repeated rows of a document once; a null id of either side is left out. Further columns are not read.
-    Documents are read whole, their texts are never shuffled unless more than C.BROADCAST_ROWS of them match; windows of the benchmark are
-    broadcast only if a count shows them to be few.
+    nothing; repeated items count once (the least text of an item), repeated rows of a document once, and of an id with several texts each is searched; a null
+    id of either side is left out. Further columns are not read. Equal texts, told by a 64-bit hash, are judged once. Documents are read whole, their texts are
+    never shuffled unless more than C.BROADCAST_ROWS of them match; windows of the benchmark are broadcast only if a count shows them to be few.
     """
-    d = C.id_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
+    d = C.id_text(docs, id_col, text_col).where("doc_id is not null and text is not null").withColumn("key", F.xxhash64("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     items = C.cut(_coded(items, "item_id", template_words(F.col("text")), True))
     places = C.cut(_windows(items, "item_id", "ipos", ["t", "p", "r"]))
@@ -108,18 +108,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     wanted = C.cut(loose.unionByName(bare.drop("n")))
     total = wanted.groupBy("item_id").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"of_{k}") for k in (TEMPLATE, PLAIN, RAW)))
     few = wanted.count() <= BROADCAST_WINDOWS
-    coded = _coded(d, "doc_id", template_words(F.col("text")), bool(sizes)).drop("words")
-    places = _windows(coded, "doc_id", "pos", ["t", "p", "r"] if sizes else ["t", "p"])
+    coded = _coded(d, "key", template_words(F.col("text")), bool(sizes)).drop("words")
+    places = _windows(coded, "key", "pos", ["t", "p", "r"] if sizes else ["t", "p"])
     full, t, p = F.col(f"t_{WINDOW - 1}").isNotNull(), _hash("t"), _hash("p")
     if sizes:
         own = F.array_distinct(F.array_compact(F.array(F.when(full, t), F.when(full, p), *(F.when(F.col(f"r_{n - 1}").isNotNull(), _hash("r", n)) for n in sizes))))
     else:
         own = F.when(t == p, F.array(t)).otherwise(F.array(t, p))
         places = places.where(full)
-    hits = places.select("doc_id", "pos", F.explode(own).alias("window")).join(F.broadcast(wanted) if few else wanted, "window").select("doc_id", "item_id", "kind", "pos", "ipos")
+    hits = places.select("key", "pos", F.explode(own).alias("window")).join(F.broadcast(wanted) if few else wanted, "window").select("key", "item_id", "kind", "pos", "ipos")
     # Two shifted divisions of the offsets, so that a stretch is whole in one of them.
     stretch = F.explode(F.array(*(F.floor((F.col("pos") - F.col("ipos") + k * DRIFT // 2) / DRIFT) * 2 + k for k in (0, 1)))).alias("stretch")
-    found = hits.select("doc_id", "item_id", "kind", "pos", "ipos", stretch).groupBy("doc_id", "item_id", "stretch").agg(F.collect_set(F.struct("pos", "ipos", "kind")).alias("hits"))
+    found = hits.select("key", "item_id", "kind", "pos", "ipos", stretch).groupBy("key", "item_id", "stretch").agg(F.collect_set(F.struct("pos", "ipos", "kind")).alias("hits"))
     found = found.join(F.broadcast(total) if few else total, "item_id")
 
     def most(hits: str) -> Column:
@@ -137,14 +137,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     near = F.array_sort(F.transform("hits", lambda h: F.struct(h["ipos"].alias("ipos"), F.abs(h["pos"] - h["ipos"] - F.col("a")).alias("off"), h["pos"].alias("pos"), h["kind"].alias("kind"))))
     lines = tried.withColumn("near", F.filter(near, lambda x: (x["off"] <= F.col("by.width")) & (x["kind"] <= F.col("by.kind"))))
     lines = lines.withColumn("most", most("near")).where("most is not null").withColumn("at", F.filter("near", lambda x, i: (i == 0) | (F.get(F.col("near"), i - 1)["ipos"] != x["ipos"])))
-    lines = C.cut(lines.select("doc_id", "item_id", "most", F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["ipos"].alias("ipos"))).alias("at")).distinct())
-    texts = C.only(d, lines.select("doc_id").distinct()).groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", template_words(F.col("text")).alias("own"))
-    both = lines.join(texts, "doc_id").join(items.select("item_id", "words", "t"), "item_id")
+    lines = C.cut(lines.select("key", "item_id", "most", F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["ipos"].alias("ipos"))).alias("at")).distinct())
+    keys = C.cut(lines.select("key").distinct())
+    texts = C.only(d.select("key", "text"), keys, on="key").groupBy("key").agg(F.min("text").alias("text")).select("key", template_words(F.col("text")).alias("own"))
+    both = lines.join(texts, "key").join(items.select("item_id", "words", "t"), "item_id")
     word = lambda words, i: F.lower(F.translate(F.get(words, i), "\u0001", ""))
     pairs = F.flatten(F.transform("at", lambda h: F.array(*(F.when(F.get(F.col("t"), h["ipos"] + k).isin(NUMBER, NAME, UNIT), F.struct(word(F.col("words"), h["ipos"] + k).alias("b"), word(F.col("own"), h["pos"] + k).alias("d"))) for k in range(WINDOW)))))
-    both = both.select("doc_id", "item_id", "most", F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())).alias("pairs"))
+    both = both.select("key", "item_id", "most", F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())).alias("pairs"))
     values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     slots = F.size("pairs")
-    out = both.select("doc_id", "item_id", "most", slots.alias("slots"), F.when(slots == 0, 1.0).otherwise(F.least(values("b"), values("d")) / slots).alias("consistency"), F.forall("pairs", lambda p: p["b"] == p["d"]).alias("verbatim"))
+    out = both.select("key", "item_id", "most", slots.alias("slots"), F.when(slots == 0, 1.0).otherwise(F.least(values("b"), values("d")) / slots).alias("consistency"), F.forall("pairs", lambda p: p["b"] == p["d"]).alias("verbatim"))
     best = F.max(F.struct("most", "consistency", "verbatim", "slots")).alias("x")
-    return out.where(F.col("consistency") >= consistency).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.most.n_windows", "x.most.item_windows", "x.slots", "x.consistency", "x.verbatim")
+    out = out.where(F.col("consistency") >= consistency).groupBy("key", "item_id").agg(best)
+    named = C.only(d.select("doc_id", "key"), keys, on="key").distinct().join(out, "key").groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
+    return named.select("doc_id", "item_id", "x.most.n_windows", "x.most.item_windows", "x.slots", "x.consistency", "x.verbatim")

@@ -70,3 +70,56 @@ def test_items_without_literal_windows(spark):
     items = ["Compute 12 + 35 * 4 - 7", "Anna Peter Maria Hans Paris London", "1 2 3 4 5 6 7 8", "Photosynthesis", "Seven 8 kg", "+ = ?", "Anna 1 Peter 2 3 4 5"]
     texts = [prose(rng, 9) + " " + x + ". " + prose(rng, 9) for x in items] + [items[3].lower(), "seven 8 KG", "compute 12 + 36 * 4 - 7", "2 3 4 5 6 7 8 9", "anna 1 peter 2 3 4 6", "seven 8 lb", prose(rng, 5000) + " " + items[2]]
     assert set(found(spark, texts, items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (7, 3), (8, 4), (13, 2)}
+
+
+def test_id_with_several_texts(spark):
+    """Places found in one text of an id are judged on that text, and any of its texts may hold the passage."""
+    rng = random.Random(8)
+    texts = [prose(rng, 60), prose(rng, 20) + " " + ITEM, "a short one"]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, texts[0]), (3, texts[1]), (3, texts[1])], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    rows = decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.verbatim) for r in rows) == [(1, 7, True), (3, 7, True)]
+
+
+def test_without_adaptive_execution(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(1, ITEM), (2, "nothing of the kind is in here")], "doc_id long, text string")
+        bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+        docs.write.parquet(str(tmp_path / "docs"))
+        for d in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+            assert [(r.doc_id, r.item_id) for r in decontaminate(d, bench).collect()] == [(1, 7)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def brute(texts, item, coverage=0.4, enough=25):
+    """Documents with enough of the item's literal windows, in lower case, along one stretch; for items without capitals, numbers or units."""
+    import re
+
+    words = lambda t: re.findall(r"\w+", t.lower())
+    want, hits = [tuple(words(item)[i : i + 5]) for i in range(len(words(item)) - 4)], set()
+    for d, t in enumerate(texts):
+        at: dict[int, set[int]] = {}
+        own = words(t)
+        for pos in range(len(own) - 4):
+            for ipos, w in enumerate(want):
+                if tuple(own[pos : pos + 5]) == w:
+                    for k in (0, 1):
+                        at.setdefault((pos - ipos + k * 32) // 64 * 2 + k, set()).add(ipos)
+        if any(len(x) >= min(coverage * len(want), enough) for x in at.values()):
+            hits.add(d)
+    return hits
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(9)
+    item = prose(rng, 40)
+    words = item.split()
+    texts = []
+    for _ in range(60):
+        lo, n = rng.randrange(30), rng.randrange(5, 40)
+        part = [w if rng.random() > 0.04 else "changed" for w in words[lo : lo + n]]
+        texts.append(" ".join([prose(rng, rng.randrange(60)), *part, prose(rng, rng.randrange(60))]))
+    assert {d for d, _ in found(spark, texts, [item])} == brute(texts, item)

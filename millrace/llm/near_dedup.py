@@ -5,8 +5,8 @@ the full shingle sets, and components of the links are found by alternating larg
 
 Documents with equal shingle sets form a class and are handled as one. Within a bucket candidates are not paired all with all: each class is held
 against the bucket's pivot, the class that shares most with others, and what that links is one component. Where a bucket still holds several
-components, blocks of its members are compared within tasks, which return only links that join components. So no link between
-components is lost to a cap, and a large group of copies costs a star and what is outside it, not a square of rows.
+components, its members are compared where they share a rare shingle, which similar sets must. So no link between components is lost to a
+cap, and a large group of copies costs a star and what is outside it, not a square of rows.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ BANDS, ROWS = 64, 8
 SIGNED = 256
 #: Bytes of text whose shingles a task holds at a time.
 CHUNK = 2 << 20
-#: Members of a block.
-BLOCK = 256
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,63 +129,32 @@ def links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, thres
     return C.cut(both.withColumn("shared", shared).where(100 * F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
 
 
-def _between(threshold: int):
-    """Links between components among the members of two blocks; of several that join the same components, one."""
-    share = threshold / 100
-    least = share - 6 * (share * (1 - share) / SIGNED) ** 0.5
-
-    def run(batches):
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                left, right = (batch.column(k)[i].values for k in ("left", "right"))
-                rep, comp, n, signs = ([x.field(k).to_numpy(zero_copy_only=False) for x in (left, right)] for k in ("rep", "component", "n_shingles", "signed"))
-                signs = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, SIGNED) for x in signs]
-                sets = [x.field("shingles") for x in (left, right)]
-                up: dict[int, int] = {}
-
-                def root(c, up=up):
-                    while up.get(c, c) != c:
-                        c = up[c]
-                    return c
-
-                for k in range(len(rep[0])):
-                    near = (comp[1] != comp[0][k]) & (100 * np.minimum(n[1], n[0][k]) >= threshold * np.maximum(n[1], n[0][k]))
-                    at = np.flatnonzero(near)
-                    alike = (signs[1][at] == signs[0][k]).mean(1)
-                    at, own = at[np.argsort(-alike)][: (alike >= least).sum()], None
-                    for j in at:
-                        p, q = root(comp[0][k]), root(comp[1][j])
-                        if p == q:
-                            continue
-                        own = sets[0][k].values.to_numpy() if own is None else own
-                        both = len(np.intersect1d(own, sets[1][int(j)].values.to_numpy(), assume_unique=True))
-                        if 100 * both >= threshold * (n[0][k] + n[1][j] - both):
-                            up[max(p, q)] = min(p, q)
-                            found.append((int(comp[0][k]), int(comp[1][j])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return run
-
-
 def rest(docs: DataFrame, signed: DataFrame, member: DataFrame, home: DataFrame, size: int, threshold: int) -> DataFrame:
     """Links (a, b) between components that share a bucket of three members or more, which the star of its pivot does not settle.
 
-    Buckets that still hold several components are joined to families by the members they share. A family is dealt into blocks, those of its largest
-    component apart from the others; every block is held against every other but two of the largest component. What is shuffled is a row for
-    each pair of blocks, and no task sees more than two of them."""
+    Members of buckets that still hold several components are compared where two of them, of different components, share a rare shingle: in any order of
+    all shingles, here from rare to common, two sets that are similar enough share one among the first n - least overlap + 1 of each. What copies of a
+    text have in common is common among the members, so it stands late in that order, and sets that share only that are not paired.
+    """
     placed = member.where("size > 2").join(home, "rep")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("bucket", "first")
-    family = components(placed.join(open_, "bucket").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()).toDF("rep", "family")
-    family = C.cut(family.join(home, "rep"))
-    main = family.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.sum("n").alias("members"))
-    sets = C.only(docs, family.select(F.col("rep").alias("doc_id"))).mapInArrow(C.lean(_sets(size)), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    own = family.join(main, "family").withColumn("apart", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)))
-    own = own.join(signed, "rep").join(sets, "rep")
-    blocks = C.written(own.groupBy("family", "apart", "block").agg(F.collect_list(F.struct("rep", "component", "n_shingles", "signed", "shingles")).alias("x")), "blocks")
-    left = blocks.where("apart").select("family", F.col("block").alias("k"), F.col("x").alias("left"))
-    pairs = left.join(blocks.withColumnRenamed("x", "right"), "family").where("not apart or k <= block")
-    return C.cut(pairs.select("left", "right").mapInArrow(C.lean(_between(threshold)), "a long, b long"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    some = C.cut(placed.join(C.cut(open_), "bucket").select("rep", "component").distinct())
+    sets = C.only(docs, some.select(F.col("rep").alias("doc_id"))).mapInArrow(C.lean(_sets(size)), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    each = C.written(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "open-shingles")
+    often = C.cut(each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"))
+    known = each.join(often, "shingle").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("x"))
+    # Shingles that stand in one set only come first and match nothing.
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100).cast("int") + 1 - (F.col("n") - F.size("x"))
+    rare = known.select("rep", "n", F.explode(F.slice("x", 1, F.greatest(first, F.lit(0)))).alias("x")).select("rep", "n", "x.shingle").join(some, "rep")
+    rare = C.written(rare, "rare-shingles")
+    mixed = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    rare = C.cut(rare.join(C.cut(mixed), "shingle"))
+    other = rare.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    pairs = rare.withColumnRenamed("rep", "a").join(other, "shingle").where((F.col("component") < F.col("cb")) & (100 * F.least("n", "nb") >= threshold * F.greatest("n", "nb")))
+    found = links(docs, signed, C.cut(pairs.select("a", "b").distinct()), size, threshold)
+    for side in ("a", "b"):
+        found = found.join(home.select(F.col("rep").alias(side), F.col("component").alias(f"_{side}")), side).drop(side).withColumnRenamed(f"_{side}", side)
+    return C.cut(found.select("a", "b").distinct())
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

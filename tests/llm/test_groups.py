@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from millrace.llm import graph
 from millrace.llm.graph import components
 from millrace.llm.near_dedup import near_dedup
 from millrace.llm.sharding import shard
@@ -71,7 +72,9 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,8 +1,8 @@
 """Operator 6: language of a document by a bidirectional gated recurrent network over bytes.
 
-A sequence is the bytes of a word (in pieces of at most SPAN bytes), so a network state never depends on where a chunk of documents was cut and each
-distinct word of a chunk is read once. Every byte gets a probability for each language from both directions' states; a document's are the mean
-over its bytes.
+A sequence is the bytes of a word (longer ones in pieces of at most SPAN bytes, cut between characters), so a network state never depends on where a chunk of
+documents was cut, and each distinct word of a chunk is read once. Every byte gets a probability for each language from both directions' states; a document's
+are the mean over all its bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
@@ -19,6 +19,8 @@ from millrace.llm import folds
 
 SPAN = 24
 HIDDEN = 16
+#: Words and pieces, by language, that the driver learns from.
+MOST_PIECES = 200_000
 
 
 @dataclass
@@ -131,42 +133,60 @@ def train(spans: list[bytes], label: np.ndarray, weight: np.ndarray, langs: list
 
 
 def spans_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, longer ones in pieces of SPAN bytes, with their rows."""
+    """Words, longer ones in pieces of at most SPAN bytes that do not cut characters, with their rows."""
     start, end, row = C.words(raw, off)
-    parts = -(-(end - start) // SPAN)
-    if len(parts) and parts.max() > 1:
+    step = SPAN - 3  # so much is sure to fit when a cut moves back to the start of a character
+    parts = -(-(end - start) // step)
+    if len(parts) and (end - start).max() > SPAN:
+        parts = np.where(end - start > SPAN, parts, 1)
         which = np.repeat(np.arange(len(start)), parts)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end, row = start[which] + SPAN * nth, np.minimum(end[which], start[which] + SPAN * (nth + 1)), row[which]
+        cut = start[which] + step * nth
+        for _ in range(3):
+            cut = cut - ((nth > 0) & ((raw[cut] & 0xC0) == 0x80))
+        last = np.append(which[1:] != which[:-1], True)
+        start, end, row = cut, np.where(last, end[which], np.append(cut[1:], 0)), row[which]
     return start, end, row
 
 
-def fit(sample: list[tuple[str, str]], steps: int = 500) -> Network | None:
-    """A network from (text, language) pairs: their distinct words with how often each language has them. None without any."""
-    langs = sorted({lang for _, lang in sample})
-    counts: dict[tuple[bytes, int], int] = {}
-    for text, lang in sample:
-        k = langs.index(lang)
-        for w in text.encode("utf-8", "replace").split():
-            for at in range(0, len(w), SPAN):
-                key = w[at : at + SPAN], k
-                counts[key] = counts.get(key, 0) + 1
+def _count(batches):
+    """(lang, piece, n): how often a chunk's rows of each language hold each piece."""
+    for b in C.chunks(batches):
+        raw, off = C.flat(b.column("text"))
+        start, end, row = spans_of(raw, off)
+        langs = b.column("lang").to_pylist()
+        counts: dict[tuple[str, bytes], int] = {}
+        data = raw.tobytes()
+        for s, e, r in zip(start.tolist(), end.tolist(), row.tolist()):
+            key = langs[r], data[s:e]
+            counts[key] = counts.get(key, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "piece", "n"])
+
+
+def fit(counts: list[tuple[str, bytes, int]], steps: int = 500) -> Network | None:
+    """A network from (language, piece, how often the language has it). None without any."""
+    langs = sorted({lang for lang, _, _ in counts})
     if not counts:
         return None
-    return train([k for k, _ in counts], np.array([k for _, k in counts]), np.sqrt(np.array(list(counts.values()), float)), langs, steps)
+    return train([p for _, p, _ in counts], np.array([langs.index(lang) for lang, _, _ in counts]), np.sqrt(np.array([n for _, _, n in counts], float)), langs, steps)
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds_of: tuple[int, int] = (4, 2), sample: int = 2000, steps: int = 500) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds_of: tuple[int, int] = (4, 2), sample: int = 1000, steps: int = 500) -> DataFrame:
     """Predicted language and its probability for every document.
 
-    Learns from the text and non-null language of at most `sample` documents outside the held-out fold (spread evenly by a hash of the id); that bound is
-    what reaches the driver. `und` with score 0 is returned for a null text, one without a letter, and where nothing could be learned.
+    Learns from the text and non-null language of at most `sample` documents of each language outside the held-out fold, those with the least hashes of the id;
+    of an id with several rows one of each language counts. The driver gets their most frequent words, at most MOST_PIECES.
+    `und` with score 0 is returned for a null text, one without a letter, and where nothing could be learned; of languages that score alike the first by name.
     Whole texts are read; repeated rows and null ids are carried along; further columns are not read. One pass without a shuffle.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     learn = d.where(~folds.held_out("doc_id", *folds_of) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    some = folds.sample_ids(learn.select("doc_id"), sample).distinct()
-    net = fit([(r.text, r.lang) for r in learn.join(F.broadcast(some), "doc_id").select("text", "lang").limit(2 * sample).toLocalIterator()], steps)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = learn.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+    texts = learn.join(some, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    pieces = texts.select("lang", "text").mapInArrow(C.lean(_count), "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    top = pieces.orderBy(F.desc("n"), "piece", "lang").limit(MOST_PIECES).collect()
+    net = fit([(r.lang, bytes(r.piece), r.n) for r in top], steps)
 
     def run(batches):
         for b in C.chunks(batches):

@@ -81,6 +81,21 @@ def test_network_learns_words():
     assert (p.argmax(1) == y).all() and np.allclose(p.sum(1), [2, 5, 2], atol=1e-3)
 
 
+def test_pieces_of_long_words():
+    """Pieces cover each word, are short and never cut a character."""
+    import pyarrow as pa
+
+    from millrace.llm import common as C
+
+    texts = ["kurz " + "ß" * 100 + " ein", "日本語" * 40, "a" * 24 + " " + "b" * 25, "", None, "🙂" * 30 + "x"]
+    raw, off = C.flat(pa.array(texts, pa.string()))
+    start, end, row = LI.spans_of(raw, off)
+    data = raw.tobytes()
+    for i, t in enumerate(texts):
+        own = [data[a:b] for a, b, r in zip(start, end, row) if r == i]
+        assert "".join(p.decode() for p in own) == "".join((t or "").split()) and all(0 < len(p) <= LI.SPAN for p in own)
+
+
 @pytest.mark.parametrize("t", [1, 3])
 def test_words_are_read_alike_in_any_company(t):
     net = LI.train([b"abc", b"xyz"], np.array([0, 1]), np.ones(2), ["p", "q"], steps=t)

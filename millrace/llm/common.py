@@ -22,23 +22,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of tables that this process has written and not yet removed.
+_SCRATCH: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again; for wide tables that several jobs read."""
+    """df written as Parquet into the shared folder and read again; for wide tables that several jobs read. `sweep` removes the tables."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch() -> int:
+    """How many tables there are, for `sweep` to begin after them."""
+    return len(_SCRATCH)
+
+
+def sweep(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Removes the tables that `written` has made after the first `since`, all but the last `keep`; for when the results that read them have been written."""
+    for path in _SCRATCH[since : len(_SCRATCH) - keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _SCRATCH.remove(path)
+
+
 #: A table of ids is broadcast up to so many rows; beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """docs with (or, left_anti, without) the ids; these are broadcast when few, whatever the table's size, and shuffled otherwise.
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", on: str = "doc_id") -> DataFrame:
+    """docs with (or, left_anti, without) the ids in the column `on` of both; these are broadcast when few, whatever the table's size, and shuffled otherwise.
 
     The ids are looked at twice and so should be a written or checkpointed table."""
-    key = ids.select(F.col("doc_id").alias("_only"))  # a new column, as ids may come from docs
-    return docs.join(F.broadcast(key) if key.count() <= BROADCAST_ROWS else key, F.col("doc_id") == F.col("_only"), how)
+    key = ids.select(F.col(on).alias("_only"))  # a new column, as ids may come from docs
+    return docs.join(F.broadcast(key) if key.count() <= BROADCAST_ROWS else key, F.col(on) == F.col("_only"), how)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,7 +65,8 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, col: str = "text") -> Iterator[pa.RecordBatch]:
-    """Row slices of the batches with about `limit` bytes of text each, a single longer text whole."""
+    """Row slices of the batches with about `limit` bytes of text each, a single longer text whole: operators hold up to about a hundred bytes of arrays for
+    each byte of a slice, so a worker's memory bounds the longest text (20 MB of text take 2 GB)."""
     for b in batches:
         if not b.num_rows:
             continue

@@ -31,8 +31,8 @@ MOST = 1024
 #: Bytes of contexts that are suffix-sorted together, more only for one anchor.
 SORT_BYTES = 200_000
 CHUNK = 1_500_000
-#: Texts with spans that are broadcast at most.
-BROADCAST_SPANS = 300_000
+#: Bytes of a table of spans that is broadcast at most.
+BROADCAST_BYTES = 24 << 20
 
 
 def runs_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -43,7 +43,7 @@ def runs_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none, none, none.astype(np.uint64), none
     at = np.arange(m)
     h = C.span_hash(C.prefix_sums(raw), at, at + ANCHOR)
-    bits = np.uint64(max(1, int(m).bit_length()))
+    bits = np.uint64(32)  # of a place; the same in every chunk, so that equal windows have equal anchors
     key = (h >> bits << bits) | at.astype(np.uint64)
     blocks = -(-m // w)
     grid = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
@@ -276,6 +276,12 @@ def repeated_spans(d: DataFrame) -> DataFrame:
     return C.written(spans.mapInArrow(C.lean(_merge), "t1 long, t2 long, spans array<int>"), "repeated-spans")
 
 
+def _small(spans: DataFrame, col: str = "spans") -> DataFrame:
+    """The table of spans, to be broadcast if its size shows it to be small."""
+    rows, places = spans.agg(F.count("*"), F.coalesce(F.sum(F.size(col)), F.lit(0))).first()
+    return F.broadcast(spans) if 64 * rows + 4 * places <= BROADCAST_BYTES else spans
+
+
 def inside_characters(raw: bytes, lo: int, hi: int) -> tuple[int, int]:
     """The span without the parts of characters at its ends."""
     while lo < hi and raw[lo] & 0xC0 == 0x80:
@@ -291,11 +297,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A string of LENGTH bytes is repeated when it starts at two places of the table, in one text or in two; judged on the input. Matches never cross texts.
     A null text counts as empty; shorter texts have no repeats; a repeated row's text stands twice, so all of it goes if it is long enough;
     null ids are carried along; further columns are not read. with_text adds `kept`, the text without the spans, which there are
-    narrowed to whole characters. Texts are shuffled only where they have open contexts; the table of spans is broadcast if a count shows it small.
+    narrowed to whole characters. Texts are shuffled only where they have open contexts; the table of spans is broadcast if its bytes are few.
     """
     d = keyed(docs, id_col, text_col)
-    spans = repeated_spans(d)
-    spans = F.broadcast(spans) if spans.count() <= BROADCAST_SPANS else spans
+    spans = _small(repeated_spans(d))
 
     def run(batches):
         for b in C.chunks(batches):
@@ -333,7 +338,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text", cou
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(7), text)})
     s = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
-    d = d.join(F.broadcast(s) if s.count() <= BROADCAST_SPANS else s, ["_t1", "_t2"], "left")
+    d = d.join(_small(s, "_spans"), ["_t1", "_t2"], "left")
 
     def cut(batches):
         for b in C.chunks(batches, col=text_col):

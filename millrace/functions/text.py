@@ -48,7 +48,7 @@ HEADER_REMNANTS = ["execuçãoprocedimentosobjetivo", "execuçãoprocedimentoite
 GLUED = ["desenergização", "energização", "manobra", "lt"]
 
 #: In order: section numbers of three and four levels, or of two before a point or at the start; list markers; modules; bullets and dashes; headings with their number;
-#: glued words and numbers; entities and signs of the source format; codes of table columns; runs of spaces.
+#: entities of the source format; codes of table columns; glued words and numbers; headers and bars of tables; runs of spaces.
 FRAGMENT_RULES = [
     (r"[0-9]+(?:\.[0-9]+){2,3}\.?", ""),
     (r"^\s*[0-9]+\.[0-9]+\.?\s+|[0-9]+\.[0-9]+\.\s", ""),
@@ -57,6 +57,11 @@ FRAGMENT_RULES = [
     ("[•\uf0b7\uf044]", ""),
     (r"\s?[-–]\s", " "),
     (r"(?i)(?:objetivo|considerações gerais)[1-9]\.?", ""),
+    ("&nbsp;|&#xa0;|\u00a0", " "),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&amp;", "&"),
+    (r"(?:-[0-9]|\b)[a-z]{3,4}-[a-z]{2,3}\b", ""),
     (r"(\p{Ll}{2})([0-9])", "$1 $2"),
     (r"(\p{Ll})(" + GLUED[0] + ")", "$1 $2"),
     (r"([\p{Ll}&&[^s]])(" + GLUED[1] + ")", "$1 $2"),
@@ -64,11 +69,6 @@ FRAGMENT_RULES = [
     (r"(\p{Ll})(" + GLUED[2] + ")", "$1 $2"),
     (r"(\p{Ll}{2})(" + GLUED[3] + r")(?=\s)", "$1 $2"),
     (r"(?<=\p{Ll})(?=\p{Lu}\p{Ll})", " "),
-    ("&nbsp;|&#xa0;|\u00a0", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&amp;", "&"),
-    (r"(?:-[0-9])?\b[a-z]{3,4}-[a-z]{2,3}\b", ""),
     ("|".join(re.escape(x) for x in HEADER_REMNANTS), ""),
     (r"\s*\|\s*", " "),
     (r"\s+", " "),

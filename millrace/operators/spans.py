@@ -232,7 +232,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, excl
     parts, out = max(1, -(-q.count() // QUERIES)), None
     for i in range(parts):
         rows = (q if parts == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)).collect()
-        ids, vectors = np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], float).reshape(len(rows), -1)
+        ids, vectors = np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], float) if rows else np.zeros((0, 1))
         b = base.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), *([F.col(exclude).alias("label")] if exclude else []))
         near = b.mapInArrow(_nearest(ids, vectors, [r.label for r in rows], k, exclude is not None), "query long, neighbour long, distance double")
         w = Window.partitionBy("query").orderBy("distance", "neighbour")

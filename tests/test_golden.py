@@ -279,7 +279,7 @@ def test_streams(spark, tmp_path):
 
 def test_fragments(spark):
     cases = {
-        "3.2.1.4 Objetivo5. a) ligar a chave": ". ligar a chave", "2.1. texto": "texto", "tensão 13.8 kV": "tensão 13.8 kV", "módulo 5 e submodulo 10.2.": "e", "• um - dois": "um dois",
+        "3.2.1.4 Objetivo5. a) ligar a chave": "ligar a chave", "2.1. texto": "texto", "tensão 13.8 kV": "tensão 13.8 kV", "módulo 5 e submodulo 10.2.": "e", "• um - dois": "um dois",
         "iniciar amanobra": "iniciar a manobra", "faz odesenergização": "faz o desenergização", "a desenergização": "a desenergização", "barra12": "barra 12", "12energização": "12 energização",
         "x&nbsp;y&#xa0;z": "x y z", "nomeOutro": "nome Outro", "passocoordenaçãocontrolecomando fim": "fim", "a | b": "a b", "fim -1abcd-xyz": "fim", "um. . .dois": "um.dois",
     }

@@ -39,7 +39,8 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
     first = np.cumsum(count) - count
     shingle = np.zeros(len(h), np.uint64)
     for k in range(size):
-        shingle[: len(h) - k] = C.mix(shingle[: len(h) - k] + h[k:])
+        some = max(0, len(h) - k)
+        shingle[:some] = C.mix(shingle[:some] + h[k:])
     whole = np.arange(len(h)) - first[row] <= count[row] - size
     for i in np.flatnonzero((count > 0) & (count < size)):
         x = np.uint64(count[i])

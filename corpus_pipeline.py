@@ -20,8 +20,16 @@ from millrace.llm.queries import tokenizer_file
 from millrace.llm.suffix_dedup import keyed, repeated_spans, without_spans
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """From now on Python workers get at most so many rows at a time: whole documents are long, and executors hold a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     rejected = quality_classifier(docs, C.table(spark, sf_dir, "labels")).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
     return C.only(docs, C.written(rejected, "rejected"), "left_anti")
 
@@ -29,6 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8. Of rows of one id with equal texts one stays; where an id has
     several texts, each of them stays or none."""
+    small_batches(spark)
     copies = near_dedup(docs, shingle=5, threshold=80).where("not kept").select("doc_id").distinct()
     kept = C.only(docs, C.written(copies, "copies"), "left_anti")
     again = C.written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
@@ -37,19 +46,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes and more that stand twice; a document of which nothing else than white space is left goes. Documents that were blank before stay."""
+    small_batches(spark)
     keys = keyed(docs, "doc_id", "text").select("t1", "t2", "text")
     return without_spans(docs, repeated_spans(keys), blank=False)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     found = decontaminate(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return C.only(docs, C.written(found, "leaks"), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digests of ids and decoded text. Workers hold less than alone, as the stages before have filled the executors."""
-    return bpe(docs, tokenizer_file("word_bpe_49k.json"), with_ids=True, remembered=120_000, chunk=2 << 20)
+    small_batches(spark)
+    return bpe(docs, tokenizer_file("word_bpe_49k.json"), with_ids=True, remembered=40_000, chunk=1 << 19)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -65,9 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    docs, before = C.table(spark, sf_dir, "documents"), C.scratch()
     for name, stage in STAGES:
         docs = C.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        C.sweep(spark, before, keep=1)  # what the stage wrote on its way
     return docs
 
 

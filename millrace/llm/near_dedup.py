@@ -26,7 +26,7 @@ BANDS, ROWS = 64, 8
 #: Bytes of a signature kept for checking pairs, one of each of as many minima.
 SIGNED = 256
 #: Bytes of text whose shingles a task holds at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Members of a block.
 BLOCK = 256
 

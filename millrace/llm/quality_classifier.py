@@ -20,8 +20,8 @@ from millrace.llm import common as C
 from millrace.llm import folds
 
 WORDS, SHAPES, WIDTH = 1 << 14, 1 << 11, 32
-#: Bytes of text whose terms' vectors a task holds at a time.
-CHUNK = 1 << 20
+#: Bytes of text whose terms a task counts, and whose vectors it holds, at a time.
+CHUNK, SCORED = 1 << 20, 1 << 19
 TERMS = WORDS + SHAPES
 _BLOCKS = 256
 _PER_BLOCK = TERMS // _BLOCKS
@@ -187,7 +187,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     some = folds.sample_ids(known.groupBy("doc_id").agg(F.max("label").alias("label")), sample)
 
     def gather(batches):
-        for b in C.chunks(batches, CHUNK):
+        for b in C.chunks(batches, SCORED):
             x = pooled(vectors, *C.flat(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
@@ -200,7 +200,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     alike = float(y.mean()) if len(y) else 0.5
 
     def run(batches):
-        for b in C.chunks(batches, CHUNK):
+        for b in C.chunks(batches, SCORED):
             x = pooled(vectors, *C.flat(b.column("text")))
             p = net.score(x) if net else np.full(b.num_rows, alike)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.astype(float))], ["doc_id", "score"])

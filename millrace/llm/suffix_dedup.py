@@ -30,7 +30,7 @@ CORE = LENGTH - STEP
 MOST = 1024
 #: Bytes of contexts that are suffix-sorted together, more only for one anchor.
 SORT_BYTES = 200_000
-CHUNK = 1_500_000
+CHUNK = 600_000
 #: Bytes of a table of spans that is broadcast at most.
 BROADCAST_BYTES = 24 << 20
 

@@ -62,13 +62,13 @@ def _in_duck(x: str, rules: list[tuple[str, str]]) -> str:
     return x
 
 
-_HEAD = ("CAST(doc_id % 9 AS VARCHAR)", F.col("doc_id") % 9)
+_HEAD = "CAST(doc_id % 9 AS VARCHAR)"
 _PARTS = ["", ".2.1. Objetivo3. a) módulo 5 ", None, " abdesenergização 12energização&#xa0;x\uf0b7 abcd-xyz execuçãoprocedimento | 1) fim.  ."]
 
 
-@R.query("k5_clean_fragment", f"SELECT doc_id, md5(trim(array_to_string(list_filter(string_split({_in_duck(f"{_HEAD[0]} || '{_PARTS[1]}' || text || '{_PARTS[3]}'", T.FRAGMENT_RULES)}, '.'), lambda w: trim(w) <> ''), '.'))) AS h FROM documents")
+@R.query("k5_clean_fragment", f"SELECT doc_id, md5(trim(array_to_string(list_filter(string_split({_in_duck(f"{_HEAD} || '{_PARTS[1]}' || text || '{_PARTS[3]}'", T.FRAGMENT_RULES)}, '.'), lambda w: trim(w) <> ''), '.'))) AS h FROM documents")
 def _(t):
-    whole = F.concat(_HEAD[1].cast("string"), F.lit(_PARTS[1]), "text", F.lit(_PARTS[3]))
+    whole = F.concat((F.col("doc_id") % 9).cast("string"), F.lit(_PARTS[1]), "text", F.lit(_PARTS[3]))
     return docs(t).select("doc_id", F.md5(T.clean_fragment(whole)).alias("h"))
 
 

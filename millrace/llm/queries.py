@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import common as C
+from millrace.llm import sql
 
 
 def tokenizer_file(name: str) -> str:
@@ -76,9 +78,37 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(C.table(spark, sf_dir, "documents"))
 
 
+#: The rules that op11 applies before any reputation.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages show documents, whose ids are the numbers in their paths; so a page is labelled where its document is."""
+    from millrace.llm.url_filter import address, page_outcomes, url_filter
+
+    pages = C.table(spark, sf_dir, "pages")
+    document = F.regexp_extract(address(F.col("url"))[1], r"^/[^/]+/([0-9]+)", 1)
+    got = url_filter(pages, page_outcomes(pages, C.table(spark, sf_dir, "labels"), document), URL_RULES)
+    return got.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.vector_codes import vector_codes
+
+    return vector_codes(C.table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.centroids import centroid_clusters
+
+    return centroid_clusters(C.table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_near_dedup, op5_suffix_dedup, op6_language_id, op7_bpe, op8_toxicity, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_near_dedup, op5_suffix_dedup, op6_language_id, op7_bpe, op8_toxicity, op9_token_counts, op10_sharding, op11_url_filter, op12_vector_codes, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from millrace.llm.url_filter import SUFFIXES
+
+    return {"op11_url_filter": sql.url_filter(URL_RULES, SUFFIXES), "op12_vector_codes": sql.vector_codes(), "op13_centroid_clusters": sql.centroid_clusters()}

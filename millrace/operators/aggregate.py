@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import bias_free_kurtosis, bias_free_skew
+from millrace.operators.quantiles import quantiles
 
 
 def split_date(df: DataFrame, col: str) -> DataFrame:
@@ -60,9 +61,19 @@ STATS = {
 }
 
 
-def recency_features(df: DataFrame, key: str, specs: dict[str, tuple[str, Column, Column]]) -> DataFrame:
-    """Features of each key from one aggregate. specs: name -> (statistic, mask, value); of several modes the smallest is taken."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(STATS[stat](F.when(mask, value)).alias(name) for name, (stat, mask, value) in specs.items()))
+def recency_features(df: DataFrame, key: str, specs: dict[str, tuple[str, Column, Column]], order: list[str] = ()) -> DataFrame:
+    """Features of each key from one aggregate. specs: name -> (statistic, mask, value); of several modes the smallest is taken.
+
+    The statistic 'first' is the value of the earliest row by `order` within the mask that has one, the smallest of several there."""
+
+    def stat(kind: str, mask: Column, value: Column) -> Column:
+        if kind != "first":
+            return STATS[kind](F.when(mask, value))
+        if not order:
+            raise ValueError("the statistic 'first' needs an order")
+        return F.min(F.when(mask & value.isNotNull(), F.struct(*order, value.alias("_value"))))["_value"]
+
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(stat(*spec).alias(name) for name, spec in specs.items()))
 
 
 def frequencies(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
@@ -82,36 +93,29 @@ def cluster_profile(df: DataFrame, cluster: str, category: str, values: list) ->
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A row for each column: count, mean, std, min, quartiles and max, from one aggregate."""
-    stats = {"n": F.count, "mean": F.avg, "std": F.stddev, "min": F.min, "q25": lambda c: F.percentile(c, F.lit(0.25)), "q50": lambda c: F.percentile(c, F.lit(0.5)), "q75": lambda c: F.percentile(c, F.lit(0.75)), "max": F.max}
-    return _long(df.agg(*(f(c).cast("double").alias(f"{c}|{k}") for c in cols for k, f in stats.items())), cols, list(stats))
-
-
-def _long(wide: DataFrame, cols: list[str], stats: list[str]) -> DataFrame:
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"`{c}|{k}`").alias(k) for k in stats)) for c in cols))).alias("r")).select("r.*")
+    """A row for each column: count, mean, std, min, quartiles and max. The quartiles are exact; all columns are read together, a few times over."""
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max}
+    q, x = quantiles(df, {c: F.col(c) for c in cols}, [0.25, 0.5, 0.75], {f"{c}|{k}": f(c).cast("double") for c in cols for k, f in stats.items()})
+    rows = [(c, *(x[f"{c}|{k}"] for k in ("n", "mean", "std", "min")), *q[c], x[f"{c}|max"]) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "feature string, n double, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
+#: What a profile says of a column besides its quantiles q50 and q75.
 PROPERTIES = {
     "mean": F.avg,
     "std": F.stddev,
     "min": F.min,
     "max": F.max,
-    "q50": lambda c: F.percentile(c, F.lit(0.5)),
-    "q75": lambda c: F.percentile(c, F.lit(0.75)),
     "skew": lambda c: bias_free_skew(F.count(c), F.skewness(c)),
     "kurtosis": lambda c: bias_free_kurtosis(F.count(c), F.kurtosis(c)),
 }
 
 
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, property, value) of numeric columns; all columns in one aggregate, twelve at a time. Skewness and kurtosis are free of bias."""
-    out = None
-    for at in range(0, len(cols), 12):
-        some = cols[at : at + 12]
-        wide = df.agg(*(f(c).cast("double").alias(f"{c}|{k}") for c in some for k, f in PROPERTIES.items()))
-        part = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(k).alias("property"), F.col(f"`{c}|{k}`").alias("value")) for c in some for k in PROPERTIES))).alias("r")).select("r.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(feature, property, value) of numeric columns. Skewness and kurtosis are free of bias, quantiles exact; all columns are read together, a few times over."""
+    q, x = quantiles(df, {c: F.col(c) for c in cols}, [0.5, 0.75], {f"{c}|{k}": f(c).cast("double") for c in cols for k, f in PROPERTIES.items()})
+    rows = [(c, k, v) for c in cols for k, v in (*((k, x[f"{c}|{k}"]) for k in PROPERTIES), ("q50", q[c][0]), ("q75", q[c][1]))]
+    return df.sparkSession.createDataFrame(rows, "feature string, property string, value double")
 
 
 def category_profile(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.prefix import running
 from millrace.operators.project import family
 from millrace.operators.steps import Fit, Step
 
@@ -30,12 +31,16 @@ def numeric_drift(base: DataFrame, current: DataFrame, threshold: float = 0.15,
     return j.where(F.col("distance") > limit).select("feature", "property", "baseline", "current", "ratio", "distance")
 
 
+def category_changes(base: DataFrame, current: DataFrame) -> DataFrame:
+    """(feature, category, status): a row for each category of one profile only, missing or new. Any number of categories."""
+    j = base.select("feature", "category", F.lit(True).alias("_b")).join(current.select("feature", "category", F.lit(True).alias("_c")), ["feature", "category"], "full")
+    return j.where("_b is null or _c is null").select("feature", "category", F.when(F.col("_c").isNull(), "missing").otherwise("new").alias("status"))
+
+
 def category_drift(base: DataFrame, current: DataFrame) -> DataFrame:
-    """(feature, missing, new): categories of one profile only."""
-    side = lambda d, name: d.groupBy("feature").agg(F.collect_set("category").alias(name))
-    j = side(base, "b").join(side(current, "c"), "feature", "full").select("feature", F.coalesce("b", F.array().cast("array<string>")).alias("b"), F.coalesce("c", F.array().cast("array<string>")).alias("c"))
-    j = j.select("feature", F.sort_array(F.array_except("b", "c")).alias("missing"), F.sort_array(F.array_except("c", "b")).alias("new"))
-    return j.where((F.size("missing") > 0) | (F.size("new") > 0))
+    """(feature, missing, new): categories of one profile only, in order. Only these are gathered, one row a feature; `category_changes` has them as rows."""
+    side = lambda kind: F.sort_array(F.collect_list(F.when(F.col("status") == kind, F.col("category")))).alias(kind)
+    return category_changes(base, current).groupBy("feature").agg(side("missing"), side("new"))
 
 
 def frequency_drift(base: DataFrame, current: DataFrame, threshold: float = 0.15) -> DataFrame:
@@ -55,29 +60,41 @@ def shifted_features(drift: DataFrame, schema: DataFrame, least: int = 4) -> Dat
     return a.unionByName(schema.select("feature").distinct().withColumn("reason", F.lit("input")))
 
 
+def _categories(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, n): how often each column has each value that is not null, as text. Equal values are counted before they are shuffled."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols))
+    return df.select(F.explode(pairs).alias("r")).select("r.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
 class ValidationModel(Step):
-    """Result rows (column, check, success, observed) of a table against the fitted expectations, from one aggregate."""
+    """Result rows (column, check, success, observed) of a table against the fitted expectations, from one aggregate, and one join for all sets of categories."""
 
     def apply(self, df, numeric, categories, flags, expected):
         e = expected
-        row = df.agg(F.count("*").alias("n"), *(F.count(c).alias(f"k_{c}") for c in (*numeric, *categories, *flags)), *(f(c).cast("double").alias(f"{k}_{c}") for c in numeric for k, f in (("avg", F.avg), ("min", F.min), ("max", F.max))), *(F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(e["sets"][c]), 1)).alias(f"o_{c}") for c in categories), *(F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(0, 1), 1)).alias(f"f_{c}") for c in flags)).first()
+        row = df.agg(F.count("*").alias("n"), *(F.count(c).alias(f"k_{c}") for c in (*numeric, *categories, *flags)), *(f(c).cast("double").alias(f"{k}_{c}") for c in numeric for k, f in (("avg", F.avg), ("min", F.min), ("max", F.max))), *(F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(0, 1), 1)).alias(f"f_{c}") for c in flags)).first()
+        other = {}
+        if categories:
+            odd = _categories(df, categories).join(self.table("sets"), ["column", "value"], "left_anti")
+            other = {r["column"]: r.n for r in odd.groupBy("column").agg(F.sum("n").alias("n")).collect()}  # a row for each column
         out = [(c, "non_null_share", row["n"] > 0 and row[f"k_{c}"] / row["n"] >= e["shares"][c], row[f"k_{c}"] / row["n"] if row["n"] else None) for c in (*numeric, *categories, *flags)]
         for c in numeric:
             lo, hi, mean, std = e["stats"][c]
-            out += [(c, "mean_near", row[f"avg_{c}"] is not None and abs(row[f"avg_{c}"] - mean) <= (std or 0.0), row[f"avg_{c}"])]
-            out += [(c, f"{k}_in_range", row[f"{k}_{c}"] is not None and lo <= row[f"{k}_{c}"] <= hi, row[f"{k}_{c}"]) for k in ("min", "max")]
-        out += [(c, "in_set", row[f"o_{c}"] == 0, float(row[f"o_{c}"])) for c in categories] + [(c, "is_flag", row[f"f_{c}"] == 0, float(row[f"f_{c}"])) for c in flags]
+            out += [(c, "mean_near", row[f"avg_{c}"] is not None and mean is not None and abs(row[f"avg_{c}"] - mean) <= (std or 0.0), row[f"avg_{c}"])]
+            out += [(c, f"{k}_in_range", row[f"{k}_{c}"] is not None and lo is not None and lo <= row[f"{k}_{c}"] <= hi, row[f"{k}_{c}"]) for k in ("min", "max")]
+        out += [(c, "in_set", c not in other, float(other.get(c, 0))) for c in categories] + [(c, "is_flag", row[f"f_{c}"] == 0, float(row[f"f_{c}"])) for c in flags]
         return df.sparkSession.createDataFrame(out, "column string, check string, success boolean, observed double")
 
 
 class ValidationSuite(Fit):
-    """Learns from training data: share of values, sets of categories, mean, deviation and range of numbers."""
+    """Learns from training data: share of values, sets of categories, mean, deviation and range of numbers. The sets are a table, of any size."""
 
     step = ValidationModel
 
     def learn(self, df, numeric, categories, flags):
-        row = df.agg(F.count("*").alias("n"), *(F.count(c).alias(f"k_{c}") for c in (*numeric, *categories, *flags)), *(f(c).cast("double").alias(f"{k}_{c}") for c in numeric for k, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("std", F.stddev))), *(F.sort_array(F.collect_set(c)).alias(f"s_{c}") for c in categories)).first()
-        return {"expected": {"shares": {c: row[f"k_{c}"] / row["n"] for c in (*numeric, *categories, *flags)}, "stats": {c: [row[f"{k}_{c}"] for k in ("min", "max", "avg", "std")] for c in numeric}, "sets": {c: row[f"s_{c}"] for c in categories}}}
+        row = df.agg(F.count("*").alias("n"), *(F.count(c).alias(f"k_{c}") for c in (*numeric, *categories, *flags)), *(f(c).cast("double").alias(f"{k}_{c}") for c in numeric for k, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("std", F.stddev)))).first()
+        shares = {c: row[f"k_{c}"] / row["n"] if row["n"] else 0.0 for c in (*numeric, *categories, *flags)}
+        found = {"expected": {"shares": shares, "stats": {c: [row[f"{k}_{c}"] for k in ("min", "max", "avg", "std")] for c in numeric}}}
+        return found | ({"tables": {"sets": _categories(df, categories).select("column", "value")}} if categories else {})
 
 
 def control_limits(df: DataFrame, cols: list[str], group: list[str] = ()) -> DataFrame:
@@ -87,15 +104,28 @@ def control_limits(df: DataFrame, cols: list[str], group: list[str] = ()) -> Dat
     return s.select(*group, "feature", *(F.round(x, 3).alias(k) for k, x in {"mean": F.col("mean"), "std": F.col("std"), "ucl": F.col("mean") + 3 * F.col("std"), "lcl": F.col("mean") - 3 * F.col("std"), "usl": F.col("mean") + F.col("std"), "lsl": F.col("mean") - F.col("std")}.items()))
 
 
-def control_chart(df: DataFrame, order: str, cols: list[str], group: list[str] = (), limits: DataFrame | None = None) -> DataFrame:
+def control_chart(df: DataFrame, order: str, cols: list[str], group: list[str] = (), limits: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """Values in long form with their limits, an out-of-control flag (on or outside ucl and lcl) and the cumulative share of flags, by series.
 
-    limits: given ones, which replace the computed. A series is a group and column; its running share is one ordered window."""
+    limits: given ones, which replace the computed. before: (group, feature, n, out), the points that each series has had already and how many of them were
+    out of control. A series is a group and column; its running share comes from sums over ranges, so a series may be of any length."""
+    group = list(group)
     long = df.select(*group, order, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols))).alias("r")).select(*group, order, "r.*")
     limits = limits if limits is not None else control_limits(df, cols, group)
     j = long.join(limits, [*group, "feature"]).withColumn("ooc", ((F.col("x") >= F.col("ucl")) | (F.col("x") <= F.col("lcl"))).cast("int"))
-    w = Window.partitionBy(*group, "feature").orderBy(order)
-    return j.withColumn("ratio", F.sum("ooc").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(w))
+    j = running(j, [*group, "feature"], [order], {"_out": F.col("ooc"), "_n": F.lit(1)})
+    out, n = F.col("_out"), F.col("_n")
+    if before is not None:
+        j = j.join(before.select(*group, "feature", F.col("n").alias("_n0"), F.col("out").alias("_out0")), [*group, "feature"], "left")
+        out, n = F.coalesce(out + F.col("_out0"), out, "_out0"), n + F.coalesce("_n0", F.lit(0))
+    return j.withColumn("ratio", out / n).drop("_out", "_n", "_out0", "_n0")
+
+
+def series_state(chart: DataFrame, group: list[str] = (), before: DataFrame | None = None) -> DataFrame:
+    """(group, feature, n, out) of the series after the chart's points, for the `before` of the next."""
+    s = chart.select(*group, "feature", F.lit(1).cast("long").alias("n"), F.col("ooc").cast("long").alias("out"))
+    s = s if before is None else s.unionByName(before)
+    return s.groupBy(*group, "feature").agg(F.sum("n").alias("n"), F.sum("out").alias("out"))
 
 
 def ooc_summary(chart: DataFrame, order: str, group: list[str] = (), ok: float = 0.05, warn: float = 0.07, cap: float = 0.15) -> DataFrame:

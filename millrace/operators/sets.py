@@ -70,20 +70,68 @@ def fold(df: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("block") <= i), df.where(F.col("block") == i + 1)
 
 
-def _smallest_hashes(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    return df.withColumn("_u", F.xxhash64(*keys, F.lit(seed))).orderBy("_u", *keys).limit(n).drop("_u")
+#: Rows that may be sorted in one task to find where a sample ends.
+FEW = 10_000
+#: Bits of a hash by which rows are counted at a time.
+_BITS = 14
+
+
+def _some_of(df: DataFrame, n: int) -> DataFrame:
+    """n rows of a table whose rows need not be told apart: each task's rows are numbered from where those of the tasks before end."""
+    d = cut(df.withColumn("_p", F.spark_partition_id()))
+    own = Window.partitionBy("_p").orderBy("_p")
+    starts = d.groupBy("_p").count().withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    return d.withColumn("_n", F.row_number().over(own)).join(F.broadcast(starts), "_p").where(F.col("_start") + F.col("_n") <= n).drop("_p", "_n", "_start")
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows, or all: those with the least hashes."""
-    return _smallest_hashes(df, keys, n, seed)
+    """Exactly n rows, or all: those with the least hashes of the keys and the seed, ties by the keys.
+
+    Rows are counted by the leading bits of their hash; in the one bucket in which the n-th row lies they are counted by the next bits, until at most FEW rows
+    are left, which are sorted. Then the n-th row is known, and the sample is a filter of the table, without a sort or shuffle, whatever n is. Only if several
+    rows have the n-th one's keys does it take some of these besides.
+    """
+    h = F.xxhash64(*keys, F.lit(seed))
+    bits = h.bitwiseXOR(F.lit(-(1 << 63)))  # hashes in order have these in order as unsigned numbers
+    if n <= 0:
+        return df.limit(0)
+    below, at, shift, size = 0, F.lit(True), 64, None
+    while size is None or size > FEW and shift > 0:
+        step = min(_BITS, shift)
+        shift -= step
+        bucket = F.shiftrightunsigned(bits, shift)
+        counts = sorted(df.where(at).groupBy(bucket.alias("b")).count().collect(), key=lambda r: r.b % (1 << 64))  # at most 2^_BITS rows
+        for r in counts:
+            if below + r["count"] >= n:
+                at, size = bucket == r.b, r["count"]
+                break
+            below += r["count"]
+        else:
+            return df  # there are not so many
+    last = df.where(at).select(h.alias("_h"), F.struct(*keys).alias("_k")).orderBy("_h", "_k").limit(n - below)
+    key = F.struct(h.alias("_h"), F.struct(*keys).alias("_k"))
+    edge = last.agg(F.max(F.struct("_h", "_k")).alias("e")) if size <= FEW else _key_at(df.where(at), h, keys, n - below)
+    edge = cut(edge.select("e"))
+    marked = df.join(F.broadcast(edge))
+    inside, same = marked.where(key < F.col("e")).drop("e"), marked.where(key == F.col("e")).drop("e")
+    missing = n - inside.count()
+    return inside.unionByName(same if same.limit(missing + 1).count() <= missing else _some_of(same, missing))
+
+
+def _key_at(df: DataFrame, h: Column, keys: list[str], n: int) -> DataFrame:
+    """The (hash, keys) of the n-th row in their order, where more than FEW rows share one hash: equal keys are counted, then summed up over ranges."""
+    from millrace.operators.prefix import running
+
+    counts = df.groupBy(h.alias("_h"), F.struct(*keys).alias("_k")).agg(F.count("*").alias("_n"))
+    up = running(counts, [], ["_h", "_k"], {"_up": F.col("_n")})
+    return up.where(F.col("_up") >= n).agg(F.min(F.struct("_h", "_k")).alias("e"))
 
 
 def balance(df: DataFrame, label: str, keys: list[str], seed: int = 0) -> DataFrame:
     """Larger classes cut down to the smallest one's count."""
     counts = {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     n = min(counts.values(), default=0)
-    parts = [df.where(F.col(label) == v) if c == n else _smallest_hashes(df.where(F.col(label) == v), keys, n, seed) for v, c in counts.items()]
+    parts = [df.where(F.col(label) == v) if c == n else sample_rows(df.where(F.col(label) == v), keys, n, seed) for v, c in counts.items()]
     return reduce(DataFrame.unionByName, parts) if parts else df.limit(0)
 
 
@@ -96,6 +144,13 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def compare_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows of two tables with one set of columns, and `side`: first, second or both. Null is a value. Sets stay tables; no row holds one."""
+    mark = lambda d, k: d.select(*a.columns).distinct().withColumn("_m", F.lit(k))
+    d = mark(a, 1).unionByName(mark(b, 2)).groupBy(*a.columns).agg(F.sum("_m").alias("_m"))
+    return d.select(*a.columns, F.when(F.col("_m") == 1, "first").when(F.col("_m") == 2, "second").otherwise("both").alias("side"))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return top_k(df, keys, order, 1, "_rank").drop("_rank")
 

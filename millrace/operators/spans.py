@@ -1,25 +1,41 @@
-"""Span tables, vocabularies, association rules and vector search."""
+"""Span tables, extraction and association rules."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import EXTRACTORS, split_sentences, terms
+from millrace.functions.text import EXTRACTORS, split_sentences
 from millrace.operators.lineage import cut
 from millrace.operators.sets import position
-from millrace.operators.steps import Fit, Step
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text with the spans of its entities, of those with one start the longest. Every entity is searched from its last place on, in time that grows with
+    the text; offsets count characters."""
+    kind = pa.list_(pa.struct([("entity", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    for b in batches:
+        spans = []
+        for text, entities in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            longest: dict[int, str] = {}
+            for entity in sorted(entities, key=len):
+                at = text.find(entity)
+                while at >= 0:
+                    longest[at] = entity
+                    at = text.find(entity, at + 1)
+            spans.append([{"entity": e, "start": at, "end": at + len(e)} for at, e in longest.items()])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["_text", "_spans"])
 
 
 def to_spans(df: DataFrame, text: str, entities: str, label: str) -> DataFrame:
-    """(text, entity, start, end, label): every place where an entity of the row's list stands, overlaps included; of spans with one start the longest."""
-    e = df.select(text, F.explode(F.array_distinct(entities)).alias("entity")).where("entity <> ''")
-    places = F.filter(F.sequence(F.lit(0), F.length(text) - F.length("entity")), lambda i: F.substring(F.col(text), i + 1, F.length("entity")) == F.col("entity"))
-    s = e.where(F.length(text) >= F.length("entity")).select(text, "entity", F.explode(places).alias("start"))
-    s = s.withColumns({"end": F.col("start") + F.length("entity"), "label": F.lit(label)})
-    return s.groupBy(text, "label", "start").agg(F.max(F.struct("end", "entity")).alias("x")).select(text, "x.entity", "start", "x.end", "label")
+    """(text, entity, start, end, label): every place where an entity of the row's list stands, overlaps included; of spans with one start the longest. Rows of
+    one text are one text with all their entities."""
+    e = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"), F.explode(F.array_distinct(entities)).alias("_e")).where("_e <> ''")
+    s = e.groupBy("_text").agg(F.collect_set("_e").alias("_e")).mapInArrow(_places, "_text string, _spans array<struct<entity: string, start: int, end: int>>")
+    return s.select(F.col("_text").alias(text), F.explode("_spans").alias("s")).select(text, "s.entity", "s.start", "s.end", F.lit(label).alias("label"))
 
 
 def greedy(spans: Column) -> Column:
@@ -112,130 +128,3 @@ def association_rules(df: DataFrame, items: str, min_support: float = 0.05, min_
     confidence = F.col("freq") / F.col("_antecedent")
     r = r.select("antecedent", "consequent", confidence.alias("confidence"), (confidence / (F.col("_consequent") / max(1, n))).alias("lift"), (F.col("freq") / max(1, n)).alias("support"))
     return r.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)).orderBy(F.desc("lift"), F.desc("confidence"), "antecedent", "consequent")
-
-
-def _top_terms(df: DataFrame, text: str, most: int) -> list[str]:
-    """The most frequent terms, ties by the alphabet, in alphabetical order; terms are summed up before they are shuffled."""
-    top = df.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most)
-    return sorted(r.term for r in top.collect())
-
-
-def _known_terms(text: str, vocabulary: list[str]) -> Column:
-    return F.filter(terms(F.col(text)), lambda t: t.isin(vocabulary) if vocabulary else F.lit(False))
-
-
-def _counts(kept: str, vocabulary: list[str]) -> Column:
-    """How often each word of the vocabulary is among a row's known terms, as an array in its order."""
-    return F.transform(F.array(*map(F.lit, vocabulary)), lambda v: F.size(F.filter(kept, lambda t: t == v)).cast("long"))
-
-
-class BagOfWordsModel(Step):
-    def apply(self, df, key, text, vocabulary, max_features=100):
-        d = df.select(key, _known_terms(text, vocabulary).alias("_kept"))
-        if vocabulary:
-            d = d.withColumn("_n", _counts("_kept", vocabulary))
-        return d.select(key, *(F.get("_n", F.lit(i)).alias(v) for i, v in enumerate(vocabulary)))
-
-
-class BagOfWords(Fit):
-    """A column of counts for each of the max_features most frequent terms, ties by the alphabet, columns in alphabetical order. Each row is counted where it
-    lies, without a shuffle; a null text has zeros."""
-
-    step = BagOfWordsModel
-
-    def learn(self, df, key, text, max_features=100):
-        return {"vocabulary": _top_terms(df, text, max_features)}
-
-
-class TfIdfModel(Step):
-    def apply(self, df, key, text, vocabulary, idf, max_features=100):
-        d = df.select(key, _known_terms(text, vocabulary).alias("_kept"))
-        if vocabulary:
-            d = d.withColumn("_n", _counts("_kept", vocabulary))
-            d = d.withColumn("_w", F.zip_with("_n", F.array(*(F.lit(float(v)) for v in idf)), lambda n, v: F.when(n > 0, (1 + F.log(n)) * v).otherwise(0.0)))
-            d = d.withColumn("_norm", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x * x)))
-        return d.select(key, *(F.when(F.col("_norm") > 0, F.get("_w", F.lit(i)) / F.col("_norm")).otherwise(0.0).alias(v) for i, v in enumerate(vocabulary)))
-
-
-class TfIdf(Fit):
-    """(1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), rows scaled to length 1, over the vocabulary of BagOfWords, each row where it lies."""
-
-    step = TfIdfModel
-
-    def learn(self, df, key, text, max_features=100):
-        import math
-
-        vocabulary = _top_terms(df, text, max_features)
-        known = df.select(F.array_distinct(_known_terms(text, vocabulary)).alias("t"))
-        held = {r.term: r.n for r in known.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-        n = df.count()
-        return {"vocabulary": vocabulary, "idf": [math.log((1 + n) / (1 + held[t])) + 1 for t in vocabulary]}
-
-
-def l2_normalize(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), norm))
-
-
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-
-
-#: Query vectors of a block; a block is shipped to every task.
-QUERIES = 20_000
-#: Distances that a task computes at a time.
-_CELLS = 1 << 16
-
-
-def _nearest(ids: np.ndarray, vectors: np.ndarray, labels: list, k: int, exclude: bool):
-    """Keeps, over all batches of a task, the k nearest rows of each query, ties by id."""
-    codes = {v: i for i, v in enumerate({v for v in labels if v is not None})}
-    mine = np.array([codes.get(v, -1) for v in labels])
-
-    def run(batches):
-        n = len(ids)
-        best_d, best_i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        for b in batches:
-            b = b.filter(b.column("vector").is_valid())
-            if not b.num_rows:
-                continue
-            key = b.column("id").to_numpy(zero_copy_only=False)
-            order = np.argsort(key, kind="stable")
-            key, base = key[order], b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1)[order]
-            other = np.array([-1 if v is None else codes.get(v, -2) for v in b.column("label").to_pylist()])[order] if exclude else None
-            step = max(1, _CELLS // len(key))
-            for q in range(0, n, step):
-                own = slice(q, min(n, q + step))
-                d = np.sqrt(((vectors[own, None, :] - base[None]) ** 2).sum(2))
-                if exclude:
-                    d = np.where((mine[own, None] != other) & (mine[own, None] >= 0) & (other != -1), d, np.inf)
-                first = np.argsort(d, 1, kind="stable")[:, :k]
-                near_d = np.concatenate((best_d[own], np.take_along_axis(d, first, 1)), 1)
-                near_i = np.concatenate((best_i[own], key[first]), 1)
-                by_id = np.argsort(near_i, 1, kind="stable")
-                near_d, near_i = np.take_along_axis(near_d, by_id, 1), np.take_along_axis(near_i, by_id, 1)
-                near = np.argsort(near_d, 1, kind="stable")[:, :k]
-                best_d[own], best_i[own] = np.take_along_axis(near_d, near, 1), np.take_along_axis(near_i, near, 1)
-        row, col = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_i[row, col]), pa.array(best_d[row, col])], ["query", "neighbour", "distance"])
-
-    return run
-
-
-def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, exclude: str | None = None) -> DataFrame:
-    """The k nearest rows of the base for every query by L2 distance, rows that share the query's `exclude` value (or have none) left out; ties by key.
-
-    key is an integer; a row without a vector is left out on both sides. The set of queries is held against all rows, in blocks of QUERIES. The base is
-    read where it lies: each task keeps its own k best for a query in a table of fixed size, and only these are shuffled.
-    """
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), (F.col(exclude) if exclude else F.lit(None).cast("int")).alias("label"))
-    parts, out = max(1, -(-q.count() // QUERIES)), None
-    for i in range(parts):
-        rows = (q if parts == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)).collect()
-        ids, vectors = np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], float) if rows else np.zeros((0, 1))
-        b = base.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), *([F.col(exclude).alias("label")] if exclude else []))
-        near = b.mapInArrow(_nearest(ids, vectors, [r.label for r in rows], k, exclude is not None), "query long, neighbour long, distance double")
-        w = Window.partitionBy("query").orderBy("distance", "neighbour")
-        d = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = d if out is None else out.unionByName(d)
-    return out

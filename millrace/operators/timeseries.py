@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.prefix import running
+
 from millrace.functions.numeric import bias_free_kurtosis, bias_free_skew
 
 
@@ -93,6 +95,12 @@ def previous_mean(df: DataFrame, target: str, groups: list[str], date: str, rows
     return df.withColumn(f"{target}_prev{rows}_mean", F.avg(target).over(w))
 
 
+def cumulative_ratio(df: DataFrame, flag: Column, groups: list[str], order: list[str], name: str = "ratio") -> DataFrame:
+    """df with the share of the group's rows so far, this one included, for which the flag holds. Sums over ranges: a group may be of any length."""
+    d = running(df, groups, order, {"_hits": F.when(flag, 1).otherwise(0), "_rows": F.lit(1)})
+    return d.withColumn(name, F.col("_hits") / F.col("_rows")).drop("_hits", "_rows")
+
+
 def resample(df: DataFrame, date: str, freq: str, sensors: list[str], last: list[str] = (), groups: list[str] = (), fill: bool = True) -> DataFrame:
     """Bins of time with <sensor>_mean and <sensor>_std and the last value that is not null of other columns; with `fill`, bins without rows are null rows."""
     binned = F.window(date, freq)["start"].alias(date)

@@ -132,7 +132,7 @@ def _(t):
 @R.query("m13_select_best", f"SELECT model FROM ({_MET}) WHERE f1 IS NOT NULL AND brier IS NOT NULL ORDER BY f1 DESC, brier, model DESC LIMIT 1")
 def _(t):
     best = M.select_best(_metrics(t).dropna(), "model", {"f1": 2.0, "brier": 1.0})
-    return t("region").sparkSession.createDataFrame([(best,)], "model string")
+    return t("region").sparkSession.createDataFrame([(best,)] if best is not None else [], "model string")
 
 
 @R.query("m14_promote", f"SELECT CASE WHEN model = 'm03' THEN 'baseline' WHEN model = 'baseline' THEN 'previous' ELSE model END AS model FROM ({_MET} UNION ALL SELECT 'baseline', 0, 0)")

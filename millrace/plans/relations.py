@@ -185,14 +185,14 @@ def _(t):
 @R.query(
     "a9_recency_features",
     """SELECT user_id, count(value) FILTER (ts > TIMESTAMP '2024-01-20') AS n_1m, round(coalesce(sum(value) FILTER (ts > TIMESTAMP '2024-01-10'), 0), 3) AS sum_3m, round(avg(value) FILTER (ts > TIMESTAMP '2024-01-10'), 8) AS mean_3m,
-    count(DISTINCT event_type) FILTER (ts > TIMESTAMP '2024-01-10') AS kinds_3m, round(max(value) FILTER (ts > TIMESTAMP '2024-01-10') - min(value) FILTER (ts > TIMESTAMP '2024-01-10'), 3) AS span_3m FROM events GROUP BY user_id""",
+    count(DISTINCT event_type) FILTER (ts > TIMESTAMP '2024-01-10') AS kinds_3m, round(max(value) FILTER (ts > TIMESTAMP '2024-01-10') - min(value) FILTER (ts > TIMESTAMP '2024-01-10'), 3) AS span_3m, arg_min(event_type, (ts, event_id)) FILTER (ts > TIMESTAMP '2024-01-10') AS first_3m FROM events GROUP BY user_id""",
 )
 def _(t):
     ts, v = F.col("ts"), F.col("value")
     m1, m3 = ts > F.lit("2024-01-20").cast("timestamp_ntz"), ts > F.lit("2024-01-10").cast("timestamp_ntz")
-    specs = {"n_1m": ("count", m1, v), "sum_3m": ("sum", m3, v), "mean_3m": ("mean", m3, v), "kinds_3m": ("nunique", m3, F.col("event_type")), "hi": ("max", m3, v), "lo": ("min", m3, v)}
-    d = A.recency_features(t("events"), "user_id", specs)
-    return d.select("user_id", "n_1m", F.round("sum_3m", 3).alias("sum_3m"), F.round("mean_3m", 8).alias("mean_3m"), "kinds_3m", F.round(F.col("hi") - F.col("lo"), 3).alias("span_3m"))
+    specs = {"n_1m": ("count", m1, v), "sum_3m": ("sum", m3, v), "mean_3m": ("mean", m3, v), "kinds_3m": ("nunique", m3, F.col("event_type")), "hi": ("max", m3, v), "lo": ("min", m3, v), "first_3m": ("first", m3, F.col("event_type"))}
+    d = A.recency_features(t("events"), "user_id", specs, ["ts", "event_id"])
+    return d.select("user_id", "n_1m", F.round("sum_3m", 3).alias("sum_3m"), F.round("mean_3m", 8).alias("mean_3m"), "kinds_3m", F.round(F.col("hi") - F.col("lo"), 3).alias("span_3m"), "first_3m")
 
 
 @R.query("a10_mode", "SELECT user_id, first(event_type ORDER BY n DESC, event_type) AS moda FROM (SELECT user_id, event_type, count(*) n FROM events GROUP BY 1, 2) GROUP BY 1")
@@ -345,8 +345,10 @@ def _(t):
 
 @R.query("u3_category_sets", "SELECT list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, list_sort(list_filter(a, lambda x: list_contains(b, x))) AS common FROM (SELECT list(DISTINCT p_brand) FILTER (p_size < 10) a, list(DISTINCT p_brand) FILTER (p_size > 49) b FROM part)")
 def _(t):
-    d = t("part").agg(F.collect_set(F.when(F.col("p_size") < 10, F.col("p_brand"))).alias("a"), F.collect_set(F.when(F.col("p_size") > 49, F.col("p_brand"))).alias("b"))
-    return d.select(F.sort_array(F.array_except("a", "b")).alias("missing"), F.sort_array(F.array_intersect("a", "b")).alias("common"))
+    p = t("part")
+    d = S.compare_sets(p.where("p_size < 10").select("p_brand"), p.where("p_size > 49").select("p_brand"))
+    side = lambda kind, name: F.array_sort(F.collect_list(F.when(F.col("side") == kind, F.col("p_brand")))).alias(name)
+    return d.agg(side("first", "missing"), side("both", "common"))
 
 
 @R.query("u4_same_rows", "SELECT true AS shuffled, false AS changed")

@@ -92,9 +92,8 @@ def _(t):
 
 @R.query("w4_cumulative_ratio", "SELECT event_id, round(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) OVER w / row_number() OVER w, 6) AS ratio FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def _(t):
-    w = W.Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.Window.unboundedPreceding, 0)
-    n = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select("event_id", F.round(F.sum(F.when(F.col("value") > 100, 1).otherwise(0)).over(w) / F.row_number().over(n), 6).alias("ratio"))
+    d = W.cumulative_ratio(t("events").select("event_id", "user_id", "ts", "value"), F.col("value") > 100, ["user_id"], ["ts", "event_id"])
+    return d.select("event_id", F.round("ratio", 6).alias("ratio"))
 
 
 @R.query("w6_lag_bin", "SELECT event_type, dia, lag(n) OVER (PARTITION BY event_type ORDER BY dia) AS antes FROM (SELECT event_type, CAST(ts AS DATE) dia, count(*) n FROM events GROUP BY 1, 2)")

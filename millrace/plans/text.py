@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import neighbours as N
 from millrace.operators import spans as S
+from millrace.operators import vocabulary as V
 from millrace.plans.registry import Registry
 
 R = Registry()
@@ -35,7 +37,7 @@ _TOP = f"SELECT term, count(*) c, count(DISTINCT doc_id) df FROM ({_TERMS}) GROU
 
 @R.query("k3_bag_of_words", f"SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS total, coalesce(count(n), 0) AS kinds FROM documents d LEFT JOIN (SELECT doc_id, term, count(*) n FROM ({_TERMS}) WHERE term IN (SELECT term FROM ({_TOP})) GROUP BY 1, 2) USING (doc_id) GROUP BY 1")
 def _(t):
-    model = S.BagOfWords(key="doc_id", text="text", max_features=12).fit(docs(t))
+    model = V.BagOfWords(key="doc_id", text="text", max_features=12).fit(docs(t))
     cols, d = [F.col(f"`{c}`") for c in model.values["vocabulary"]], model.transform(docs(t))
     return d.select("doc_id", sum(cols[1:], cols[0]).cast("bigint").alias("total"), sum(((c > 0).cast("bigint") for c in cols[1:]), (cols[0] > 0).cast("bigint")).alias("kinds"))
 
@@ -43,7 +45,7 @@ def _(t):
 @R.query("k4_tf_idf", f"""WITH top AS ({_TOP}), n AS (SELECT count(*) n FROM documents), w AS (SELECT doc_id, term, (1 + ln(count(*))) * (ln((1 + max(n)) / (1 + max(df))) + 1) AS w FROM ({_TERMS}) JOIN top USING (term), n GROUP BY 1, 2),
     s AS (SELECT doc_id, sum(w) / sqrt(sum(w * w)) AS s FROM w GROUP BY 1) SELECT doc_id, round(coalesce(s, 0), 6) AS s FROM documents LEFT JOIN s USING (doc_id)""")
 def _(t):
-    model = S.TfIdf(key="doc_id", text="text", max_features=12).fit(docs(t))
+    model = V.TfIdf(key="doc_id", text="text", max_features=12).fit(docs(t))
     cols = [F.col(f"`{c}`") for c in model.values["vocabulary"]]
     return model.transform(docs(t)).select("doc_id", F.round(sum(cols[1:], cols[0]), 6).alias("s"))
 
@@ -276,18 +278,18 @@ _Q = "SELECT vec_id q, embedding qe, label ql FROM embeddings WHERE vec_id % 50
 @R.query("v1_knn", f"SELECT q AS query, vec_id AS neighbour, round(d, 5) AS distance, CAST(row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS INTEGER) AS rank FROM (SELECT q, vec_id, sqrt(list_sum(list_transform(list_zip(qe, embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ^ 2))) AS d FROM ({_Q}), embeddings WHERE label <> ql) QUALIFY rank <= 5")
 def _(t):
     e = t("embeddings")
-    return S.knn(e.where("vec_id % 50 = 0"), e, 5, "vec_id", "embedding", "label").withColumn("distance", F.round("distance", 5))
+    return N.knn(e.where("vec_id % 50 = 0"), e, 5, "vec_id", "embedding", "label").withColumn("distance", F.round("distance", 5))
 
 
 @R.query("v2_l2_normalize", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) ^ 2))), 6) AS x FROM embeddings")
 def _(t):
-    return t("embeddings").select("vec_id", F.round(F.get(S.l2_normalize(F.col("embedding")), F.lit(0)), 6).alias("x"))
+    return t("embeddings").select("vec_id", F.round(F.get(N.l2_normalize(F.col("embedding")), F.lit(0)), 6).alias("x"))
 
 
 @R.query("n7_vector_distance", "SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ^ 2))), 5) AS d FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
 def _(t):
     a, b = t("embeddings").select("vec_id", "embedding"), t("embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2"))
-    return a.join(b, "vec_id").select("vec_id", F.round(S.euclidean(F.col("embedding"), F.col("e2")), 5).alias("d"))
+    return a.join(b, "vec_id").select("vec_id", F.round(N.euclidean(F.col("embedding"), F.col("e2")), 5).alias("d"))
 
 
 queries, oracle_sql = R.queries, R.oracle_sql

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.sets import sample_rows
+
 
 def read_delimited(spark: SparkSession, paths: str | list[str], schema: str | T.StructType, sep: str = ";", cols: list[str] | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
     """Delimited files with a header line; only the chosen columns are parsed."""
@@ -131,7 +133,7 @@ def probe(df: DataFrame, path: str, keep_ratio: float = 1.0, seed: int = 0, exac
     """Appends a sample of the rows with the time of the probe. exact_key: columns by whose hashes exactly that share of the rows is drawn."""
     d = df
     if keep_ratio < 1 and exact_key:
-        d = df.orderBy(F.xxhash64(*exact_key, F.lit(seed)), *exact_key).limit(round(df.count() * keep_ratio))
+        d = sample_rows(df, exact_key, round(df.count() * keep_ratio), seed)
     elif keep_ratio < 1:
         d = df.sample(keep_ratio, seed)
     d.withColumns({"probe_ts": F.lit(at or datetime.datetime.now()).cast("timestamp_ntz"), "probe_id": F.lit(uuid.uuid4().hex)}).write.mode("append").parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.aggregate import profile
-from millrace.operators.monitor import control_chart, numeric_drift, ooc_summary
+from millrace.operators.monitor import control_chart, numeric_drift, ooc_summary, series_state
 
 
 def resample_stream(df: DataFrame, date: str, freq: str, sensors: list[str], late: str = "10 minutes", groups: list[str] = ()) -> DataFrame:
@@ -35,13 +35,20 @@ def drift_stream(df: DataFrame, baseline: DataFrame, cols: list[str], path: str,
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(compare).trigger(availableNow=True).start()
 
 
-def control_stream(df: DataFrame, order: str, cols: list[str], limits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch's values outside given control limits, and its summary by column, in two folders of the batch; a batch that is tried again writes them anew."""
+def control_stream(df: DataFrame, order: str, cols: list[str], limits: DataFrame, path: str, checkpoint: str, group: list[str] = ()) -> StreamingQuery:
+    """Control charts of a live feed: each batch's values outside given limits with the running share of their series, and its summary by series.
+
+    The share runs on over all batches: what the series have had so far is a small table that each batch reads from the one before it and leaves for the
+    next, under its own number. So a batch that is tried again starts from the same state, and writes points, summary and state anew. Within a batch points
+    count in order; a point that comes in a later batch counts there."""
+    group = list(group)
 
     def watch(batch: DataFrame, number: int) -> None:
-        chart = control_chart(batch, order, cols, limits=limits).cache()
+        before = batch.sparkSession.read.parquet(f"{path}/state/batch={number - 1}") if number else None
+        chart = control_chart(batch, order, cols, group, limits, before).cache()
         chart.where("ooc = 1").write.mode("overwrite").parquet(f"{path}/points/batch={number}")
-        ooc_summary(chart, order).write.mode("overwrite").parquet(f"{path}/summary/batch={number}")
+        ooc_summary(chart, order, group).write.mode("overwrite").parquet(f"{path}/summary/batch={number}")
+        series_state(chart, group, before).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
         chart.unpersist()
 
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(watch).trigger(availableNow=True).start()

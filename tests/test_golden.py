@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, numeric, text
-from millrace.operators import aggregate, encode, joins, metrics, models, monitor, project, selection, sets, spans, timeseries
+from millrace.operators import aggregate, encode, joins, metrics, models, monitor, neighbours, project, selection, sets, spans, timeseries, vocabulary
 from millrace.sources import io
 
 
@@ -91,14 +91,14 @@ def test_stages_save_and_load(spark, tmp_path):
 
 def test_words(spark):
     df = spark.createDataFrame(list(enumerate(["aqui tem um texto", "texto nao explicativo", "nada a ver"])), "id long, texto string")
-    m = spans.TfIdf(key="id", text="texto", max_features=3).fit(df)
+    m = vocabulary.TfIdf(key="id", text="texto", max_features=3).fit(df)
     assert m.values["vocabulary"] == ["aqui", "explicativo", "texto"]
     got = rows(m.transform(df).orderBy("id"), "aqui", "explicativo", "texto")
     for a, b in zip(got, [(0.795960545, 0, 0.605348527), (0, 0.795960545, 0.605348527), (0, 0, 0)]):
         assert all(abs(x - y) < 1e-6 for x, y in zip(a, b))
     assert rows(m.transform(spark.createDataFrame([(1, "texto")], df.schema)), "texto") == [(1.0,)]
     df = spark.createDataFrame(list(enumerate(["aqui aqui tem um texto texto", "texto nao explicativo", "nada a ver"])), "id long, texto string")
-    b = spans.BagOfWords(key="id", text="texto", max_features=5).fit(df)
+    b = vocabulary.BagOfWords(key="id", text="texto", max_features=5).fit(df)
     assert b.values["vocabulary"] == ["aqui", "explicativo", "nada", "nao", "texto"]
     assert rows(b.transform(df).orderBy("id"), *b.values["vocabulary"]) == [(2, 0, 0, 0, 2), (0, 1, 0, 1, 1), (0, 0, 1, 0, 0)]
 
@@ -309,12 +309,12 @@ def test_nearest_rows(spark):
     v = rng.integers(0, 3, (300, 4)).astype(float)  # many ties
     rows = [(i, [float(x) for x in v[i]] if i % 17 else None, None if i % 23 == 5 else i % 3) for i in range(300)]
     base = spark.createDataFrame(rows, "id long, v array<double>, label int").repartition(5)
-    got = {(r.query, r["rank"]): r.neighbour for r in spans.knn(base.where("id % 50 = 1"), base, 4, "id", "v", "label").collect()}
+    got = {(r.query, r["rank"]): r.neighbour for r in neighbours.knn(base.where("id % 50 = 1"), base, 4, "id", "v", "label").collect()}
     for q, qv, ql in rows:
         if q % 50 == 1 and qv is not None and ql is not None:
             near = sorted((float(np.linalg.norm(np.array(qv) - np.array(x))), i) for i, x, label in rows if x is not None and label is not None and label != ql)
             assert [got[q, k + 1] for k in range(4)] == [i for _, i in near[:4]]
-    assert spans.knn(base.limit(0), base, 4, "id", "v").count() == 0 and spans.knn(base.where("id = 3"), base, 2, "id", "v").where("rank = 1").first().distance == 0
+    assert neighbours.knn(base.limit(0), base, 4, "id", "v").count() == 0 and neighbours.knn(base.where("id = 3"), base, 2, "id", "v").where("rank = 1").first().distance == 0
 
 
 def test_encoders_with_many_values(spark, monkeypatch):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import itertools
 import math
+import queue
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
@@ -51,12 +54,38 @@ def draws(grid: dict[str, list], n: int | None = None, seed: int = 0) -> list[di
     return [every[i] for i in np.random.default_rng(seed).choice(len(every), n, replace=False)]
 
 
-def search(df: DataFrame, make, trials: list[dict], folds: list[tuple[DataFrame, DataFrame]], judge, higher: bool = True) -> DataFrame:
-    """(trial, options, metric) with the mean metric over (train, validation) folds, best first. make(**options) gives an estimator, judge an evaluator."""
-    rows = []
-    for i, options in enumerate(trials):
-        got = [judge.evaluate(make(**options).fit(a).transform(b)) for a, b in folds]
-        rows.append((i, str(sorted(options.items())), float(sum(got) / len(got))))
+#: Jobs of a search that run side by side.
+PARALLEL = 4
+
+
+def side_by_side(spark, jobs: list, parallel: int = PARALLEL) -> list:
+    """The results of functions that each start Spark jobs, in their order, at most `parallel` at a time. Each runs in a thread that inherits the caller's
+    properties and has a scheduler pool of its own, so that under fair scheduling none waits for another's tasks. The first failure ends the search."""
+    pools = queue.SimpleQueue()
+    for i in range(min(parallel, max(1, len(jobs)))):
+        pools.put(f"trial-{i}")
+
+    def run(job):
+        name = pools.get()
+        try:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+            return job()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+            pools.put(name)
+
+    if parallel <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(parallel) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(spark)(run), job) for job in jobs]]
+
+
+def search(df: DataFrame, make, trials: list[dict], folds: list[tuple[DataFrame, DataFrame]], judge, higher: bool = True, parallel: int = PARALLEL) -> DataFrame:
+    """(trial, options, metric) with the mean metric over (train, validation) folds, best first. make(**options) gives an estimator, judge an evaluator. Trials
+    and folds are fitted side by side."""
+    fitted = lambda options, a, b: lambda: judge.evaluate(make(**options).fit(a).transform(b))
+    got = side_by_side(df.sparkSession, [fitted(options, a, b) for options in trials for a, b in folds], parallel)
+    rows = [(i, str(sorted(options.items())), float(sum(got[i * len(folds) : (i + 1) * len(folds)]) / len(folds))) for i, options in enumerate(trials)]
     order = F.desc("metric") if higher else F.asc("metric")
     return df.sparkSession.createDataFrame(rows, "trial int, options string, metric double").orderBy(order, "trial")
 
@@ -135,13 +164,18 @@ def silhouette(df: DataFrame, features: list[str], cluster: str = "cluster") ->
     return ClusteringEvaluator(featuresCol="_f", predictionCol=cluster).evaluate(d)
 
 
-def search_clusters(df: DataFrame, features: list[str], ks: list[int], seed: int = 0) -> DataFrame:
-    rows = []
-    for k in ks:
+def search_clusters(df: DataFrame, features: list[str], ks: list[int], seed: int = 0, parallel: int = PARALLEL) -> DataFrame:
+    """(k, bic, aic, davies_bouldin) of a mixture for each k, fitted side by side."""
+
+    def judged(k: int):
         placed, info = mixture(df, features, k, seed)
         placed = placed.cache()
-        rows.append((k, info["bic"], info["aic"], davies_bouldin(placed, features)))
-        placed.unpersist()
+        try:
+            return k, info["bic"], info["aic"], davies_bouldin(placed, features)
+        finally:
+            placed.unpersist()
+
+    rows = side_by_side(df.sparkSession, [lambda k=k: judged(k) for k in ks], parallel)
     return df.sparkSession.createDataFrame(rows, "k int, bic double, aic double, davies_bouldin double")
 
 

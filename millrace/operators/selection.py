@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage import cut
+from millrace.operators.sets import position
 from millrace.operators.steps import Fit, Step
 
 
@@ -205,8 +207,19 @@ def mutual_information(df: DataFrame, cols: list[str], label: str, folds: int =
     return info.groupBy("feature").agg(F.avg("i").alias("information")).orderBy(F.desc("information"), "feature")
 
 
+def _shift(n: int, k: int) -> tuple[int, int]:
+    """a and b of the k-th bijection pos -> (a * pos + b) mod n of the places 0 to n - 1; a * pos stays within a long."""
+    rng = np.random.default_rng(k)
+    most = max(2, min(n, (1 << 62) // max(1, n)))
+    a = next(x for x in (int(rng.integers(1, most)) for _ in range(10_000)) if math.gcd(x, n) == 1)
+    return a, int(rng.integers(1, max(2, n)))
+
+
 def importance(df: DataFrame, cols: list[str], label: str, task: str = "classification", key: str = "id", trees: int = 50, repeats: int = 3, seed: int = 1) -> DataFrame:
-    """(feature, importance, permutation): a forest's importances and, averaged over repeats, what shuffling a column costs in accuracy (or in R2), beside a random probe."""
+    """(feature, importance, permutation): a forest's importances and, averaged over repeats, what shuffling a column costs in accuracy (or in R2), beside a random probe.
+
+    The rows are put into a random order once. A repeat is a bijection of their places: each row is joined to the one at its image, and every column in turn
+    takes the value from there; so one sort serves all columns and repeats, and one join all columns of a repeat."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 
     names = [*cols, "_probe"]
@@ -214,18 +227,15 @@ def importance(df: DataFrame, cols: list[str], label: str, task: str = "classifi
     model = forest(d, names, label, task, trees, seed=seed)
     judge = MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification" else RegressionEvaluator(metricName="r2")
     score = lambda x: judge.evaluate(model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(x).withColumn("label", F.col(label).cast("double"))))
-    base, rows = score(d), []
-    from millrace.operators.sets import position
-
-    for i, c in enumerate(names):
-        lost = 0.0
-        for k in range(repeats):
-            # The column moves to the rows in another random order.
-            a = position(d.withColumn("_h", F.xxhash64(key, F.lit(seed + 100 * k + i))), ["_h", key], "_pos").drop("_h", c)
-            b = position(d.select(key, c, F.xxhash64(key, F.lit(seed + 100 * k + i + 50)).alias("_h")), ["_h", key], "_pos").select("_pos", c)
-            lost += (base - score(a.join(b, "_pos"))) / repeats
-        rows.append((c, float(model.featureImportances[i]), float(lost)))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double, permutation double")
+    placed = cut(position(d.withColumn("_h", F.xxhash64(key, F.lit(seed + 100))), ["_h", key], "_pos").select("_pos", label, *names))
+    n, base, lost = placed.count(), score(d), dict.fromkeys(names, 0.0)
+    for k in range(repeats):
+        a, b = _shift(n, seed + k) if n > 1 else (1, 0)
+        other = placed.select(((F.col("_pos") * a + b) % max(1, n)).alias("_pos"), *(F.col(c).alias(f"_other_{c}") for c in names))
+        both = cut(placed.join(other, "_pos"))
+        for c in names:
+            lost[c] += (base - score(both.withColumn(c, F.col(f"_other_{c}")).select(label, *names))) / repeats
+    return df.sparkSession.createDataFrame([(c, float(model.featureImportances[i]), float(lost[c])) for i, c in enumerate(names)], "feature string, importance double, permutation double")
 
 
 def correlation_ratio(df: DataFrame, categories: list[str], value: str) -> DataFrame:

@@ -73,6 +73,7 @@ def test_running_sums(spark, numbers, monkeypatch, ranges_apart):
     near = lambda df: sorted((r.i, r.b, None if r.a is None else round(r.a, 3)) for r in df.collect())
     assert near(got) == near(d.withColumns({"a": F.sum("x").over(w), "b": F.sum(F.lit(1)).over(w)}))
     assert ranges[0] > 1 and set(got.columns) == {*d.columns, "a", "b"}
+    monkeypatch.undo()
     whole = prefix.running(d.select("i", "x"), [], ["i"], {"b": F.lit(2)})
     assert sorted((r.i, r.b) for r in whole.collect()) == [(i, 2 * i + 2) for i in range(4000)]
     assert prefix.running(d.limit(0), ["g"], ["i"], {"a": F.col("x")}).count() == 0
@@ -231,3 +232,47 @@ def test_validation_suite_saves(spark, tmp_path):
         assert all(r.success for r in m.transform(df).collect())
         odd = m.transform(df.withColumn("c", F.when(F.col("x") < 3, "new").otherwise(F.col("c"))))
         assert {(r.check, r.observed) for r in odd.where("not success").collect()} == {("in_set", 3.0)}
+
+
+def test_search_runs_side_by_side(spark):
+    """The report is the sequential one's, trials overlap, and threads see the caller's properties."""
+    import threading
+
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from millrace.operators import models
+
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), float(i % 7 + 0.1 * (i % 5)), i % 2 == 0) for i in range(200)], "a double, b double, y double, v boolean").cache()
+    folds = [(df.where("v"), df.where("not v")), (df.where("not v"), df.where("v"))]
+    make = lambda **o: models.pipeline("forest", "regression", ["a", "b"], "y", seed=1, **o)
+    trials, judge = [{"numTrees": n, "maxDepth": m} for n in (1, 3) for m in (1, 3)], RegressionEvaluator(labelCol="y")
+    one, four = (models.search(df, make, trials, folds, judge, False, parallel=p).collect() for p in (1, 4))
+    assert one == four and len(one) == 4
+    together, seen = threading.Barrier(3, timeout=60), []
+    spark.sparkContext.setLocalProperty("millrace.mark", "kept")
+
+    def job():
+        together.wait()  # passes only if three run at once
+        seen.append((spark.sparkContext.getLocalProperty("millrace.mark"), spark.sparkContext.getLocalProperty("spark.scheduler.pool")))
+        return spark.range(5).count()
+
+    assert models.side_by_side(spark, [job] * 6, 3) == [5] * 6
+    assert {m for m, _ in seen} == {"kept"} and {p for _, p in seen} == {"trial-0", "trial-1", "trial-2"}
+    with pytest.raises(ZeroDivisionError):
+        models.side_by_side(spark, [lambda: 1, lambda: 1 // 0], 2)
+
+
+def test_permutation_importance(spark, monkeypatch):
+    from millrace.operators import selection
+
+    rng = np.random.default_rng(2)
+    rows = [(i, float(rng.random()), float(rng.random()), float(rng.random())) for i in range(400)]
+    df = spark.createDataFrame([(i, a, b, c, int(a > 0.5)) for i, a, b, c in rows], "id int, a double, b double, c double, y int")
+    sorts, real = [], selection.position
+    monkeypatch.setattr(selection, "position", lambda *x: (sorts.append(1), real(*x))[1])
+    got = {r.feature: r for r in selection.importance(df, ["a", "b", "c"], "y", trees=10, repeats=2).collect()}
+    assert len(sorts) == 1 and got["a"].permutation > 0.3 and all(abs(got[c].permutation) < 0.15 for c in ("b", "c", "_probe"))
+    assert got["a"].importance > max(got[c].importance for c in ("b", "c", "_probe"))
+    for n in (2, 3, 400, 10**10):
+        a, b = selection._shift(n, 5)
+        assert np.gcd(a, n) == 1 and a * (n - 1) + b < 1 << 63

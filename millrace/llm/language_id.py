@@ -19,8 +19,8 @@ from millrace.llm import folds
 
 SPAN = 24
 HIDDEN = 16
-#: Words and pieces, by language, that the driver learns from.
-MOST_PIECES = 200_000
+#: Spans of a training step.
+BATCH = 512
 
 
 @dataclass
@@ -75,7 +75,7 @@ def read_words(net: Network, raw: np.ndarray, start: np.ndarray, end: np.ndarray
     return out
 
 
-def train(spans: list[bytes], label: np.ndarray, weight: np.ndarray, langs: list[str], steps: int = 500, batch: int = 512, rate: float = 0.01, seed: int = 3) -> Network:
+def train(spans: list[bytes], label: np.ndarray, weight: np.ndarray, langs: list[str], steps: int = 500, batch: int = BATCH, rate: float = 0.01, seed: int = 3) -> Network:
     """Backpropagation through time with Adam. Spans are drawn by weight, languages alike often, and each byte's label is its span's."""
     rng = np.random.default_rng(seed)
     n, k = HIDDEN, len(langs)
@@ -164,29 +164,44 @@ def _count(batches):
 
 
 def fit(counts: list[tuple[str, bytes, int]], steps: int = 500) -> Network | None:
-    """A network from (language, piece, how often the language has it). None without any."""
+    """A network from (language, piece, how often it was drawn). None without any."""
     langs = sorted({lang for lang, _, _ in counts})
     if not counts:
         return None
-    return train([p for _, p, _ in counts], np.array([langs.index(lang) for lang, _, _ in counts]), np.sqrt(np.array([n for _, _, n in counts], float)), langs, steps)
+    return train([p for _, p, _ in counts], np.array([langs.index(lang) for lang, _, _ in counts]), np.array([n for _, _, n in counts], float), langs, steps)
+
+
+def drawn(pieces: DataFrame, draws: int) -> DataFrame:
+    """(lang, piece, n) of `draws` draws with replacement from (lang, piece, n) counts, languages alike often and within one by the root of the count.
+
+    Each piece is drawn as often as is expected of it, the rest of that decided by its hash; so every piece of every language can be drawn, however many there
+    are, and about `draws` rows at most are left."""
+    w = pieces.withColumn("w", F.sqrt(F.col("n").cast("double")))
+    share = w.groupBy("lang").agg(F.sum("w").alias("_of"))
+    odds = w.join(share, "lang").crossJoin(F.broadcast(share.agg(F.count("*").alias("_langs"))))
+    mean = F.col("w") / F.col("_of") * (F.lit(float(draws)) / F.col("_langs"))
+    unit = F.pmod(F.xxhash64("lang", "piece"), F.lit(1 << 30)) / float(1 << 30)
+    return odds.select("lang", "piece", (F.floor(mean) + F.when(unit < mean - F.floor(mean), 1).otherwise(0)).alias("n")).where("n > 0")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds_of: tuple[int, int] = (4, 2), sample: int = 1000, steps: int = 500) -> DataFrame:
     """Predicted language and its probability for every document.
 
     Learns from the text and non-null language of at most `sample` documents of each language outside the held-out fold, those with the least hashes of the id;
-    of an id with several rows one of each language counts. The driver gets their most frequent words, at most MOST_PIECES.
+    of an id with several rows one of each language counts. All their words count; the driver gets those that training draws, as many as it takes steps of BATCH.
     `und` with score 0 is returned for a null text, one without a letter, and where nothing could be learned; of languages that score alike the first by name.
     Whole texts are read; repeated rows and null ids are carried along; further columns are not read. One pass without a shuffle.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     learn = d.where(~folds.held_out("doc_id", *folds_of) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    some = learn.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+    # The least hashes of each task first, so that no task ranks all ids of a language.
+    first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id")) <= sample
+    ids = learn.select("doc_id", "lang").distinct().withColumn("_p", F.spark_partition_id())
+    some = ids.withColumn("_first", first("_p")).where("_first").withColumn("_first", first()).where("_first").select("doc_id", "lang")
     texts = learn.join(some, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     pieces = texts.select("lang", "text").mapInArrow(C.lean(_count), "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    top = pieces.orderBy(F.desc("n"), "piece", "lang").limit(MOST_PIECES).collect()
-    net = fit([(r.lang, bytes(r.piece), r.n) for r in top], steps)
+    top = drawn(C.cut(pieces), steps * BATCH).collect()
+    net = fit(sorted((r.lang, bytes(r.piece), r.n) for r in top), steps)
 
     def run(batches):
         for b in C.chunks(batches):

@@ -21,8 +21,8 @@ from millrace.llm import folds
 
 #: Words of a window that is compressed, of a window that trains the toxic dictionary, and a window's gain that counts as a find.
 WINDOW, SPAN, FIND = 12, 2, 3
-#: Bytes of the two dictionaries, and windows that train one at most.
-TOXIC, ORDINARY, SAMPLES = 2048, 32_768, 30_000
+#: Bytes of the two dictionaries.
+TOXIC, ORDINARY = 2048, 32_768
 FEATURES = 7
 
 
@@ -92,13 +92,13 @@ def _windows(texts: DataFrame, size: int) -> DataFrame:
     return texts.withColumn("w", words).where(F.size("w") > 0).select("k", at)
 
 
-def _some(windows: DataFrame) -> list[str]:
-    """At most SAMPLES windows, spread evenly by hash, in a fixed order."""
-    return [r.x for r in windows.select("k", "i", F.concat_ws(" ", "words").alias("x")).orderBy(F.xxhash64("k", "i"), "k", "i").limit(SAMPLES).collect()]
+def _all(windows: DataFrame) -> list[str]:
+    """The windows in a fixed order, mixed by hash. They are those of a sample of rows, as the trainer works on one machine."""
+    return [r.x for r in windows.select("k", "i", F.concat_ws(" ", "words").alias("x")).orderBy(F.xxhash64("k", "i"), "k", "i").collect()]
 
 
 def dictionaries(learn: DataFrame) -> tuple[bytes, bytes] | None:
-    """The toxic dictionary over the ordinary one, and the ordinary one, from (text, label) rows. Only the sampled windows reach the driver."""
+    """The toxic dictionary over the ordinary one, and the ordinary one, from (text, label) rows, a sample of bounded size, whose windows reach the driver."""
     texts = C.cut(learn.groupBy(F.md5(F.col("text").cast("binary")).alias("k")).agg(F.min("text").alias("text"), F.max("label").alias("label")))
     n = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -112,15 +112,15 @@ def dictionaries(learn: DataFrame) -> tuple[bytes, bytes] | None:
     telling = counts.where((F.col("t") > share * F.col("n")) & (ratio > float(np.log(n_words)) if n_words else F.lit(False))).select("w")
     toxic = _windows(texts.where("label = 1"), SPAN)
     toxic = toxic.withColumn("w", F.explode("words")).join(telling, "w", "left_semi").drop("w").distinct()
-    ordinary = trained(_some(_windows(texts.where("label = 0"), WINDOW)), ORDINARY)
-    return trained(_some(toxic), TOXIC) + ordinary, ordinary
+    ordinary = trained(_all(_windows(texts.where("label = 0"), WINDOW)), ORDINARY)
+    return trained(_all(toxic), TOXIC) + ordinary, ordinary
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds_of: tuple[int, int] = (4, 2), sample: int = 9000, threshold: float = 0.3) -> DataFrame:
     """Toxicity score of every document, whether it is in the held-out fold, and the prediction at the threshold.
 
     Learns from at most `sample` labelled documents of each label outside the held-out fold, spread evenly by a hash of the id: three fifths train the
-    dictionaries (at most SAMPLES windows each, TOXIC and ORDINARY bytes), the rest the calibration. Of an id with several texts the least is learned from, and an
+    dictionaries (all their windows; TOXIC and ORDINARY bytes), the rest the calibration. Of an id with several texts the least is learned from, and an
     id that has both labels counts as toxic. Without two classes to learn from, every score is the share of label 1 (0 without labels). A null or
     empty text is scored as one without windows; whole texts are read; repeated rows and null ids are carried along; further columns are not read.
     """

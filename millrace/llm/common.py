@@ -59,6 +59,12 @@ def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", on: str = "doc
     return docs.join(F.broadcast(key) if key.count() <= BROADCAST_ROWS else key, F.col(on) == F.col("_only"), how)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A table that is computed once, and broadcast if a count shows that it has few rows."""
+    table = cut(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names, so that further columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -178,7 +178,7 @@ def drawn(pieces: DataFrame, draws: int) -> DataFrame:
     are, and about `draws` rows at most are left."""
     w = pieces.withColumn("w", F.sqrt(F.col("n").cast("double")))
     share = w.groupBy("lang").agg(F.sum("w").alias("_of"))
-    odds = w.join(share, "lang").crossJoin(F.broadcast(share.agg(F.count("*").alias("_langs"))))
+    odds = w.join(C.small(share), "lang").crossJoin(F.broadcast(share.agg(F.count("*").alias("_langs"))))
     mean = F.col("w") / F.col("_of") * (F.lit(float(draws)) / F.col("_langs"))
     unit = F.pmod(F.xxhash64("lang", "piece"), F.lit(1 << 30)) / float(1 << 30)
     return odds.select("lang", "piece", (F.floor(mean) + F.when(unit < mean - F.floor(mean), 1).otherwise(0)).alias("n")).where("n > 0")
@@ -194,10 +194,13 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     learn = d.where(~folds.held_out("doc_id", *folds_of) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    # The least hashes of each task first, so that no task ranks all ids of a language.
-    first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id")) <= sample
-    ids = learn.select("doc_id", "lang").distinct().withColumn("_p", F.spark_partition_id())
-    some = ids.withColumn("_first", first("_p")).where("_first").withColumn("_first", first()).where("_first").select("doc_id", "lang")
+    # Twice the sample's share of the hashes is sure to hold the least ones, so no task ranks all ids of a language.
+    ids = learn.select("doc_id", "lang").distinct()
+    sizes = C.small(ids.groupBy("lang").agg(F.count("*").alias("_n")))
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    near = ids.join(sizes, "lang").withColumn("_u", unit).where(F.col("_u") * F.col("_n") <= 2 * sample + 50)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))
+    some = C.small(near.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang"))
     texts = learn.join(some, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     pieces = texts.select("lang", "text").mapInArrow(C.lean(_count), "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     top = drawn(C.cut(pieces), steps * BATCH).collect()

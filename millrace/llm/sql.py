@@ -58,3 +58,14 @@ def url_filter(rules, suffixes, threshold: float = 0.5, confidence: float = 0.95
     p3 AS MATERIALIZED (SELECT host, CAST(low * pd + x AS DOUBLE) AS a, CAST(low * (1 - pd) + n - x AS DOUBLE) AS b FROM p2),
     t AS (SELECT host, 1 - sum(exp((a + j) * ln({threshold}) + b * ln(1 - {threshold}) + lgamma(a + b + j) - lgamma(a + j + 1) - lgamma(b))) AS p_bad FROM p3, range({terms}) r(j) GROUP BY host)
     SELECT page_id, host, path, {of(lambda kind, r: r)} AS rule, coalesce({of(lambda kind, r: kind)}, CASE WHEN p_bad >= {confidence} THEN 'block' ELSE 'allow' END) AS verdict FROM a JOIN t USING (host)"""
+
+
+def near_dedup(threshold: int = 80) -> str:
+    """All pairs that share a two-word shingle, and all that can be reached over links; for small tables."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, {words} AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+    e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+    l AS MATERIALIZED (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) AS n, any_value(q.n) AS m, count(*) AS c FROM e p JOIN e q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2) WHERE 100 * c >= {threshold} * (n + m - c)),
+    r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id"""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregate as A
+from millrace.operators.lineage import shared_dir
 from millrace.plans.registry import Registry
 from millrace.sources import io as IO
 
@@ -14,10 +15,8 @@ R = Registry()
 
 
 def _new(d, name):
-    """A folder of its own in the folder that driver and executors share, else in the warehouse."""
-    spark = d.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the folder that driver and executors share."""
+    return f"{shared_dir(d.sparkSession).rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
 
 
 def _people(t):

@@ -57,6 +57,10 @@ def _in_duck(x: str, rules: list[tuple[str, str]]) -> str:
         pattern, to, again = pattern.replace(r"[\p{Ll}&&[^s]]", r"[^\P{Ll}s]"), to.replace("$", "\\"), 1
         if pattern == r"(?<=\p{Ll})(?=\p{Lu}\p{Ll})":
             pattern, to, again = r"(\p{Ll})(\p{Lu}\p{Ll})", r"\1 \2", 2
+        if pattern in (T._BEFORE_MARK, T._BEHIND_MARK):
+            sides = (f"[{T._WORDLIKE}]", f"[^{T._WORDLIKE}]")
+            (a, b), to = sides if pattern == T._BEFORE_MARK else sides[::-1], r"\1 \2"
+            pattern = f"({a})({b})".replace("'", "''")
         if pattern.endswith(r"(?=\s)"):
             pattern, to = pattern[: -len(r"(?=\s)")] + r"(\s)", to + r"\3"
         for _ in range(again):
@@ -68,7 +72,7 @@ _HEAD = "CAST(doc_id % 9 AS VARCHAR)"
 _PARTS = ["", ".2.1. Objetivo3. a) módulo 5 ", None, " abdesenergização 12energização&#xa0;x\uf0b7 abcd-xyz execuçãoprocedimento | 1) fim.  ."]
 
 
-@R.query("k5_clean_fragment", f"SELECT doc_id, md5(trim(array_to_string(list_filter(string_split({_in_duck(f"{_HEAD} || '{_PARTS[1]}' || text || '{_PARTS[3]}'", T.FRAGMENT_RULES)}, '.'), lambda w: trim(w) <> ''), '.'))) AS h FROM documents")
+@R.query("k5_clean_fragment", f"SELECT doc_id, md5(trim(array_to_string(list_filter(string_split({_in_duck(f"{_HEAD} || '{_PARTS[1]}' || text || '{_PARTS[3]}'", T.SPACED_RULES)}, '.'), lambda w: trim(w) <> ''), '.'))) AS h FROM documents")
 def _(t):
     whole = F.concat((F.col("doc_id") % 9).cast("string"), F.lit(_PARTS[1]), "text", F.lit(_PARTS[3]))
     return docs(t).select("doc_id", F.md5(T.clean_fragment(whole)).alias("h"))

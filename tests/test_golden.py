@@ -284,8 +284,28 @@ def test_fragments(spark):
         "x&nbsp;y&#xa0;z": "x y z", "nomeOutro": "nome Outro", "passocoordenaçãocontrolecomando fim": "fim", "a | b": "a b", "fim -1abcd-xyz": "fim", "um. . .dois": "um.dois",
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
-    got = {r.t: r.c for r in df.select("t", text.clean_fragment(F.col("t")).alias("c")).collect()}
+    got = {r.t: r.c for r in df.select("t", text.clean_fragment(F.col("t"), apart=False).alias("c")).collect()}
     assert got == cases
+    apart = {"tensão 13.8 kV": "tensão 13 . 8 kV", "fim.Abrir (a chave),já": "fim . Abrir ( a chave ), já", "LT-01/C+5 d'água": "LT-01/C+5 d'água", "x >= 5%": "x >= 5 %"}
+    df = spark.createDataFrame([(k,) for k in apart], "t string")
+    assert {r.t: r.c for r in df.select("t", text.clean_fragment(F.col("t")).alias("c")).collect()} == apart
+
+
+def test_names_of_places(spark):
+    """Every length of a name is found, runs inside runs too, numbers where they follow, and V with bare words in inequalities."""
+    cases = [
+        ("ligar a SE Norte Sul 2 agora", "SUBESTACAO", ["SE Norte", "SE Norte Sul", "SE Norte Sul 2"]),
+        ("se norte, se a se b", "SUBESTACAO", ["se a", "se a se", "se a se b", "se b", "se norte"]),
+        ("SE um dois três quatro 55x", "SUBESTACAO", ["SE um", "SE um dois", "SE um dois três", "SE um dois três quatro 55"]),
+        ("nada", "SUBESTACAO", []), (None, "SUBESTACAO", None), ("se", "SUBESTACAO", []),
+        ("Usina Serra Azul II parte, UHE Foz 3 kv", "USINA", ["UHE Foz", "UHE Foz 3 ", "Usina Serra", "Usina Serra Azul", "Usina Serra Azul II"]),
+        ("PCH a b c iv", "USINA", ["PCH a", "PCH a b", "PCH a b c", "PCH a b c iv"]),
+        ("usinas eólicas e UTE x 1 e 2", "USINA", ["UTE x", "UTE x 1 ", "UTE x 1 e 2", "usinas e", "usinas eólicas"]),
+        ("com 500 kV ≤ V Norte Sul ok", "INEQUACAO", ["500 kV ≤ V Norte Sul ok"]), ("500 kV ≤ Vnorte", "INEQUACAO", ["500 kV ≤ Vnorte"]),
+    ]
+    for t, label, want in cases:
+        got = spark.createDataFrame([(t,)], "t string").select(text.EXTRACTORS[label](F.col("t")).alias("e")).first().e
+        assert got == want, (t, got)
 
 
 def test_phrases_of_a_table(spark):

@@ -19,6 +19,7 @@ from millrace.operators import monitor as W
 from millrace.operators import project as P
 from millrace.operators import sets as S
 from millrace.operators import spans as K
+from millrace.operators import vocabulary as V
 from millrace.operators import timeseries as TS
 from millrace.operators import selection as F3
 from millrace.operators.lineage import cut, shared_dir
@@ -226,7 +227,7 @@ def _(t):
     """Reports with labels, their tokens counted, a model on 85 per cent, decisions on the rest with scores by year and the missed positives marked for review."""
     d = J.join_dim(t("documents").select("doc_id", "text"), t("labels").select("doc_id", P.recode_12(2 - F.col("quality")).cast("double").alias("y")), ["doc_id"])
     d = d.withColumn("text", F.array_join(T.tokenize(T.normalize_marks(F.col("text")), ["de", "the", "of"]), " "))
-    bag = K.BagOfWords(key="doc_id", text="text", max_features=20).fit(d)
+    bag = V.BagOfWords(key="doc_id", text="text", max_features=20).fit(d)
     words = bag.values["vocabulary"]
     x = bag.transform(d).toDF("doc_id", *(f"w{i}" for i in range(len(words)))).join(d.select("doc_id", "y"), "doc_id")
     x = cut(S.split_random(x, ["doc_id"], [0.85, 0.15], seed=1))

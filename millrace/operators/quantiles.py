@@ -51,7 +51,7 @@ def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], extr
     values they are gathered and the rank read off. A wrong sketch would cost rounds, not the result. A thousand billion rows take three rounds.
     """
     values = {k: v.cast("double") for k, v in values.items()}
-    row = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())), *(_sketch(v, _around(p, p)).alias(f"s{i}_{j}") for i, v in enumerate(values.values()) for j, p in enumerate(probs)), *(c.alias(f"x_{k}") for k, c in (extra or {}).items())).first()
+    row = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())), *(_sketch(v, [x for p in probs for x in _around(p, p)]).alias(f"s{i}") for i, v in enumerate(values.values())), *(c.alias(f"x_{k}") for k, c in (extra or {}).items())).first()
     found: dict[tuple[str, int], float] = {}
     open_: dict[tuple[_Span, int], list[int]] = {}  # of a span and a probability the ranks that are wanted there
     cuts: dict[tuple[_Span, int], list[float]] = {}
@@ -62,7 +62,7 @@ def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], extr
                 low = int(p * (n - 1))
                 key = (_Span(name, None, None, 0, n), j)
                 open_[key] = sorted({low, min(n - 1, low + 1)})
-                cuts[key] = row[f"s{i}_{j}"]
+                cuts[key] = row[f"s{i}"][2 * j : 2 * j + 2]
     while open_:
         small = {s for s, _ in open_ if s.size <= FEW}
         if small:

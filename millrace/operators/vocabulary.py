@@ -12,17 +12,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.text import terms
 from millrace.operators.steps import Fit, Step
 
 #: Cells of a dense table that a task fills at a time.
 _CELLS = 1 << 22
+#: What stands between terms.
+_GAPS = r"[^\p{L}\p{N}_]+"
+
+
+def _terms(text: pa.Array) -> pa.ListArray:
+    """The terms of lower-case texts, those of functions.text.terms: runs of two and more letters, digits and underscores; none in a null text."""
+    lists = pc.split_pattern_regex(text, _GAPS)
+    flat = lists.flatten()
+    long = pc.greater(pc.utf8_length(flat), 1)
+    row = pc.list_parent_indices(lists).to_numpy()[long.to_numpy(zero_copy_only=False)]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(text)))))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.filter(long))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, n, held) of each batch: how often a term stands in its texts, and in how many of them."""
     for b in batches:
-        lists = b.column("terms")
+        lists = _terms(b.column("text"))
         flat = pc.dictionary_encode(lists.flatten())
         if len(flat):
             code, row, size = flat.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy(), len(flat.dictionary)
@@ -32,7 +43,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(df: DataFrame, text: str) -> DataFrame:
     """(term, n, held) over all texts; terms of a batch are summed up before they are shuffled."""
-    some = df.select(terms(F.col(text)).alias("terms")).mapInArrow(_counted, "term string, n long, held long")
+    some = df.select(F.lower(text).alias("text")).mapInArrow(_counted, "term string, n long, held long")
     return some.groupBy("term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
 
 
@@ -50,7 +61,7 @@ def _weights(vocabulary: list[str], weight, kind: pa.DataType, sparse: bool):
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
-                lists = b.column("terms")
+                lists = _terms(b.column(1))
                 code = pc.index_in(lists.flatten(), value_set=known)
                 found = code.is_valid().to_numpy(zero_copy_only=False)
                 key = pc.list_parent_indices(lists).to_numpy()[found].astype(np.int64) * size + code.to_numpy(zero_copy_only=False)[found].astype(np.int64)
@@ -73,7 +84,7 @@ def _transformed(df: DataFrame, key: str, text: str, vocabulary: list[str], weig
     schema = T.StructType([df.schema[key]])
     for name in ("indices", "values") if sparse else vocabulary:
         schema = schema.add(name, kind[0] if not sparse else T.ArrayType(T.IntegerType() if name == "indices" else kind[0]))
-    return df.select(key, terms(F.col(text)).alias("terms")).mapInArrow(_weights(vocabulary, weight, kind[1], sparse), schema)
+    return df.select(key, F.lower(text).alias("_text")).mapInArrow(_weights(vocabulary, weight, kind[1], sparse), schema)
 
 
 class BagOfWordsModel(Step):

@@ -91,10 +91,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     Returns the ids, windows found and to be found in the kind that found most, slots, their consistency, and whether
     all slot values are the item's own (verbatim). Null texts and texts and items without a word match
     nothing; repeated items count once (the least text of an item), repeated rows of a document once, and of an id with several texts each is searched; a null
-    id of either side is left out. Further columns are not read. Equal texts, told by a 64-bit hash, are judged once. Documents are read whole, their texts are
+    id of either side is left out. Further columns are not read. Equal texts, told by 128 bits of hashes, are judged once. Documents are read whole, their texts are
     never shuffled unless more than C.BROADCAST_ROWS of them match; windows of the benchmark are broadcast only if a count shows them to be few.
     """
-    d = C.id_text(docs, id_col, text_col).where("doc_id is not null and text is not null").withColumn("key", F.xxhash64("text"))
+    d = C.id_text(docs, id_col, text_col).where("doc_id is not null and text is not null").withColumn("key", F.struct(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     items = C.cut(_coded(items, "item_id", template_words(F.col("text")), True))
     places = C.cut(_windows(items, "item_id", "ipos", ["t", "p", "r"]))

@@ -123,3 +123,79 @@ def test_against_brute_force(spark):
         part = [w if rng.random() > 0.04 else "changed" for w in words[lo : lo + n]]
         texts.append(" ".join([prose(rng, rng.randrange(60)), *part, prose(rng, rng.randrange(60))]))
     assert {d for d, _ in found(spark, texts, [item])} == brute(texts, item)
+
+
+UNITS = {"kg", "lb", "m", "euros"}
+
+
+def words_of(text):
+    """Words of a text without punctuation, each with its kind: a number, a unit after a number, a capitalised word, or another."""
+    import re
+
+    out = []
+    for w in re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+", text):
+        if w[0].isdigit():
+            out.append(("number", w))
+        elif out and out[-1][0] == "number" and w.lower() in UNITS:
+            out.append(("unit", w.lower()))
+        else:
+            out.append(("name" if len(w) > 1 and w[0].isupper() and w[1:].islower() else "word", w.lower()))
+    return out
+
+
+def brute_slots(texts, item, coverage=0.4, enough=25, consistency=0.8):
+    """Best consistency of each document that holds the item, by trying every offset of every stretch on windows compared word by word."""
+
+    def windows(words, names):
+        of = [w if k == "word" or (k == "name" and not names) else k.upper() for k, w in words]
+        return [tuple(of[i : i + 5]) for i in range(len(of) - 4)]
+
+    literal = lambda w: sum(x not in ("NUMBER", "UNIT", "NAME") for x in w) >= 3
+    theirs, best = words_of(item), {}
+    kinds = [{i: w for i, w in enumerate(windows(theirs, names)) if literal(w)} for names in (True, False)]
+    for d, text in enumerate(texts):
+        own = words_of(text)
+        hits = {(pos, ipos, k) for k, names in enumerate((True, False)) for pos, w in enumerate(windows(own, names)) for ipos, v in kinds[k].items() if v == w}
+        for half in (0, 1):
+            stretches = {}
+            for h in hits:
+                stretches.setdefault((h[0] - h[1] + half * 32) // 64, set()).add(h)
+            for some in stretches.values():
+                for a in {pos - ipos for pos, ipos, _ in some}:
+                    for width in (0, 64):
+                        for kind in (0, 1):
+                            near = sorted((ipos, abs(pos - ipos - a), pos, k) for pos, ipos, k in some if abs(pos - ipos - a) <= width and k <= kind)
+                            if not any(n and n >= min(coverage * len(of), enough) for n, of in ((len({x[0] for x in near if x[3] == k}), kinds[k]) for k in (0, 1))):
+                                continue
+                            at = {}
+                            for ipos, _, pos, _ in near:
+                                at.setdefault(ipos, pos)
+                            pairs = {(theirs[i + j][1], own[p + j][1]) for i, p in at.items() for j in range(5) if theirs[i + j][0] != "word"}
+                            share = min(len({x for x, _ in pairs}), len({y for _, y in pairs})) / len(pairs) if pairs else 1.0
+                            if share >= consistency:
+                                best[d] = max(best.get(d, 0), share)
+    return best
+
+
+def test_slots_against_brute_force(spark):
+    """Names, numbers and units changed throughout, in places only, or mixed up, in whole items and parts, with words put in and left out."""
+    rng = random.Random(11)
+    names, units = ["Anna", "Peter", "Maria", "Hans", "Olga", "Ivan"], sorted(UNITS)
+    slots = [rng.choice([rng.choice(names[:3]), f"{rng.randrange(2, 6)} {rng.choice(units[:2])}", str(rng.randrange(2, 6))]) for _ in range(14)]
+    item = " ".join(f"{prose(rng, 3).lower()} {s}" for s in slots)
+    texts = []
+    for n in range(80):
+        new = item.split()
+        renamed = {w: rng.choice(names) if w in names else str(rng.randrange(2, 99)) if w[0].isdigit() else w for w in set(new)}
+        chance = rng.choice([0, 1, 1, 0.5])
+        new = [renamed[w] if rng.random() < chance else w for w in new]
+        if n % 4 == 3:
+            new = [rng.choice(names) if w in names and rng.random() < 0.4 else w for w in new]
+        if n % 5 == 4:
+            del new[rng.randrange(len(new))]
+        lo = rng.choice([0, 0, rng.randrange(30)])
+        part = new[lo : lo + rng.choice([100, 100, rng.randrange(8, 40)])]
+        texts.append(" ".join([prose(rng, rng.randrange(40)), *part, prose(rng, rng.randrange(40))]))
+    got = {d: r.consistency for (d, _), r in found(spark, texts, [item]).items()}
+    want = brute_slots(texts, item)
+    assert set(got) == set(want) and 10 < len(got) < 75

@@ -27,8 +27,8 @@ BANDS, ROWS = 64, 8
 SIGNED = 256
 #: Bytes of text whose shingles a task holds at a time.
 CHUNK = 1 << 20
-#: Members of a block.
-BLOCK = 256
+#: Members of a block, and shingles of its members together: what a family's blocks hold on average at most. A larger set is all but alone in its block.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +132,52 @@ def links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, thres
     return C.cut(both.withColumn("shared", shared).where(100 * F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
 
 
-def _between(threshold: int):
-    """Links between components among the members of two blocks; of several that join the same components, one."""
+def _near(left: dict, right: dict, k: int, threshold: int) -> np.ndarray:
+    """Members of the right block, most alike first, whose signatures do not rule out that the k-th of the left one is linked with them, of other components than its own."""
     share = threshold / 100
     least = share - 6 * (share * (1 - share) / SIGNED) ** 0.5
+    n = right["n_shingles"]
+    at = np.flatnonzero((right["component"] != left["component"][k]) & (100 * np.minimum(n, left["n_shingles"][k]) >= threshold * np.maximum(n, left["n_shingles"][k])))
+    alike = (right["signs"][at] == left["signs"][k]).mean(1)
+    return at[np.argsort(-alike)][: (alike >= least).sum()]
+
+
+def _block(members: pa.StructArray) -> dict:
+    got = {k: members.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "n_shingles")}
+    return got | {"signs": np.frombuffer(b"".join(members.field("signed").to_pylist()), np.uint8).reshape(-1, SIGNED)}
+
+
+def _promising(threshold: int):
+    """Pairs of blocks with a pair of members that may be linked, and for these blocks the members that have such a partner."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                left, right = (_block(batch.column(k)[i].values) for k in ("left", "right"))
+                mine, theirs = [], np.zeros(len(right["rep"]), bool)
+                for k in range(len(left["rep"])):
+                    at = _near(left, right, k, threshold)
+                    if len(at):
+                        mine.append(int(left["rep"][k]))
+                        theirs[at] = True
+                if mine:
+                    rows.append({c: batch.column(c)[i].as_py() for c in ("family", "k", "apart", "block")} | {"some": mine + right["rep"][theirs].tolist()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("family", pa.int64()), ("k", pa.int64()), ("apart", pa.bool_()), ("block", pa.int64()), ("some", pa.list_(pa.int64()))]))
+
+    return run
+
+
+def _between(threshold: int):
+    """Links between components among the members of two blocks; of several that join the same components, one."""
 
     def run(batches):
         for batch in batches:
             found: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
-                left, right = (batch.column(k)[i].values for k in ("left", "right"))
-                rep, comp, n, signs = ([x.field(k).to_numpy(zero_copy_only=False) for x in (left, right)] for k in ("rep", "component", "n_shingles", "signed"))
-                signs = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, SIGNED) for x in signs]
-                sets = [x.field("shingles") for x in (left, right)]
+                members = [batch.column(k)[i].values for k in ("left", "right")]
+                left, right = (_block(x) for x in members)
+                sets = [x.field("shingles") for x in members]
                 up: dict[int, int] = {}
 
                 def root(c, up=up):
@@ -152,20 +185,17 @@ def _between(threshold: int):
                         c = up[c]
                     return c
 
-                for k in range(len(rep[0])):
-                    near = (comp[1] != comp[0][k]) & (100 * np.minimum(n[1], n[0][k]) >= threshold * np.maximum(n[1], n[0][k]))
-                    at = np.flatnonzero(near)
-                    alike = (signs[1][at] == signs[0][k]).mean(1)
-                    at, own = at[np.argsort(-alike)][: (alike >= least).sum()], None
-                    for j in at:
-                        p, q = root(comp[0][k]), root(comp[1][j])
+                for k in range(len(left["rep"])):
+                    own = None
+                    for j in _near(left, right, k, threshold):
+                        p, q = root(left["component"][k]), root(right["component"][j])
                         if p == q:
                             continue
                         own = sets[0][k].values.to_numpy() if own is None else own
                         both = len(np.intersect1d(own, sets[1][int(j)].values.to_numpy(), assume_unique=True))
-                        if 100 * both >= threshold * (n[0][k] + n[1][j] - both):
+                        if 100 * both >= threshold * (left["n_shingles"][k] + right["n_shingles"][j] - both):
                             up[max(p, q)] = min(p, q)
-                            found.append((int(comp[0][k]), int(comp[1][j])))
+                            found.append((int(left["component"][k]), int(right["component"][j])))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
@@ -174,20 +204,28 @@ def _between(threshold: int):
 def rest(docs: DataFrame, signed: DataFrame, member: DataFrame, home: DataFrame, size: int, threshold: int) -> DataFrame:
     """Links (a, b) between components that share a bucket of three members or more, which the star of its pivot does not settle.
 
-    Buckets that still hold several components are joined to families by the members they share. A family is dealt into blocks, those of its largest
-    component apart from the others; every block is held against every other but two of the largest component. What is shuffled is a row for
-    each pair of blocks, and no task sees more than two of them."""
+    Buckets that still hold several components are joined to families by the members they share. A family is dealt into blocks by count and by size of the sets,
+    those of its largest component apart from the others; every block is held against every other but two of the largest component. Signatures are compared
+    first: sets are built and shuffled only for members that have a possible partner, between blocks that hold such a pair. Rows are keyed by pairs of
+    blocks, so a large family is spread over as many keys, and no task sees more than two blocks at a time."""
     placed = member.where("size > 2").join(home, "rep")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("bucket", "first")
     family = components(placed.join(open_, "bucket").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()).toDF("rep", "family")
-    family = C.cut(family.join(home, "rep"))
-    main = family.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.sum("n").alias("members"))
-    sets = C.only(docs, family.select(F.col("rep").alias("doc_id"))).mapInArrow(C.lean(_sets(size)), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    own = family.join(main, "family").withColumn("apart", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)))
-    own = own.join(signed, "rep").join(sets, "rep")
-    blocks = C.written(own.groupBy("family", "apart", "block").agg(F.collect_list(F.struct("rep", "component", "n_shingles", "signed", "shingles")).alias("x")), "blocks")
-    left = blocks.where("apart").select("family", F.col("block").alias("k"), F.col("x").alias("left"))
-    pairs = left.join(blocks.withColumnRenamed("x", "right"), "family").where("not apart or k <= block")
+    family = family.join(home, "rep").join(signed, "rep")
+    by_part = C.cut(family.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")))
+    main = by_part.groupBy("family").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("n_blocks"))
+    own = family.join(main, "family").withColumn("apart", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
+    own = C.written(own.select("rep", "family", "component", "n_shingles", "signed", "apart", "block", "n_blocks"), "family-members")
+    key, at = ["family", "apart", "block"], lambda name: F.collect_list(F.struct("rep", "component", "n_shingles", "signed", *name)).alias("x")
+    blocks = C.written(own.groupBy(*key, "n_blocks").agg(at([])), "signed-blocks")
+    left = lambda table: table.where("apart").select("family", F.col("block").alias("k"), F.col("x").alias("left"), *(["n_blocks"] if "n_blocks" in table.columns else []))
+    others = left(blocks).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("apart", F.explode(F.array(F.lit(True), F.lit(False)))).where("not apart or k <= block")
+    pairs = others.join(blocks.select(*key, F.col("x").alias("right")), key)
+    pairs = C.cut(pairs.select("family", "k", "apart", "block", "left", "right").mapInArrow(C.lean(_promising(threshold)), "family long, k long, apart boolean, block long, some array<long>"))
+    some = C.cut(pairs.select(F.explode("some").alias("rep")).distinct())
+    sets = C.only(docs, some.select(F.col("rep").alias("doc_id"))).mapInArrow(C.lean(_sets(size)), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    blocks = C.written(own.drop("n_blocks").join(sets, "rep").groupBy(*key).agg(at(["shingles"])), "blocks")
+    pairs = pairs.drop("some").join(left(blocks), ["family", "k"]).join(blocks.withColumnRenamed("x", "right"), key)
     return C.cut(pairs.select("left", "right").mapInArrow(C.lean(_between(threshold)), "a long, b long"))
 
 

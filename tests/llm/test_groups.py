@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from millrace.llm import graph
+from millrace.llm import graph, near_dedup as near
 from millrace.llm.graph import components
 from millrace.llm.near_dedup import near_dedup
 from millrace.llm.sharding import shard
@@ -65,6 +65,34 @@ def test_near_dedup(spark, seed, k):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, c, c == i)
 
 
+@pytest.mark.parametrize("members,shingles_,words", [(3, 1 << 20, 60), (256, 200, 60), (256, 60_000, 25_000)])
+def test_blocks_of_a_family(spark, monkeypatch, members, shingles_, words):
+    """An open bucket of chained texts that no star has settled, over many blocks: by count, by size of the sets, and with long texts."""
+    monkeypatch.setattr(near, "BLOCK", members)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", shingles_)
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(4))
+    base, texts = [word() for _ in range(words)], []
+    for _ in range(4 if words > 1000 else 14):
+        for _ in range(2):
+            text = list(base)
+            for _ in range(max(1, words // 30)):
+                text[rng.randrange(words)] = word()
+            texts.append(" ".join(text))
+        if rng.random() < 0.6:
+            base = text
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    signed = docs.mapInArrow(near._sign(2), "rep long, n_shingles long, print binary, bands array<long>, signed binary").select("rep", "n_shingles", "signed")
+    ids = docs.selectExpr("doc_id AS rep")
+    member = ids.selectExpr("rep", "7L AS bucket", f"{len(texts)}L AS size")
+    want = {i: c for i, (_, c) in brute(list(enumerate(texts)), 2).items()}
+    # The first half has been linked already.
+    home = {i: want[i] if i < len(texts) // 2 else i for i in want}
+    found = near.rest(docs, signed, member, spark.createDataFrame(list(home.items()), "rep long, component long"), 2, 80)
+    got = {r.id: r.component for r in components(found).collect()}
+    assert {i: got.get(c, c) for i, c in home.items()} == want and len(set(want.values())) < len(set(home.values()))
+
+
 def test_near_dedup_odd_rows(spark):
     rows = [(None, "a b c"), (None, None), (5, "a b c"), (5, "a b c"), (2, "A b\tc")]
     got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()

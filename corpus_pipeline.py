@@ -20,11 +20,16 @@ from millrace.llm.queries import tokenizer_file
 from millrace.llm.suffix_dedup import keyed, repeated_spans, without_spans
 
 
+#: The session's setting of how many rows Python workers get at a time.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """From now on Python workers get at most so many rows at a time: whole documents are long, and executors hold a batch on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """From now on Python workers get at most so many rows at a time: whole documents are long, and executors hold a batch on both sides.
+
+    A stage is computed when its result is written, so that the setting must outlast the stage's function; `run` restores it."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = C.table(spark, sf_dir, "documents"), C.scratch()
-    for name, stage in STAGES:
-        docs = C.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-        C.sweep(spark, before, keep=1)  # what the stage wrote on its way
+    docs, before, rows = C.table(spark, sf_dir, "documents"), C.scratch(), spark.conf.get(BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            docs = C.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+            C.sweep(spark, before, keep=1)  # what the stage wrote on its way
+    finally:
+        spark.conf.set(BATCH_ROWS, rows)
     return docs
 
 

@@ -207,8 +207,8 @@ def _sentences(t):
 
 @R.query("pl8_entity_samples")
 def _(t):
-    """Cleaned fragments to spans of every label, then the training set: spans of a text that do not overlap."""
-    d = _sentences(t).select(T.clean_fragment(F.col("sentence")).alias("text")).distinct()
+    """Cleaned fragments, each after its order's number, to spans of every label, then the training set: spans of a text that do not overlap."""
+    d = _sentences(t).select(F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), T.clean_fragment(F.col("sentence"))).alias("text")).distinct()
     found = cut(K.extract_all(d, "text"))
     parts = [K.to_spans(found.where(F.col("label") == label), "text", "entities", label).select("text", "start", "end", "label") for label in T.EXTRACTORS]
     kept = K.non_overlapping(K.build_trainset(parts, ["text", "start", "end", "label"]), "text")

@@ -111,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from millrace.llm.url_filter import SUFFIXES
 
-    return {"op4_near_dedup": sql.near_dedup(), "op11_url_filter": sql.url_filter(URL_RULES, SUFFIXES), "op12_vector_codes": sql.vector_codes(), "op13_centroid_clusters": sql.centroid_clusters()}
+    return {"op4_near_dedup": sql.near_dedup(), "op5_suffix_dedup": sql.suffix_dedup(), "op11_url_filter": sql.url_filter(URL_RULES, SUFFIXES), "op12_vector_codes": sql.vector_codes(), "op13_centroid_clusters": sql.centroid_clusters()}

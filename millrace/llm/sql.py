@@ -69,3 +69,19 @@ def near_dedup(threshold: int = 80) -> str:
     l AS MATERIALIZED (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) AS n, any_value(q.n) AS m, count(*) AS c FROM e p JOIN e q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2) WHERE 100 * c >= {threshold} * (n + m - c)),
     r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
     SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id"""
+
+
+def suffix_dedup(length: int = 200) -> str:
+    """All windows of so many bytes, grouped by their digest; hexadecimal text stands for bytes. Windows are cut from pieces, as a cut reads its whole text."""
+    two = 2 * length
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    z AS MATERIALIZED (SELECT r, q, substr(h, {two} * q + 1, {2 * two - 2}) AS piece FROM d, LATERAL (SELECT unnest(range(len(h) // {two})) AS q)),
+    w AS MATERIALIZED (SELECT r, {length} * q + i AS p, md5(substr(piece, 2 * i + 1, {two})) AS k FROM z, range({length}) t(i) WHERE len(piece) >= 2 * i + {two}),
+    s AS MATERIALIZED (SELECT r, p FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+    o AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS last FROM s),
+    g AS (SELECT r, p, sum(CASE WHEN last IS NULL OR p > last + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g FROM o),
+    c AS MATERIALIZED (SELECT r, g, min(p) AS a, max(p) + {length} AS b FROM g GROUP BY r, g),
+    e AS (SELECT r, g, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY g) AS past FROM c),
+    x AS (SELECT r, count(*) AS spans, sum(b - a) AS removed, max(b) AS tail, string_agg(substr(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY g) AS head FROM e JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+      sha256(unhex(coalesce(head || substr(h, 2 * tail + 1), h))) AS kept_sha256 FROM d LEFT JOIN x USING (r)"""

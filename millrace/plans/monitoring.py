@@ -146,7 +146,10 @@ def _(t):
     return M.pick_production(_metrics(t), ["f1", "brier"]).select("model")
 
 
-@R.query("m16_changed", "SELECT false AS same, true AS edited")
+_ALTERED = "EXISTS ((SELECT * FROM supplier EXCEPT ALL SELECT * FROM {0}) UNION ALL (SELECT * FROM {0} EXCEPT ALL SELECT * FROM supplier))"
+
+
+@R.query("m16_changed", f"SELECT {_ALTERED.format('(SELECT * FROM supplier ORDER BY s_suppkey DESC)')} AS same, {_ALTERED.format('(SELECT * FROM supplier WHERE s_suppkey > 1)')} AS edited")
 def _(t):
     d = t("supplier")
     return d.sparkSession.createDataFrame([(M.changed(d.orderBy(F.desc("s_suppkey")), d), M.changed(d.where("s_suppkey > 1"), d))], "same boolean, edited boolean")

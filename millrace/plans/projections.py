@@ -201,7 +201,7 @@ def _(t):
 
 @R.query("n2_annual_cosine", "SELECT o_orderkey, round(cos(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 2 * pi() / 365.25), 6) AS cos_ano FROM orders")
 def _(t):
-    return t("orders").select("o_orderkey", F.round(D.F.cos(F.datediff("o_orderdate", F.lit("1992-01-01")) * (2 * 3.141592653589793 / 365.25)), 6).alias("cos_ano"))
+    return t("orders").select("o_orderkey", F.round(N.annual_cosine(F.col("o_orderdate"), "1992-01-01"), 6).alias("cos_ano"))
 
 
 @R.query("n3_yeo_johnson_apply", "SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 0.5) - 1) / 0.5 ELSE -(pow(1 - c_acctbal, 1.5) - 1) / 1.5 END, 4) AS x FROM customer")

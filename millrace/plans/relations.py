@@ -351,7 +351,11 @@ def _(t):
     return d.agg(side("first", "missing"), side("both", "common"))
 
 
-@R.query("u4_same_rows", "SELECT true AS shuffled, false AS changed")
+_EDITED = "(SELECT * REPLACE (CASE WHEN p_partkey = 7 THEN -1 ELSE p_size END AS p_size) FROM part)"
+
+
+@R.query("u4_same_rows", f"""SELECT NOT EXISTS ((SELECT * FROM part EXCEPT ALL SELECT * FROM (SELECT * FROM part ORDER BY p_partkey DESC)) UNION ALL (SELECT * FROM (SELECT * FROM part ORDER BY p_partkey DESC) EXCEPT ALL SELECT * FROM part)) AS shuffled,
+    NOT EXISTS ((SELECT * FROM part EXCEPT ALL SELECT * FROM {_EDITED}) UNION ALL (SELECT * FROM {_EDITED} EXCEPT ALL SELECT * FROM part)) AS changed""")
 def _(t):
     d = t("part")
     other = d.withColumn("p_size", F.when(F.col("p_partkey") == 7, -1).otherwise(F.col("p_size")))

@@ -124,7 +124,10 @@ def _(t):
     return _names(t, S.select_features(d, _NUM, ["l_linestatus", "l_linenumber"], "y"))
 
 
-@R.query("u5_common_features", "SELECT unnest(['l_discount', 'l_tax']) AS feature")
+_SPREAD = " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({c}) AS sample, var_pop({c}) AS whole FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax"))
+
+
+@R.query("u5_common_features", f"SELECT feature FROM ({_SPREAD}) WHERE sample < 0.01 AND whole <= 0.01")
 def _(t):
     d, cols = t("lineitem"), ["l_quantity", "l_discount", "l_tax"]
     return _names(t, S.common(S.quasi_constant(d, cols), S.LowVariance(cols=cols).fit(d).values["dropped"]))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregate as A
+from millrace.operators import encode as E
+from millrace.operators import models as M
 from millrace.operators.lineage import shared_dir
 from millrace.plans.registry import Registry
 from millrace.sources import io as IO
@@ -133,7 +136,10 @@ def _(t):
     return d.sparkSession.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-@R.query("io16_monitor_probes", "SELECT 'o_totalprice' AS feature, unnest(['mean', 'std', 'min', 'max', 'q50', 'q75']) AS property")
+_PROBED = " UNION ALL ".join(f"SELECT '{k}' AS property, (SELECT {agg.format('v')} FROM twice) / (SELECT {agg.format('o_totalprice')} FROM orders) - 1 AS ratio" for k, agg in {"mean": "avg({})", "std": "stddev({})", "min": "min({})", "max": "max({})", "q50": "quantile_cont({}, 0.5)", "q75": "quantile_cont({}, 0.75)", "skew": "skewness({})", "kurtosis": "kurtosis({})"}.items())
+
+
+@R.query("io16_monitor_probes", f"WITH twice AS (SELECT o_totalprice * 2 AS v FROM orders, range(2)) SELECT 'o_totalprice' AS feature, property FROM ({_PROBED}) WHERE abs(ratio) > 0.15")
 def _(t):
     d, path = t("orders").select("o_totalprice"), _new(t("orders"), "probes")
     base = A.profile(d, ["o_totalprice"])
@@ -150,4 +156,16 @@ def _(t):
     return IO.latest(d.sparkSession, path)
 
 
+_CODED = "(SELECT c_custkey, c_acctbal, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer)"
+
+
+@R.query("l26_saved_pipeline", f"SELECT c_custkey, CAST(code AS INTEGER) AS c_mktsegment, round(code * (SELECT sum(code * c_acctbal) / sum(code * code) FROM {_CODED}), 4) AS prediction FROM {_CODED}")
+def _(t):
+    """A fitted pipeline, one stage of which keeps a table, is saved and loaded again; the loaded one codes and predicts."""
+    d, path = t("customer").select("c_custkey", "c_mktsegment", "c_acctbal"), _new(t("customer"), "pipeline")
+    stages = [E.LabelEncoder(cols=["c_mktsegment"]), *M.pipeline("ols", "regression", ["c_mktsegment"], "c_acctbal").getStages()]
+    Pipeline(stages=stages).fit(d).write().save(path)
+    return PipelineModel.load(path).transform(d).select("c_custkey", "c_mktsegment", F.round("prediction", 4).alias("prediction"))
+
+
 queries, oracle_sql = R.queries, R.oracle_sql

@@ -50,16 +50,16 @@ def template(words: Column, plain_codes: Column) -> Column:
     return F.zip_with(words, plain_codes, code)
 
 
-def raw(words: Column) -> Column:
-    """For each word the hash of its lower case, numbers and units as well."""
-    return F.transform(words, lambda w: F.xxhash64(F.lower(F.translate(w, "\u0001", ""))))
+def raw(words: Column, plain_codes: Column) -> Column:
+    """For each word the hash of its lower case, which is its plain code but for numbers and units."""
+    return F.zip_with(words, plain_codes, lambda w, c: F.when(c.isin(NUMBER, UNIT), F.xxhash64(F.lower(F.translate(w, "\u0001", "")))).otherwise(c))
 
 
 def _coded(df: DataFrame, key: str, rows: Column, with_raw: bool) -> DataFrame:
     """Key, words and their codes: as a template t, plain p and, if wanted, raw r."""
     df = df.select(key, rows.alias("words")).withColumn("p", plain(F.col("words")))
     df = df.withColumn("t", template(F.col("words"), F.col("p")))
-    return df.withColumn("r", raw(F.col("words"))) if with_raw else df
+    return df.withColumn("r", raw(F.col("words"), F.col("p"))) if with_raw else df
 
 
 def _windows(coded: DataFrame, key: str, at: str, codes: list[str]) -> DataFrame:

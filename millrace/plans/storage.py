@@ -78,7 +78,7 @@ def _(t):
     first = d.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("source"), F.array(F.struct(F.struct(F.struct(span.alias("entities")).alias("x")).alias("answerContent"))).alias("answers"))
     second = d.where("s_suppkey % 2 = 1").select(F.col("s_name").alias("source"), F.struct(F.struct(F.struct(F.struct(span.alias("entities")).alias("annotations")).alias("job")).alias("content")).alias("consolidatedAnnotation"))
     for name, x in (("a", first), ("b", second)):
-        x.repartition("source").write.option("maxRecordsPerFile", 1).json(f"{path}/{name}")
+        IO.write_documents(x, f"{path}/{name}", "source")
     return IO.read_annotations(d.sparkSession, [f"{path}/a", f"{path}/b"]).drop("file")
 
 

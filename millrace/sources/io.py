@@ -61,13 +61,21 @@ ANNOTATION = f"source string, answers array<struct<answerContent:map<string,stru
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text, start, end, label) of annotation JSON, in either layout: answers of workers or a consolidated annotation."""
+    """(file, text, start, end, label) of annotation JSON, in either layout: answers of workers or a consolidated annotation. A file holds one document or an array of them."""
     d = spark.read.schema(ANNOTATION).option("multiLine", True).json(path)
     first = F.flatten(F.flatten(F.transform("answers", lambda a: F.transform(F.map_values(a["answerContent"]), lambda v: v["entities"]))))
     second = F.flatten(F.transform(F.map_values("consolidatedAnnotation.content"), lambda v: v["annotations"]["entities"]))
     return d.select(F.input_file_name().alias("file"), F.col("source").alias("text"), F.explode(F.coalesce(first, second)).alias("e")).select("file", "text", F.col("e.startOffset").alias("start"), F.col("e.endOffset").alias("end"), "e.label")
 
 
+def write_documents(df: DataFrame, path: str, key: str, most: int = 1000) -> None:
+    """JSON files each of which holds an array of some `most` rows, dealt by the hash of a key: layouts that are read as whole documents, in files that grow in
+    number with the rows' thousandths. A file for each row would cost the file system, and the driver that lists and commits, more than the rows do."""
+    files = max(1, -(-df.count() // most))
+    made = df.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("_f"), F.to_json(F.struct("*")).alias("_j")).groupBy("_f").agg(F.array_join(F.collect_list("_j"), ",").alias("_j"))
+    made.select(F.concat(F.lit("["), "_j", F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def route_files(files: DataFrame, path: str, rules: dict[str, str]) -> DataFrame:
     """(path, table): the first table whose part of a name the path contains; others are left out."""
     c = F.coalesce(*(F.when(F.contains(F.lower(path), F.lit(part.lower())), F.lit(table)) for table, part in rules.items()))

@@ -2,11 +2,18 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import aggregate as A
+from millrace.operators import models as M
+from millrace.operators import prefix
 from millrace.operators import spans as S
+from millrace.operators import vocabulary as V
+from millrace.plans import pipelines as P
 from millrace.plans.text import _instructions
+from millrace.sources import io as IO
 
 
 def test_sentences_are_dealt_to_all_cores(spark, tmp_path):
@@ -35,3 +42,49 @@ def test_labels_found_are_those_of_extract_all(spark):
     found = {r.text: set(r.labels) for r in S.labels_found(d, "text").collect()}
     rows = S.extract_all(d, "text").groupBy("text").agg(F.collect_set("label").alias("labels")).collect()
     assert found == {"nada": set()} | {r.text: set(r.labels) for r in rows}
+
+
+def test_annotation_documents_lie_in_few_files(spark, tmp_path):
+    d = spark.range(2500).selectExpr("concat('t', id) as source", "array(named_struct('answerContent', named_struct('x', named_struct('entities', array(named_struct('startOffset', 0, 'endOffset', 2, 'label', 'N')))))) as answers")
+    IO.write_documents(d, str(tmp_path / "a"), "source")
+    assert len(list((tmp_path / "a").glob("part-*"))) == 3
+    got = IO.read_annotations(spark, str(tmp_path / "a"))
+    assert got.count() == 2500 and {tuple(r) for r in got.select("start", "end", "label").distinct().collect()} == {(0, 2, "N")}
+
+
+def test_terms_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(V, "_CHUNK_BYTES", 100)
+    b = pa.RecordBatch.from_arrays([pa.array(["ab cd " * 5, None, "x" * 500, "ab"] * 50)], ["text"])
+    got = list(V._counted(iter([b])))
+    assert len(got) > 50 and sum(dict(zip(r.column(0).to_pylist(), r.column(1).to_pylist())).get("ab", 0) for r in got) == 300
+
+
+def test_models_fit_parts_of_bounded_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "parts", lambda d: 9)
+    monkeypatch.setattr(M.Pipeline, "_fit", lambda self, d: seen.append(d.rdd.getNumPartitions()))
+    d = spark.range(100).selectExpr("cast(id as double) as x", "cast(id % 2 as double) as y").coalesce(1)
+    M.pipeline("boosting", "classification", ["x"], "y").fit(d)
+    M.one_vs_rest(["x"], "y").fit(d)
+    assert seen == [9, 9]
+
+
+def test_recency_without_rows_outside_the_masks(spark):
+    d = spark.createDataFrame([(1, 5), (1, 1), (2, 1)], "k int, v int")
+    got = A.recency_features(d, "k", {"n": ("count", F.col("v") > 3, F.col("v"))}, every=False)
+    assert [tuple(r) for r in got.collect()] == [(1, 1)]
+
+
+def test_monitoring_cycle_sums_the_panel_up_once(spark, monkeypatch):
+    cuts, cut = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda d: cuts.append(d.columns) or cut(d))
+    P.queries()["pl13_monitoring_cycle"](spark, "/root/testdata/sf0.001")
+    assert ["qtd", "val"] in cuts
+
+
+def test_running_sums_deal_ranges_by_rows(spark, monkeypatch):
+    seen, cut = [], prefix.cut
+    monkeypatch.setattr(prefix, "parts", lambda d: 7)
+    monkeypatch.setattr(prefix, "cut", lambda d: seen.append(d.select("_p").distinct().count()) or cut(d))
+    d = prefix.running(spark.range(1000).withColumn("s", F.lit(1)), ["s"], ["id"], {"n": F.lit(1)})
+    assert seen == [7] and d.agg(F.max("n")).first()[0] == 1000

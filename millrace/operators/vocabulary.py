@@ -16,6 +16,8 @@ from millrace.operators.steps import Fit, Step
 
 #: Cells of a dense table that a task fills at a time.
 _CELLS = 1 << 22
+#: Bytes of text that a task cuts into terms at a time; it bounds a worker's memory, not the work.
+_CHUNK_BYTES = 2 << 20
 #: What stands between terms.
 _GAPS = r"[^\p{L}\p{N}_]+"
 
@@ -30,9 +32,18 @@ def _terms(text: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.filter(long))
 
 
+def _pieces(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some _CHUNK_BYTES of text, a single longer text whole; memory is given back after each batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // _CHUNK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield b.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, n, held) of each batch: how often a term stands in its texts, and in how many of them."""
-    for b in batches:
+    for b in (piece for whole in batches for piece in _pieces(whole, 0)):
         lists = _terms(b.column("text"))
         flat = pc.dictionary_encode(lists.flatten())
         if len(flat):
@@ -58,7 +69,7 @@ def _weights(vocabulary: list[str], weight, kind: pa.DataType, sparse: bool):
     def run(batches: Iterator[pa.RecordBatch]):
         known, size = pa.array(vocabulary, pa.string()), len(vocabulary)
         step = max(1, _CELLS // max(1, size)) if not sparse else 1 << 14
-        for whole in batches:
+        for whole in (piece for b in batches for piece in _pieces(b, 1)):
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
                 lists = _terms(b.column(1))

@@ -30,3 +30,12 @@ def spread(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """df dealt anew into parts of some `rows` rows at most, and at least four for each core: for work that costs far more than reading a row, where the few
     splits of a small file would leave cores idle. To be called while rows are narrow, as all of them are shuffled; they are counted first."""
     return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+
+
+#: Rows that a task keeps in memory at a time.
+HELD_ROWS = 500_000
+
+
+def parts(df: DataFrame, rows: int = HELD_ROWS) -> int:
+    """Into how many parts to deal df so that each has some `rows` rows, one for each core at least. The table is counted."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))

@@ -104,6 +104,10 @@ def control_limits(df: DataFrame, cols: list[str], group: list[str] = ()) -> Dat
     return s.select(*group, "feature", *(F.round(x, 3).alias(k) for k, x in {"mean": F.col("mean"), "std": F.col("std"), "ucl": F.col("mean") + 3 * F.col("std"), "lcl": F.col("mean") - 3 * F.col("std"), "usl": F.col("mean") + F.col("std"), "lsl": F.col("mean") - F.col("std")}.items()))
 
 
+#: Limits are broadcast up to so many series: values are not shuffled by series then, of which there may be one only.
+BROADCAST_LIMITS = 100_000
+
+
 def control_chart(df: DataFrame, order: str, cols: list[str], group: list[str] = (), limits: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """Values in long form with their limits, an out-of-control flag (on or outside ucl and lcl) and the cumulative share of flags, by series.
 
@@ -112,7 +116,8 @@ def control_chart(df: DataFrame, order: str, cols: list[str], group: list[str] =
     group = list(group)
     long = df.select(*group, order, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols))).alias("r")).select(*group, order, "r.*")
     limits = limits if limits is not None else control_limits(df, cols, group)
-    j = long.join(limits, [*group, "feature"]).withColumn("ooc", ((F.col("x") >= F.col("ucl")) | (F.col("x") <= F.col("lcl"))).cast("int"))
+    few = not group or limits.count() <= BROADCAST_LIMITS
+    j = long.join(F.broadcast(limits) if few else limits, [*group, "feature"]).withColumn("ooc", ((F.col("x") >= F.col("ucl")) | (F.col("x") <= F.col("lcl"))).cast("int"))
     j = running(j, [*group, "feature"], [order], {"_out": F.col("ooc"), "_n": F.lit(1)})
     out, n = F.col("_out"), F.col("_n")
     if before is not None:

@@ -7,18 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage import cut
+from millrace.operators.lineage import cut, parts
 
 
 def running(df: DataFrame, series: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
     """df with the sum of each column over the rows of the series so far, this one included, as SQL's sum: null until there is a value.
 
-    Rows are dealt into ranges of (series, order), so that a long series lies in several; each range sums up its own rows, and what the ranges before it in
+    Rows are dealt into ranges of (series, order) of a bounded number of rows, so that a long series lies in several; each range sums up its own rows, and what the ranges before it in
     the series have summed up is added. Ranges are checkpointed, as their bounds are sampled. A series has one such carry for each further range that it
     reaches into, so there are fewer carries than ranges, and they are broadcast. Rows that agree in series and order have some order among themselves.
     """
     d = df.withColumns({f"_x_{k}": c for k, c in sums.items()})
-    d = d.repartitionByRange(*series, *order).withColumn("_p", F.spark_partition_id())
+    d = d.repartitionByRange(parts(df), *series, *order).withColumn("_p", F.spark_partition_id())
     own = Window.partitionBy("_p", *series).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = cut(d.withColumns({k: F.sum(f"_x_{k}").over(own) for k in sums}))
     total = d.groupBy("_p", *series).agg(*(F.sum(f"_x_{k}").alias(f"_c_{k}") for k in sums))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage import cut
+from millrace.operators.lineage import cut, parts
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -38,7 +38,7 @@ def split_random(df: DataFrame, keys: list[str], shares: list[float], seed: int
 def position(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """df with the row's place from 0 in a total order, without bringing all rows to one task: rows are range-partitioned, and each range is numbered
     from where those before it end. The ranges are checkpointed, as bounds are sampled and would differ if they were drawn again."""
-    d = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    d = cut(df.repartitionByRange(parts(df), *order).withColumn("_p", F.spark_partition_id()))
     w = Window.partitionBy("_p").orderBy(*order)
     sizes = d.groupBy("_p").count().withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     return d.withColumn("_n", F.row_number().over(w) - 1).join(F.broadcast(sizes), "_p").withColumn(name, (F.col("_start") + F.col("_n")).cast("long")).drop("_p", "_n", "_start")

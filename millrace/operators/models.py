@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import Scale
+from millrace.operators.lineage import parts
 
 KINDS = {
     ("boosting", "classification"): lambda **o: MC.GBTClassifier(**o),
@@ -31,9 +32,18 @@ KINDS = {
 }
 
 
+class _Dealt(Pipeline):
+    """A pipeline that fits itself to rows dealt into parts of bounded size: trees and logistic models keep their rows by the parts in which they get them, which
+    grow with the files' splits. A table of one part's rows stays as it is."""
+
+    def _fit(self, dataset):
+        n = parts(dataset)
+        return super()._fit(dataset.repartition(n) if n > dataset.sparkSession.sparkContext.defaultParallelism else dataset)
+
+
 def pipeline(kind: str, task: str, features: list[str], label: str, **options) -> Pipeline:
     """Assembler and model; rows with a null feature are skipped. For boosting, validationIndicatorCol names a boolean column for early stopping."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), KINDS[kind, task](labelCol=label, featuresCol="features", **options)])
+    return _Dealt(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), KINDS[kind, task](labelCol=label, featuresCol="features", **options)])
 
 
 def score(df: DataFrame, name: str = "score") -> DataFrame:
@@ -43,7 +53,7 @@ def score(df: DataFrame, name: str = "score") -> DataFrame:
 
 def one_vs_rest(features: list[str], label: str, **options) -> Pipeline:
     """Boosted trees for several classes."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), MC.OneVsRest(classifier=MC.GBTClassifier(**options), labelCol=label, featuresCol="features")])
+    return _Dealt(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), MC.OneVsRest(classifier=MC.GBTClassifier(**options), labelCol=label, featuresCol="features")])
 
 
 def draws(grid: dict[str, list], n: int | None = None, seed: int = 0) -> list[dict]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +63,8 @@ STATS = {
 }
 
 
-def recency_features(df: DataFrame, key: str, specs: dict[str, tuple[str, Column, Column]], order: list[str] = ()) -> DataFrame:
-    """Features of each key from one aggregate. specs: name -> (statistic, mask, value); of several modes the smallest is taken.
+def recency_features(df: DataFrame, key: str, specs: dict[str, tuple[str, Column, Column]], order: list[str] = (), every: bool = True) -> DataFrame:
+    """Features of each key from one aggregate; without `every` only of keys with a row within some mask, and other rows are left out before any shuffle. specs: name -> (statistic, mask, value); of several modes the smallest is taken.
 
     The statistic 'first' is the value of the earliest row by `order` within the mask that has one, the smallest of several there."""
 
@@ -73,7 +75,9 @@ def recency_features(df: DataFrame, key: str, specs: dict[str, tuple[str, Column
             raise ValueError("the statistic 'first' needs an order")
         return F.min(F.when(mask & value.isNotNull(), F.struct(*order, value.alias("_value"))))["_value"]
 
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(stat(*spec).alias(name) for name, spec in specs.items()))
+    d = df.where(F.col(key).isNotNull())
+    d = d if every else d.where(reduce(lambda a, b: a | b, (mask for _, mask, _ in specs.values())))
+    return d.groupBy(key).agg(*(stat(*spec).alias(name) for name, spec in specs.items()))
 
 
 def frequencies(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:

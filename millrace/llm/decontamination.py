@@ -29,14 +29,20 @@ BLOCK = 4096
 
 def template_words(text: Column) -> Column:
     """Words of letters and digits; points and commas inside a number stay. A unit after a number carries the mark U+0001."""
-    plain = F.regexp_replace(text, r"(?:[^\p{L}\p{N}.,]|[.,](?![0-9])|(?<![0-9])[.,])+", " ")
+    # What lies between two words holds no letter or digit; it is a point or comma inside a number only if it is that one character.
+    plain = F.regexp_replace(text, r"[^\p{L}\p{N}]++(?<![0-9][.,](?=[0-9]))", " ")
     marked = F.regexp_replace(plain, r"(?<=[0-9]) (?=(?i:" + "|".join(UNITS) + r")(?: |$))", " \u0001")
-    return F.filter(F.split(marked, " "), lambda w: w != "")
+    return F.array_remove(F.split(marked, " "), "")
+
+
+def _value(word: Column) -> Column:
+    """Whether a word is a number or a marked unit: it begins with a digit or U+0001, and these come before any letter."""
+    return word < ":"
 
 
 def plain(words: Column) -> Column:
     """For each word a number: NUMBER, UNIT, or the hash of the word in lower case."""
-    return F.transform(words, lambda w: F.when(F.ascii(w) == 1, F.lit(UNIT).cast("long")).when(F.ascii(w).between(48, 57), F.lit(NUMBER).cast("long")).otherwise(F.xxhash64(F.lower(w))))
+    return F.transform(words, lambda w: F.when(_value(w), F.when(w < "\u0002", F.lit(UNIT).cast("long")).otherwise(F.lit(NUMBER).cast("long"))).otherwise(F.xxhash64(F.lower(w))))
 
 
 def template(words: Column, plain_codes: Column) -> Column:
@@ -44,7 +50,8 @@ def template(words: Column, plain_codes: Column) -> Column:
 
     def code(w: Column, c: Column) -> Column:
         first, rest = F.substring(w, 1, 1), F.substring(w, 2, 1 << 30)
-        name = (first != F.lower(first)) & (rest == F.lower(rest)) & (rest != "") & ~F.ascii(w).between(48, 57) & (F.ascii(w) != 1)
+        # Most words begin with a small ASCII letter, which is told first.
+        name = ((w < "a") | (w >= "{")) & ~_value(w) & (first != F.lower(first)) & (rest == F.lower(rest)) & (rest != "")
         return F.when(name, F.lit(NAME).cast("long")).otherwise(c)
 
     return F.zip_with(words, plain_codes, code)
@@ -52,7 +59,7 @@ def template(words: Column, plain_codes: Column) -> Column:
 
 def raw(words: Column, plain_codes: Column) -> Column:
     """For each word the hash of its lower case, which is its plain code but for numbers and units."""
-    return F.zip_with(words, plain_codes, lambda w, c: F.when(c.isin(NUMBER, UNIT), F.xxhash64(F.lower(F.translate(w, "\u0001", "")))).otherwise(c))
+    return F.zip_with(words, plain_codes, lambda w, c: F.when(_value(w), F.xxhash64(F.lower(F.translate(w, "\u0001", "")))).otherwise(c))
 
 
 def _coded(df: DataFrame, key: str, rows: Column, with_raw: bool) -> DataFrame:
@@ -64,11 +71,12 @@ def _coded(df: DataFrame, key: str, rows: Column, with_raw: bool) -> DataFrame:
 
 def _windows(coded: DataFrame, key: str, at: str, codes: list[str]) -> DataFrame:
     """A row for each place of a text and, by code, the WINDOW words from there as c_0, c_1 and so on, null beyond the end. Long texts are laid out in blocks."""
-    block = F.explode(F.transform(F.sequence(F.lit(0), F.size(codes[0]) - 1, F.lit(BLOCK)), lambda i: F.struct(i.alias("i"), *(F.slice(c, i + 1, BLOCK + WINDOW - 1).alias(c) for c in codes))))
-    blocks = coded.where(F.size(codes[0]) > 0).select(key, block.alias("b")).select(key, "b.*")
-    each = [f"{c}_{k}" for c in codes for k in range(WINDOW)]
-    shifted = F.arrays_zip(*(F.slice(c, k + 1, BLOCK).alias(f"{c}_{k}") for c in codes for k in range(WINDOW)))
-    return blocks.select(key, "i", F.posexplode(shifted).alias("k", "w")).select(key, (F.col("i") + F.col("k")).alias(at), *(F.col("w")[e].alias(e) for e in each))
+    # Outer, as a filter on empty texts (also the one that Spark adds to a plain explode) would be moved below the codes and make them a second time.
+    size = F.coalesce(F.size(codes[0]), F.lit(0))
+    block = F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.struct(i.alias("i"), F.least(size - i, F.lit(BLOCK)).alias("n"), *(F.slice(c, i + 1, BLOCK + WINDOW - 1).alias(c) for c in codes))))
+    blocks = coded.select(key, block.alias("b")).select(key, "b.*").where("n > 0")
+    each = blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return each.select(key, (F.col("i") + F.col("k")).alias(at), *(F.get(c, F.col("k") + k).alias(f"{c}_{k}") for c in codes for k in range(WINDOW)))
 
 
 def _hash(code: str, size: int = WINDOW) -> Column:
@@ -110,12 +118,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4,
     few = wanted.count() <= BROADCAST_WINDOWS
     coded = _coded(d, "key", template_words(F.col("text")), bool(sizes)).drop("words")
     places = _windows(coded, "key", "pos", ["t", "p", "r"] if sizes else ["t", "p"])
-    full, t, p = F.col(f"t_{WINDOW - 1}").isNotNull(), _hash("t"), _hash("p")
+    full, t, p = F.col(f"t_{WINDOW - 1}").isNotNull(), F.col("t"), F.col("p")
+    if not sizes:
+        places = places.where(full)
+    places = places.withColumns({"t": _hash("t"), "p": _hash("p")})
     if sizes:
         own = F.array_distinct(F.array_compact(F.array(F.when(full, t), F.when(full, p), *(F.when(F.col(f"r_{n - 1}").isNotNull(), _hash("r", n)) for n in sizes))))
     else:
         own = F.when(t == p, F.array(t)).otherwise(F.array(t, p))
-        places = places.where(full)
     hits = places.select("key", "pos", F.explode(own).alias("window")).join(F.broadcast(wanted) if few else wanted, "window").select("key", "item_id", "kind", "pos", "ipos")
     # Two shifted divisions of the offsets, so that a stretch is whole in one of them.
     stretch = F.explode(F.array(*(F.floor((F.col("pos") - F.col("ipos") + k * DRIFT // 2) / DRIFT) * 2 + k for k in (0, 1)))).alias("stretch")

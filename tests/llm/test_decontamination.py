@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from millrace.llm import decontamination as D
 from millrace.llm.decontamination import decontaminate
 
 WORDS = "river stone under carry yellow seldom copper window gather follow narrow garden silver listen market pencil thunder basket candle".split()
@@ -199,3 +202,45 @@ def test_slots_against_brute_force(spark):
     got = {d: r.consistency for (d, _), r in found(spark, texts, [item]).items()}
     want = brute_slots(texts, item)
     assert set(got) == set(want) and 10 < len(got) < 75
+
+
+def test_texts_are_coded_once(spark):
+    """No filter repeats what makes words and codes of a text; a plain explode or a filter on empty texts moved one below them."""
+    docs = spark.createDataFrame([(1, ITEM)], "key long, text string").where("text is not null")
+    for codes in (["t", "p"], ["t", "p", "r"]):
+        places = D._windows(D._coded(docs, "key", D.template_words(F.col("text")), "r" in codes).drop("words"), "key", "pos", codes)
+        plan = places._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") == 2 and plan.count("xxhash64(lower(") == len(codes) - 1
+
+
+def test_words_and_codes_of_odd_texts(spark):
+    """Words against the separators said in full, codes against their rules, also of points, commas, marks and letters of other scripts."""
+    rng = random.Random(12)
+    parts = ["5", "12", "٣", "²", "Ⅷ", "kg", "Kg", "MB", "k", "Anna", "ANNA", "aNNa", "É", "Élan", "élan", "ß", "Żółw", "ǅabc", "𝐀𝐛", "𐐀𐐨", "中文", "a", "z", "A", "{", "~", ".", ",", "..", ",.", " ", " ", "\n", "\t", "\u0001", "\u0002", "\0", ":", "-", "'", " ", "é", "😀"]
+    texts = ["", " ", ".", "5.", ".5", "5,5", "5..5", "5., kg", "5 kg", "5\u0001kg", "1.5.2,3", "٣.٣", "5.kg", "5 kgs", "5 kg.", "a.5", "5.a"] + ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    plain = F.regexp_replace("text", r"(?:[^\p{L}\p{N}.,]|[.,](?![0-9])|(?<![0-9])[.,])+", " ")
+    marked = F.regexp_replace(plain, r"(?<=[0-9]) (?=(?i:" + "|".join(D.UNITS) + r")(?: |$))", " \u0001")
+    want = {r.key: [w for w in r.m.split(" ") if w] for r in df.select("key", marked.alias("m")).collect()}
+    hashes = {}
+    got = D._coded(df, "key", D.template_words(F.col("text")), True).collect()
+    lower = spark.createDataFrame([(w, w.replace("\u0001", "")) for w in {w for ws in want.values() for w in ws}], "w string, own string")
+    for r in lower.select("w", F.xxhash64(F.lower("own")).alias("h"), (F.substring("w", 1, 1) != F.lower(F.substring("w", 1, 1))).alias("first"), (F.substring("w", 2, 1 << 30) == F.lower(F.substring("w", 2, 1 << 30))).alias("rest")).collect():
+        hashes[r.w] = (r.h, r.first and r.rest and len(r.w) > 1)
+    assert len(got) == len(texts)
+    for r in got:
+        words = want[r.key]
+        value = [D.UNIT if w[0] == "\u0001" else D.NUMBER if w[0] in "0123456789" else None for w in words]
+        assert r.words == words
+        assert r.r == [hashes[w][0] for w in words]
+        assert r.p == [v or hashes[w][0] for w, v in zip(words, value, strict=True)]
+        assert r.t == [v or (D.NAME if hashes[w][1] else hashes[w][0]) for w, v in zip(words, value, strict=True)]
+
+
+def test_windows_of_long_and_empty_texts(spark):
+    """Every place once, at and beyond the edge of a block too."""
+    sizes = [0, 1, 4, 5, D.BLOCK - 1, D.BLOCK, D.BLOCK + 1, D.BLOCK + 4, 2 * D.BLOCK + 3]
+    df = spark.createDataFrame([(n, list(range(n)), list(range(7, n + 7))) for n in sizes] + [(-1, None, None)], "key long, t array<long>, p array<long>")
+    got = sorted(map(tuple, D._windows(df, "key", "pos", ["t", "p"]).collect()), key=lambda r: r[:2])
+    at = lambda i, n, d: i + d if i < n else None
+    assert got == [(n, i, *(at(i + k, n, 0) for k in range(5)), *(at(i + k, n, 7) for k in range(5))) for n in sizes for i in range(n)]

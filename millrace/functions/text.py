@@ -289,6 +289,22 @@ def extract_rules(c: Column, rules: list[str], strip: list[str] = (), drop: list
     return _tidied(_matches(c, rules, low=low), strip, drop)
 
 
+def any_rule(c: Column, rules: list[str], low: Column) -> Column:
+    """Whether extract_rules would find anything: the first match of any rule settles it. low is the folded text."""
+
+    def one(r: str) -> Column:
+        pattern, needs = F.lit("(?iU)" + hinted(r)), needed(r)
+        filled = _parsed(r) and _parsed(r).getwidth()[0] > 0
+        got = F.regexp_like(c, pattern) if filled else F.exists(F.regexp_extract_all(c, pattern, 0), lambda m: m != "")
+        return F.coalesce(_has(low, needs), F.lit(True)) & got if needs else got
+
+    found = F.lit(False)
+    for x, own in _grouped(tuple(check_rules(list(rules)))):
+        some = reduce(lambda a, b: a | b, map(one, own))
+        found = found | (F.coalesce(low.contains(x), F.lit(True)) & some if x else some)
+    return F.coalesce(found, F.lit(False))
+
+
 def _first_words(run: Column, most: int, before: int = 1) -> Column:
     """The run cut after its first, second, ... word, `most` words at most; `before` words that go ahead of these are in every cut."""
     w = F.split(run, " ")
@@ -368,6 +384,9 @@ INEQUALITY_RULES = [
     r"SE(?: \w+){1,4} com folga para um fornecimento de no mínimo [0-9]+ Mvar",
 ]
 
+#: Labels whose entities are the matches of rules as they stand.
+PLAIN_RULES = {"VALOR_COM_UNID.MEDIDA": VALUE_RULES, "OPERADOR_MATEMATICO": MATH_RULES, "CP": CAPACITOR_RULES, "ESTADO_OPERATIVO": STATE_RULES, "INEQUACAO": INEQUALITY_RULES}
+
 #: Each takes a text and, where several are asked, its folded form.
 EXTRACTORS = {
     "VALOR_COM_UNID.MEDIDA": lambda c, low=None: extract_rules(c, VALUE_RULES, low=low),

@@ -38,6 +38,8 @@ def test_hinted_and_grouped_rules_find_what_plain_ones_do(odd, rules):
     plain = F.array_sort(F.array_distinct(F.filter(F.flatten(F.array(*(F.regexp_extract_all("text", F.lit("(?iU)" + r), 0) for r in rules))), lambda m: m != "")))
     got = odd.select(T.extract_rules(F.col("text"), rules).alias("a"), plain.alias("b"))
     assert got.where(~F.equal_null("a", "b")).count() == 0 and got.where(F.size("b") > 0).count() > 0
+    whether = odd.withColumn("low", T.folded(F.col("text"))).select(T.any_rule(F.col("text"), rules, F.col("low")).alias("a"), (F.size(plain) > 0).alias("b"))
+    assert whether.where(F.col("a") != F.coalesce("b", F.lit(False))).count() == 0 and whether.where("a is null").count() == 0
 
 
 def test_digits_taken_whole(spark):
